@@ -1,3 +1,4 @@
 """Registered queries, one per inventory item; importing this fills the registry."""
 
 from revlens.plans import q_clean  # noqa: F401
+from revlens.plans import q_tables  # noqa: F401

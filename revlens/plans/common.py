@@ -33,3 +33,9 @@ def processed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def r6(c):
     """Round a float result to 6 places (order-insensitive value hashes)."""
     return F.round(c, 6)
+
+
+def split_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G1 split of the cleaned reviews, strata (dataset_name, rating)."""
+    from revlens.operators.sampling import stratified_split
+    return stratified_split(cleaned(spark, sf_dir), ["dataset_name", "rating"])

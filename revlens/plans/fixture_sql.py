@@ -92,12 +92,22 @@ FIXTURES["fx_crawl"] = """
 SELECT page_id, url AS link, page_id % 3 = 0 AS parsed, page_id % 40 AS num_overall,
        page_id % 37 AS num_parsed FROM pages"""
 
-_DEPS_ORDER = list(FIXTURES)
+FIXTURES["fx_split"] = """
+SELECT review_id, dataset_name, rating,
+       CASE WHEN pos < n - (n + 4) // 5 THEN 'train'
+            WHEN pos < n - (n + 4) // 5 + ((n + 4) // 5 - ((n + 4) // 5 + 1) // 2) THEN 'val'
+            ELSE 'test' END AS split
+FROM (SELECT review_id, dataset_name, rating,
+             row_number() OVER (PARTITION BY dataset_name, rating
+                                ORDER BY (review_id * 7919 + 13) % 10007, review_id) - 1 AS pos,
+             count(*) OVER (PARTITION BY dataset_name, rating) AS n
+      FROM fx_clean)"""
 
 
 def with_fixtures(sql: str) -> str:
     """Prefix ``sql`` with the fixture CTEs it (transitively) references."""
     needed: set[str] = set()
+    _DEPS_ORDER = list(FIXTURES)
 
     def visit(text: str) -> None:
         for name in _DEPS_ORDER:
