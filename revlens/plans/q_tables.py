@@ -420,7 +420,7 @@ def f10(spark, sf_dir):
     """Entities with more than 10 reviews (HAVING), over all splits of the fixture."""
     s = cleaned(spark, sf_dir)
     return (s.groupBy("dataset_name", "entity_name").agg(F.count(F.lit(1)).alias("n"))
-            .filter(F.col("n") > 5))
+            .filter(F.col("n") > 10))
 
 
 @register("f12_class_weights", with_fixtures("""
