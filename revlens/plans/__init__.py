@@ -4,3 +4,4 @@ from revlens.plans import q_clean  # noqa: F401
 from revlens.plans import q_tables  # noqa: F401
 from revlens.plans import q_metrics  # noqa: F401
 from revlens.plans import q_text  # noqa: F401
+from revlens.plans import q_extract  # noqa: F401
