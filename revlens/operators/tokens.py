@@ -60,8 +60,9 @@ def is_question(words: Column, tags: Column) -> Column:
     z = F.filter(F.arrays_zip(words.alias("w"), tags.alias("t")), lambda x: ~x["w"].isin(*PUNCT_WORDS))
     tf = F.transform(z, lambda x: x["t"])
     n = F.size(tf)
-    last, prev, first = F.element_at(tf, -1), F.try_element_at(tf, F.lit(-2)), F.element_at(tf, 1)
-    ends_q = F.coalesce(F.element_at(words, -1) == "?", F.lit(False))
+    last, prev, first = (F.try_element_at(tf, F.lit(-1)), F.try_element_at(tf, F.lit(-2)),
+                         F.try_element_at(tf, F.lit(1)))
+    ends_q = F.coalesce(F.try_element_at(words, F.lit(-1)) == "?", F.lit(False))
     verbal_end = (F.coalesce(last.isin(*VERBAL), F.lit(False)) |
                   (F.coalesce(last == "GRND", F.lit(False)) & F.coalesce(prev.isin(*VERBAL), F.lit(False))))
     particle = F.coalesce(first == "PRCL", F.lit(False)) & F.coalesce(last.isin(*VERBAL), F.lit(False))

@@ -6,3 +6,4 @@ from revlens.plans import q_metrics  # noqa: F401
 from revlens.plans import q_text  # noqa: F401
 from revlens.plans import q_extract  # noqa: F401
 from revlens.plans import q_models  # noqa: F401
+from revlens.plans import q_io  # noqa: F401
