@@ -8,3 +8,4 @@ from revlens.plans import q_extract  # noqa: F401
 from revlens.plans import q_models  # noqa: F401
 from revlens.plans import q_io  # noqa: F401
 from revlens.plans import q_udf  # noqa: F401
+from revlens.plans import q_subword  # noqa: F401
