@@ -373,3 +373,22 @@ def j17(spark, sf_dir):
     p = X.phrase_scores(g, ["entity_name", "sentiment"], "mean")
     t = top_per_group(p, ["entity_name", "sentiment"], [F.col("score").desc(), F.col("phrase")], 20, pos="rank")
     return t.select("entity_name", "sentiment", "phrase", r6(F.col("score")).alias("score"), "rank")
+
+
+@register("e07_phrase_containment", with_fixtures("""
+WITH p AS (""" + TOPN_SQL.format(where="") + """),
+pairs AS (
+  SELECT j.entity_name, j.rating, j.rank, i.rank AS irank FROM p j JOIN p i
+    ON i.entity_name = j.entity_name AND i.rating = j.rating AND i.rank < j.rank
+  WHERE len(list_filter(range(0, len(string_split(i.phrase, ' ')) - 2),
+                        lambda k: contains(j.phrase, array_to_string(string_split(i.phrase, ' ')[k + 1:k + 2], ' ')))) > 0
+     OR len(list_filter(range(0, len(string_split(j.phrase, ' ')) - 2),
+                        lambda k: contains(i.phrase, array_to_string(string_split(j.phrase, ' ')[k + 1:k + 2], ' ')))) > 0)
+SELECT p.entity_name, p.rating, p.rank, p.phrase, m.e AS earliest_similar
+FROM p LEFT JOIN (SELECT entity_name, rating, rank, min(irank) AS e FROM pairs GROUP BY ALL) m
+  ON m.entity_name = p.entity_name AND m.rating = p.rating AND m.rank = p.rank"""))
+def e07(spark, sf_dir):
+    """Sub-phrase containment between the ranked top phrases of each (entity, rating), pair-free."""
+    t = top_per_group(phrase_table(spark, sf_dir), ["entity_name", "rating"],
+                      [F.col("score").desc(), F.col("phrase")], 20, pos="rank")
+    return X.earliest_similar(t, ["entity_name", "rating"], "rank", 2)
