@@ -169,3 +169,29 @@ def k03(spark, sf_dir):
     p.write.mode("overwrite").partitionBy("entity", "page").text(src)
     out = ingest_pages_stream(spark, src, io.scratch_path(spark, "k03-out"))
     return out.groupBy("entity").agg(F.count(F.lit(1)).alias("pages"), F.sum("n_blocks").alias("blocks"))
+
+
+@register("a11_append_sink")
+def a11(spark, sf_dir):
+    """Per-fold rows appended one write at a time into a model-partitioned table."""
+    p = fx.fx_predictions(spark, sf_dir).select("id", "m", "y_pred").withColumn("model", F.concat(F.lit("m"), "m"))
+    path = io.scratch_path(spark, "a11")
+    for fold in range(3):
+        io.append_rows(p.filter(F.col("id") % 3 == fold).withColumn("fold", F.lit(fold)), path, "model")
+    return spark.read.parquet(path).select("id", "m", "y_pred", "fold", "model")
+
+
+@register("a14_model_save_load")
+def a14(spark, sf_dir):
+    """A fitted feature pipeline saved to the shared folder, loaded back and applied."""
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.functions import vector_to_array
+    from revlens.operators import models as ML
+    from revlens.plans.q_text import D12_STOP
+    c = cleaned(spark, sf_dir)
+    model = ML.fit_tfidf(c, "review_translate", D12_STOP, ngram_max=1, min_df=2.0, max_df=0.9)
+    path = io.scratch_path(spark, "a14")
+    model.write().overwrite().save(path)
+    back = PipelineModel.load(path).transform(c)
+    nnz = F.size(F.filter(vector_to_array("features"), lambda x: x != 0))
+    return back.select("review_id", nnz.alias("n_terms"))

@@ -667,3 +667,37 @@ def i05(spark, sf_dir):
     """All work minus finished work (EXCEPT DISTINCT on the key)."""
     c = fx.fx_crawl(spark, sf_dir)
     return c.select("link").subtract(c.filter("parsed").select("link"))
+
+
+@register("c02_source_tag", with_fixtures("""
+SELECT dataset_name, count(*) AS n FROM fx_unified GROUP BY dataset_name"""))
+def c02(spark, sf_dir):
+    """Constant source tag added to each source before the union."""
+    return unified(spark, sf_dir).groupBy("dataset_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("e08_inverse_label_map", with_fixtures("""
+WITH codes AS (SELECT rating, CAST(row_number() OVER (ORDER BY min(review_id)) - 1 AS INTEGER) AS code
+               FROM fx_clean GROUP BY rating)
+SELECT p.id, p.m, k.rating AS y_pred_rating FROM fx_predictions p JOIN codes k ON k.code = p.y_pred"""))
+def e08(spark, sf_dir):
+    """Predicted codes mapped back through the inverse label table (small side of the join)."""
+    codes = sampling.first_appearance_codes(cleaned(spark, sf_dir), "rating")
+    p = fx.fx_predictions(spark, sf_dir).select("id", "m", "y_pred")
+    return p.join(codes.select(F.col("code").alias("y_pred"), F.col("rating").alias("y_pred_rating")), "y_pred").select(
+        "id", "m", "y_pred_rating")
+
+
+@register("i02_union_group_results", with_fixtures("""
+SELECT dataset_name, split, count(*) AS n FROM fx_split WHERE dataset_name = 'hotels' GROUP BY ALL
+UNION ALL SELECT dataset_name, split, count(*) FROM fx_split WHERE dataset_name = 'market' GROUP BY ALL
+UNION ALL SELECT dataset_name, split, count(*) FROM fx_split WHERE dataset_name = 'restaurants' GROUP BY ALL"""))
+def i02(spark, sf_dir):
+    """Per-group results unioned (one plan: each branch reads the shared split table)."""
+    s = split_table(spark, sf_dir)
+    parts = [s.filter(F.col("dataset_name") == d).groupBy("dataset_name", "split").agg(F.count(F.lit(1)).alias("n"))
+             for d in ("hotels", "market", "restaurants")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
