@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from revlens.session import bounded_broadcast
+
 
 def char_grams(df: DataFrame, keys: list[str], text: str, n: int = 3) -> DataFrame:
     """Counts of the character n-grams of the lower-cased text, per key."""
@@ -28,8 +30,9 @@ def train_profiles(grams: DataFrame, lang: str = "lang") -> tuple[DataFrame, Dat
     v = tr.select(F.countDistinct("gram")).scalar()
     tot = tr.groupBy(lang).agg(F.sum("c").alias("tot"))
     floor = tot.select(lang, F.log(F.lit(1.0) / (F.col("tot") + v)).alias("lpu"))
+    tot = bounded_broadcast(tot, 10_000)  # one row per language
     prof = tr.join(tot, lang).select(lang, "gram", F.log((F.col("c") + 1) / (F.col("tot") + v)).alias("lp"))
-    prof = prof.join(floor, lang).select(lang, "gram", (F.col("lp") - F.col("lpu")).alias("gain"))
+    prof = prof.join(F.broadcast(floor), lang).select(lang, "gram", (F.col("lp") - F.col("lpu")).alias("gain"))
     # small (languages x distinct grams) and reused by every scoring join: materialize once
     return prof.checkpoint(eager=True), floor.checkpoint(eager=True)
 
@@ -44,6 +47,6 @@ def identify(grams: DataFrame, keys: list[str], prof: DataFrame, floor: DataFram
     n = grams.groupBy(*keys).agg(F.sum("c").alias("n"))
     langs = [r["_cand"] for r in fl.select("_cand").collect()]  # a handful of languages
     cand = n.withColumn("_cand", F.explode(F.array(*[F.lit(x) for x in sorted(langs)])))
-    sc = (cand.join(fl, "_cand").join(adj, [*keys, "_cand"], "left")
+    sc = (cand.join(F.broadcast(fl), "_cand").join(adj, [*keys, "_cand"], "left")
           .withColumn("score", F.col("n") * F.col("lpu") + F.coalesce("a", F.lit(0.0))))
     return sc.groupBy(*keys).agg(F.min_by("_cand", F.struct(-F.col("score"), F.col("_cand"))).alias("pred"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from revlens.operators.ranking import rank_within
+from revlens.session import bounded_broadcast
 
 
 def seeded_order(id_col: str = "review_id", seed: int = 13) -> list[Column]:
@@ -54,6 +55,7 @@ def stratified_kfold(df: DataFrame, label: str, k: int = 5, id_col: str = "revie
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc")).join(codes, label)
     counts = counts.withColumn("_s", F.coalesce(F.sum("_nc").over(
         Window.orderBy("_code").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    counts = bounded_broadcast(counts, 10_000)  # one row per class: never a hot shuffle key
     r = rank_within(df.select(id_col, label), [label], [F.col(id_col)], size=None)
     r = r.join(counts.select(label, "_nc", "_s"), label)
 

@@ -15,6 +15,7 @@ from revlens.plans.fixture_sql import FIXTURES, TOKEN_RE, with_fixtures
 from revlens.plans.q_clean import sentence_tokens_sql, sentences_sql
 from revlens.plans.registry import register
 from revlens.sources import fixtures as fx
+from revlens.session import bounded_broadcast
 from revlens.sources.tables import table
 
 FIXTURES["fx_processed"] = f"""
@@ -71,6 +72,7 @@ def c22(spark, sf_dir):
     """First-appearance label codes and their inverse mapping."""
     c = cleaned(spark, sf_dir)
     codes = sampling.first_appearance_codes(c, "rating")
+    codes = bounded_broadcast(codes, 10_000)  # one row per label: never a hot shuffle key
     enc = c.select("review_id", "rating").join(codes, "rating")
     inverse = codes.select(F.col("code"), F.col("rating").alias("decoded"))
     return enc.join(inverse, "code").select("review_id", "rating", "code", "decoded")
@@ -440,7 +442,7 @@ def f12s(spark, sf_dir):
     """Per-row sample weight from the class weight table (small side of the join)."""
     c = cleaned(spark, sf_dir)
     w = sampling.balanced_class_weights(c, "rating")
-    return c.select("review_id", "rating").join(w, "rating").select("review_id", r6(F.col("weight")).alias("weight"))
+    return c.select("review_id", "rating").join(bounded_broadcast(w, 10_000), "rating").select("review_id", r6(F.col("weight")).alias("weight"))
 
 
 @register("f19_share_true", with_fixtures("""
@@ -684,7 +686,7 @@ def e08(spark, sf_dir):
     """Predicted codes mapped back through the inverse label table (small side of the join)."""
     codes = sampling.first_appearance_codes(cleaned(spark, sf_dir), "rating")
     p = fx.fx_predictions(spark, sf_dir).select("id", "m", "y_pred")
-    return p.join(codes.select(F.col("code").alias("y_pred"), F.col("rating").alias("y_pred_rating")), "y_pred").select(
+    return p.join(bounded_broadcast(codes, 10_000).select(F.col("code").alias("y_pred"), F.col("rating").alias("y_pred_rating")), "y_pred").select(
         "id", "m", "y_pred_rating")
 
 
