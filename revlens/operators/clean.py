@@ -110,4 +110,8 @@ def first_kept(df: DataFrame, keys: list[str], order: str = "review_id") -> Data
     """
     rest = [c for c in df.columns if c not in keys and c != order]
     packed = F.min(F.struct(order, *rest)).alias("_first")
-    return df.groupBy(*keys).agg(packed).select(*keys, "_first.*").select(*df.columns)
+    # the struct buffer makes this a sort-based aggregate: a leading 64-bit
+    # hash of the keys settles almost every comparison without reading the
+    # (long) text keys
+    h = F.xxhash64(*keys).alias("_kh")
+    return df.groupBy(h, *keys).agg(packed).select(*keys, "_first.*").select(*df.columns)
