@@ -13,6 +13,9 @@ job.  ``rank_within`` gets the same numbers from a range shuffle:
    partition) gives the rows of the same key in earlier partitions;
 4. position = rows in earlier partitions + (id - first id in this partition).
 
+The numbered rows are checkpointed before they are read twice, so the ids
+cannot change between the two reads.
+
 The order must be total (end it with a unique column) for results to be
 deterministic, also when tasks are retried.
 """
@@ -44,6 +47,12 @@ def rank_within(df: DataFrame, keys: list[str], order: list, pos: str = "_pos",
     ranged = df.repartitionByRange(n_parts, *sort_cols).sortWithinPartitions(*sort_cols)
     ids = ranged.withColumn("__rw_rid", F.monotonically_increasing_id())
     ids = ids.withColumn("__rw_pid", F.shiftright(F.col("__rw_rid"), 33))
+    # The ids are read twice (offset table and final join).  Re-reading the
+    # shuffle is not enough: adaptive execution may coalesce or split its
+    # partitions differently per reader, and the ids depend on the task's
+    # partition.  A reliable checkpoint fixes them once (and survives
+    # executor loss).
+    ids = ids.checkpoint(eager=True)
     # one row per (partition, key): first row id and count
     gcols = ["__rw_pid"] + keys
     small = ids.groupBy(*gcols).agg(F.min("__rw_rid").alias("__rw_first"), F.count(F.lit(1)).alias("__rw_cnt"))
