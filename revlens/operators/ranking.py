@@ -68,9 +68,21 @@ def rank_within(df: DataFrame, keys: list[str], order: list, pos: str = "_pos",
     return out.drop("__rw_rid", "__rw_pid", "__rw_first", "__rw_before")
 
 
-def top_per_group(df: DataFrame, keys: list[str], order: list, n: int, pos: str = "_pos") -> DataFrame:
-    """Rows ranked below ``n`` in each group."""
-    return rank_within(df, keys, order, pos=pos, size=None).filter(F.col(pos) < n)
+def top_per_group(df: DataFrame, keys: list[str], order: list, n: int, pos: str = "_pos",
+                  salts: int | None = None) -> DataFrame:
+    """Rows ranked below ``n`` in each group (G6, G7, top-k reports).
+
+    Two stages: rows are spread over ``salts`` sub-groups by a hash of the
+    whole row, each sub-group keeps its own top ``n`` (a window over a
+    bounded slice of a hot group), and the exact ranking runs on the at
+    most ``salts * n`` survivors per group.  The order must be total."""
+    spark = df.sparkSession
+    s = salts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(s))
+    w = Window.partitionBy(*keys, "__tp_salt").orderBy(*_order_cols(order))
+    pre = (df.withColumn("__tp_salt", salt).withColumn("__tp_rn", F.row_number().over(w))
+           .filter(F.col("__tp_rn") <= n).drop("__tp_salt", "__tp_rn"))
+    return rank_within(pre, keys, order, pos=pos, size=None).filter(F.col(pos) < n)
 
 
 def dense_index(df: DataFrame, order: list, name: str = "idx") -> DataFrame:

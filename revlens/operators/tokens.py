@@ -139,17 +139,22 @@ def word_scores(sub: DataFrame, keep: tuple[str, ...] = ("review_id",), pos: str
 def scored_ngrams(words: DataFrame, n: int, agg: str = "mean", keep: tuple[str, ...] = ("review_id",),
                   pos: str = "pos") -> DataFrame:
     """Windows of ``n`` consecutive (token, score) -> phrase text and
-    mean or sum score.  Built by self-aligning positions (pos .. pos+n-1)
-    in one aggregation, so no per-review list is needed."""
-    shifted = words.select(*keep, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_k"), pos, "token", "score")
-    shifted = shifted.withColumn("_start", F.col(pos) - F.col("_k"))
-    g = shifted.filter(F.col("_start") >= 0).groupBy(*keep, "_start").agg(
-        F.array_sort(F.collect_list(F.struct("_k", "token"))).alias("_w"), F.sum("score").alias("_s"),
-        F.count(F.lit(1)).alias("_c"))
-    g = g.filter(F.col("_c") == n)
-    phrase = F.array_join(F.transform("_w", lambda x: x["token"]), " ")
-    score = F.col("_s") / n if agg == "mean" else F.col("_s")
-    return g.select(*keep, F.col("_start").alias(pos), phrase.alias("phrase"), score.alias("score"))
+    mean or sum score.  Tokens are regrouped once per row key (bounded by
+    one text) and the windows are built inside the row, so the shuffle
+    carries each token once instead of ``n`` times."""
+    g = words.groupBy(*keep).agg(F.array_sort(F.collect_list(F.struct(pos, "token", "score"))).alias("_w"))
+    return g.select(*keep, F.inline(ngram_structs(F.col("_w"), n, agg, pos)))
+
+
+def ngram_structs(w: Column, n: int, agg: str = "mean", pos: str = "pos") -> Column:
+    """In-row n-grams of an ordered array of (pos, token, score) structs."""
+    def one(i):
+        win = F.slice(w, i + 1, n)
+        total = F.aggregate(win, F.lit(0.0), lambda a, x: a + x["score"])
+        return F.struct(F.element_at(win, 1)[pos].alias(pos),
+                        F.array_join(F.transform(win, lambda x: x["token"]), " ").alias("phrase"),
+                        (total / n if agg == "mean" else total).alias("score"))
+    return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.size(w) - n), one))
 
 
 def gather_vectors(vocab: DataFrame, primary: DataFrame, backup: DataFrame | None, dim: int,
