@@ -69,3 +69,10 @@ def bind(fn, **params):
 def median_udf(v: pd.Series) -> float:
     """Grouped-aggregate function (Series -> scalar), interpolated median."""
     return float(v.median())
+
+
+@F.pandas_udf(StringType())
+def urljoin_udf(base: pd.Series, href: pd.Series) -> pd.Series:
+    """C4 with full RFC 3986 resolution (``..``, queries, fragments), Arrow-batched."""
+    from urllib.parse import urljoin
+    return pd.Series([None if h is None else urljoin(b or "", h) for b, h in zip(base, href)])

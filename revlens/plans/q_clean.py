@@ -276,3 +276,13 @@ def c19(spark, sf_dir):
     r = fx.fx_reviews(spark, sf_dir)
     return r.select("review_id", F.lower("review_translate").alias("text_lower"),
                     F.transform(T.tokenize("review_translate"), F.lower).alias("tokens_lower"))
+
+
+@register("c04_urljoin_full", C04_SQL)
+def c04_full(spark, sf_dir):
+    """The same anchors resolved with full URL-join semantics in an Arrow UDF."""
+    from revlens.functions.udfs import urljoin_udf
+    p = table(spark, sf_dir, "pages", "page_id", "url", "html")
+    e = p.select("page_id", T.site_root("url").alias("root"),
+                 F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), 1)).alias("href"))
+    return e.select("page_id", "href", urljoin_udf(F.col("root"), F.col("href")).alias("link"))

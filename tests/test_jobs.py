@@ -101,3 +101,25 @@ def test_results_independent_of_partition_count(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert before == after
+
+
+def test_tfidf_pipeline_equals_sql_long_form(spark):
+    from pyspark.ml.functions import vector_to_array
+    from revlens.operators import models as ML
+    from revlens.plans.common import cleaned
+    from revlens.plans.q_text import D12_STOP
+    docs = cleaned(spark, SF_SMALL).select("review_id", "review_translate")
+    feats = ML.fit_tfidf(docs, "review_translate", D12_STOP, ngram_max=2, min_df=2.0, max_df=0.848)
+    terms = ML.fitted_terms(spark, feats)
+    dense = feats.transform(docs).select("review_id", vector_to_array("features").alias("v"))
+    long_ml = {(r.review_id, r.term_idx): r.weight for r in
+               ML.tfidf_with_vocabulary(docs, "review_translate", D12_STOP, 2, terms).collect()}
+    long_sql = {(r.review_id, r.term): r.weight for r in
+                ML.tfidf_long(docs, "review_translate", D12_STOP, 2, 2, 0.848).collect()}
+    idx = {r.term_idx: r.term for r in terms.collect()}
+    assert len(long_ml) == len(long_sql) > 0
+    for (rid, j), w in long_ml.items():
+        assert abs(long_sql[(rid, idx[j])] - w) < 1e-9
+    for r in dense.collect():
+        nz = {j: x for j, x in enumerate(r.v) if x != 0.0}
+        assert all(abs(long_ml[(r.review_id, j)] - x) < 1e-9 for j, x in nz.items())
