@@ -17,7 +17,16 @@ from revlens.sources import io
 from revlens.sources.tables import table
 
 
-@register("a01_delimited_scan")
+def _f17_sql():
+    from revlens.plans import q_metrics  # noqa: F401  (registers f17)
+    from revlens.plans.registry import REGISTRY
+    return REGISTRY["f17_metric_grid"].sql
+
+
+@register("a01_delimited_scan", with_fixtures("""
+SELECT review_id, review AS comment, review_translate AS translate, rating,
+       'https://shop.example.com/ua/' || entity_name || '/comments/' AS prod_link
+FROM fx_reviews WHERE dataset_name = 'market'"""))
 def a01(spark, sf_dir):
     """``;``-separated CSV with quoted multi-line reviews read back with its header."""
     r = fx.raw_sources(spark, sf_dir)["market"]
@@ -26,7 +35,8 @@ def a01(spark, sf_dir):
     return io.read_reviews_csv(spark, path, sep=";", schema=r.schema)
 
 
-@register("a04_literal_lines")
+@register("a04_literal_lines", """
+SELECT CAST(conv_id AS VARCHAR) AS conv_id, CAST(turn AS VARCHAR) AS turn, role, text FROM conversations""")
 def a04(spark, sf_dir):
     """One Python dict literal per line (with blank lines) -> typed records."""
     c = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
@@ -37,26 +47,32 @@ def a04(spark, sf_dir):
     return io.read_literal_lines(spark, path, "conv_id string, turn string, role string, text string")
 
 
-@register("a05_page_tree")
+@register("a05_page_tree", with_fixtures("""
+SELECT string_split(url, '/')[3] AS entity, CAST(page_id AS INTEGER) AS page_no, html FROM pages"""))
 def a05(spark, sf_dir):
     """Directory of saved pages per entity -> (entity, page number, html)."""
     p = table(spark, sf_dir, "pages", "page_id", "url", "html").select(
         F.element_at(F.split("url", "/"), 3).alias("entity"), F.col("page_id").alias("page"), "html")
     path = io.scratch_path(spark, "a05")
     p.write.mode("overwrite").partitionBy("entity", "page").text(path)
-    return io.read_page_tree(spark, path, entity_level=-3, page_level=-2)
+    t = io.read_page_tree(spark, path, entity_level=-3, page_level=-2)
+    # the text sink used to lay out the fixture ends every file with one newline
+    return t.withColumn("html", F.regexp_replace("html", "\n$", ""))
 
 
-@register("a06_named_files")
+@register("a06_named_files", with_fixtures("""
+SELECT CAST(id AS VARCHAR) AS id, CAST(y_true AS VARCHAR) AS y_true, CAST(y_pred AS VARCHAR) AS y_pred,
+       CAST(m AS VARCHAR) AS model FROM fx_predictions"""))
 def a06(spark, sf_dir):
     """Prediction files selected by a name fragment; the file stem becomes the model name."""
     p = fx.fx_predictions(spark, sf_dir).select("id", "m", "y_true", "y_pred")
     path = io.scratch_path(spark, "a06")
     p.write.mode("overwrite").partitionBy("m").option("header", True).csv(path)
-    return io.read_named_files(spark, f"{path}/m=*/part-*").select("id", "y_true", "y_pred", "model")
+    return io.read_named_files(spark, f"{path}/m=*/part-*", name_from="dir").select("id", "y_true", "y_pred", "model")
 
 
-@register("a08_record_lists")
+@register("a08_record_lists", with_fixtures("""
+SELECT string_split(url, '/')[4] AS category_name, string_split(url, '/')[3] AS subcategory_name, url AS prod_link FROM pages"""))
 def a08(spark, sf_dir):
     """Record lists (links per category) persisted as Parquet and loaded back."""
     p = table(spark, sf_dir, "pages", "page_id", "url").select(
@@ -67,7 +83,9 @@ def a08(spark, sf_dir):
     return spark.read.parquet(path)
 
 
-@register("a09_word_vectors_text")
+@register("a09_word_vectors_text", with_fixtures("""
+SELECT 'w' || CAST(vec_id AS VARCHAR) AS token, CAST(len(embedding) AS INTEGER) AS dim,
+       round(CAST(embedding[1] AS DOUBLE), 6) AS v0 FROM embeddings"""))
 def a09(spark, sf_dir):
     """Word vectors in text word2vec format (header line, then token and values)."""
     e = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
@@ -80,7 +98,8 @@ def a09(spark, sf_dir):
     return v.select("token", F.size("vector").alias("dim"), r6(F.element_at("vector", 1).cast("double")).alias("v0"))
 
 
-@register("a10_a11_sinks")
+@register("a10_a11_sinks", with_fixtures("""
+SELECT 'm' || CAST(m AS VARCHAR) AS model, count(*) AS n FROM fx_predictions GROUP BY m"""))
 def a10(spark, sf_dir):
     """CSV sink (overwrite, no index) and append sink partitioned by model, read back."""
     p = fx.fx_predictions(spark, sf_dir).select("id", "m", "y_pred").withColumn("model", F.concat(F.lit("m"), "m"))
@@ -92,7 +111,7 @@ def a10(spark, sf_dir):
     return back.groupBy("model").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("a12_json_documents")
+@register("a12_json_documents", _f17_sql())
 def a12(spark, sf_dir):
     """Metric documents (F1 and nested confusion matrices) written as JSON and read back."""
     from revlens.plans.q_metrics import eval_table
@@ -102,7 +121,7 @@ def a12(spark, sf_dir):
     return spark.read.schema(g.schema).json(path)
 
 
-@register("a13_compute_once")
+@register("a13_compute_once", with_fixtures("""SELECT * FROM fx_clean"""))
 def a13(spark, sf_dir):
     """Build-if-absent cache of the cleaned table (second call loads it)."""
     path = io.scratch_path(spark, "a13")
@@ -110,17 +129,30 @@ def a13(spark, sf_dir):
     return io.compute_once(spark, path, lambda: first.limit(0))
 
 
-@register("a15_packed_rows")
+def _a15_sql():
+    from revlens.plans.q_metrics import HISTORY_SQL
+    return with_fixtures(HISTORY_SQL + """
+SELECT m AS model, epoch, round(test_hotels, 6) AS test_hotels, round(test_market, 6) AS test_market,
+       round(test_restaurants, 6) AS test_restaurants, round(train_f1, 6) AS train_f1, round(val_f1, 6) AS val_f1
+FROM wide ORDER BY m, epoch LIMIT 49""")
+
+
+@register("a15_packed_rows", _a15_sql())
 def a15(spark, sf_dir):
-    """A one-column ``;``-packed history file split back into columns, first 49 rows."""
+    """A one-column ``;``-packed history file split back into typed columns, first 49 rows."""
     from revlens.plans.q_metrics import history
     h = history(spark, sf_dir).groupBy("model", "epoch").pivot("metric").agg(F.first("value"))
     cols = h.columns
-    packed = h.select(F.concat_ws(";", *[F.col(c).cast("string") for c in cols]).alias("value"))
-    head = spark.range(1).select(F.lit(";".join(cols)).alias("value"))
+    packed = h.select(F.concat_ws(";", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]).alias("value"),
+                      F.col("model").alias("_m"), F.col("epoch").alias("_e"))
+    head = spark.range(1).select(F.lit(";".join(cols)).alias("value"), F.lit(-1).alias("_m"), F.lit(-1).alias("_e"))
     path = io.scratch_path(spark, "a15")
-    head.unionByName(packed).coalesce(1).write.mode("overwrite").text(path)
-    return io.repair_packed_rows(spark, path, keep=49)
+    # one file, header first, rows in (model, epoch) order
+    (head.unionByName(packed).repartition(1).sortWithinPartitions("_m", "_e").select("value")
+     .write.mode("overwrite").text(path))
+    r = io.repair_packed_rows(spark, path, keep=49)
+    return r.select(*[(F.col(c).try_cast("int") if c in ("model", "epoch") else r6(F.col(c).try_cast("double"))).alias(c)
+                      for c in r.columns])
 
 
 # ---------------------------------------------------------------- K: resumable crawl state
@@ -159,7 +191,10 @@ def k02(spark, sf_dir):
     return normalize_results(fx.fx_crawl(spark, sf_dir))
 
 
-@register("k03_incremental_pages")
+@register("k03_incremental_pages", with_fixtures("""
+SELECT string_split(url, '/')[3] AS entity, count(*) AS pages,
+       sum(len(string_split(regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1), '<p>')) - 1) AS blocks
+FROM pages GROUP BY 1"""))
 def k03(spark, sf_dir):
     """Structured Streaming ingest of saved pages (available-now trigger, checkpointed, resumable)."""
     from revlens.streaming.resume import ingest_pages_stream
@@ -171,7 +206,22 @@ def k03(spark, sf_dir):
     return out.groupBy("entity").agg(F.count(F.lit(1)).alias("pages"), F.sum("n_blocks").alias("blocks"))
 
 
-@register("a11_append_sink")
+def _a14_sql():
+    from revlens.plans.q_text import D12_STOP, _sql_str_list
+    return with_fixtures(f"""
+WITH t AS (SELECT review_id, unnest(list_filter(regexp_extract_all(lower(review_translate), '[\\p{{L}}\\p{{N}}_]{{2,}}'),
+                                       lambda x: NOT list_contains({_sql_str_list(D12_STOP)}, x))) AS term FROM fx_clean),
+dt AS (SELECT DISTINCT review_id, term FROM t),
+df AS (SELECT term, count(*) AS df FROM dt GROUP BY term),
+nd AS (SELECT count(*) AS n FROM fx_clean),
+voc AS (SELECT term FROM df, nd WHERE df >= 2 AND df <= 0.9 * n)
+SELECT c.review_id, CAST(count(v.term) AS INTEGER) AS n_terms
+FROM fx_clean c LEFT JOIN dt ON dt.review_id = c.review_id LEFT JOIN voc v ON v.term = dt.term
+GROUP BY c.review_id""")
+
+
+@register("a11_append_sink", with_fixtures("""
+SELECT id, m, y_pred, CAST(id % 3 AS INTEGER) AS fold, 'm' || CAST(m AS VARCHAR) AS model FROM fx_predictions"""))
 def a11(spark, sf_dir):
     """Per-fold rows appended one write at a time into a model-partitioned table."""
     p = fx.fx_predictions(spark, sf_dir).select("id", "m", "y_pred").withColumn("model", F.concat(F.lit("m"), "m"))
@@ -181,7 +231,7 @@ def a11(spark, sf_dir):
     return spark.read.parquet(path).select("id", "m", "y_pred", "fold", "model")
 
 
-@register("a14_model_save_load")
+@register("a14_model_save_load", _a14_sql())
 def a14(spark, sf_dir):
     """A fitted feature pipeline saved to the shared folder, loaded back and applied."""
     from pyspark.ml import PipelineModel
