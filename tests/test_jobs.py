@@ -123,3 +123,54 @@ def test_tfidf_pipeline_equals_sql_long_form(spark):
     for r in dense.collect():
         nz = {j: x for j, x in enumerate(r.v) if x != 0.0}
         assert all(abs(long_ml[(r.review_id, j)] - x) < 1e-9 for j, x in nz.items())
+
+
+def _python_bpe(word_counts, min_frequency, max_merges):
+    words = {tuple(list(w[:-1]) + [w[-1] + "</w>"]): n for w, n in word_counts.items()}
+    merges = []
+    for _ in range(max_merges):
+        pairs = {}
+        for syms, n in words.items():
+            for a, b in zip(syms, syms[1:]):
+                pairs[(a, b)] = pairs.get((a, b), 0) + n
+        cand = [(-c, a, b) for (a, b), c in pairs.items() if c >= min_frequency]
+        if not cand:
+            break
+        _, a, b = min(cand)
+        merges.append((a, b))
+        new = {}
+        for syms, n in words.items():
+            out, i = [], 0
+            while i < len(syms):
+                if i < len(syms) - 1 and syms[i] == a and syms[i + 1] == b:
+                    out.append(a + b)
+                    i += 2
+                else:
+                    out.append(syms[i])
+                    i += 1
+            new[tuple(out)] = new.get(tuple(out), 0) + n
+        words = new
+    return merges
+
+
+def test_bpe_training_matches_python(spark):
+    from collections import Counter
+    random.seed(2)
+    alphabet = "abcab.dé"
+    texts = [" ".join("".join(random.choice(alphabet) for _ in range(random.randint(1, 6))) for _ in range(12))
+             for _ in range(40)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "review_id long, text string")
+    counts = Counter(w for r in SW.word_types(df, "text").collect() for w in [r.word] for _ in range(r.n))
+    merges, _ = SW.train_bpe(SW.word_types(df, "text"), min_frequency=3, max_merges=25, checkpoint_every=6)
+    assert merges == _python_bpe(counts, 3, 25)
+
+
+def test_out_of_fold_invariants(spark):
+    import __spark_entry__ as E
+    rows = E.queries()["j06_out_of_fold"](spark, SF_SMALL).collect()
+    seen = {}
+    for r in rows:
+        seen.setdefault(r.member, []).append(r.review_id)
+        assert abs(sum(r.y_predicted_proba) - 1.0) < 1e-6
+    ids = set(seen["logistic"])
+    assert len(seen["logistic"]) == len(ids) and set(seen["bayes"]) == ids
