@@ -52,6 +52,22 @@ def b02(spark, sf_dir):
                     F.regexp_extract("block", "<b>([^<]*)", 1).alias("bold_text"))
 
 
+@register("b02_page_fields", """
+SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1) AS title,
+       regexp_extract(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<a href="([^"]*)"', 1) AS first_link,
+       regexp_extract(html, '<div class="([^"]*)"', 1) AS div_class,
+       regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang
+FROM pages""")
+def b02p(spark, sf_dir):
+    """Page-level fields: element text, an attribute value and a class token."""
+    p = pages(spark, sf_dir, "html")
+    h = F.col("html")
+    return p.select("page_id", F.regexp_extract(h, "<title>(.*?)</title>", 1).alias("title"),
+                    F.regexp_extract(XT.inner(h, "nav"), '<a href="([^"]*)"', 1).alias("first_link"),
+                    F.regexp_extract(h, '<div class="([^"]*)"', 1).alias("div_class"),
+                    F.regexp_extract(h, '<html lang="([^"]*)"', 1).alias("lang"))
+
+
 @register("b03_bubble_rating", """
 SELECT page_id, TRY_CAST(array_to_string(list_filter(string_split(string_split(cls, '_')[-1], ''), lambda x: x <> ''), '.') AS DOUBLE) AS rating
 FROM (SELECT page_id, 'ui_bubble_rating bubble_' || CAST(page_id % 5 + 1 AS VARCHAR)
@@ -83,7 +99,7 @@ def b04(spark, sf_dir):
 
 @register("b04_aspect_map")
 def b04m(spark, sf_dir):
-    """The same aspect ratings as one ``map<string, double>`` column per page (last label wins)."""
+    """The same aspect ratings as one ``map<string, double>`` column per page (repeated labels collapse)."""
     p = pages(spark, sf_dir, "html")
     nav = XT.inner(F.col("html"), "nav")
     labels = F.array_distinct(F.regexp_extract_all(nav, F.lit(r'<a href="[^"]*">([^<]*)</a>'), 1))

@@ -125,10 +125,12 @@ def d10(spark, sf_dir):
 
 
 @register("d11_pos_stop_words", with_fixtures("""
-SELECT DISTINCT lower(token) AS word FROM fx_tagged WHERE tag IN ('PNCT', 'PREP', 'INTJ', 'CONJ', 'NPRO')"""))
+SELECT DISTINCT lower(token) AS word FROM fx_tagged
+WHERE s_idx = 0 AND tag IN ('PNCT', 'PREP', 'INTJ', 'CONJ', 'NPRO')"""))
 def d11(spark, sf_dir):
-    """Stop-word set: words whose tag is punctuation, preposition, interjection, conjunction or pronoun."""
-    return K.pos_stop_words(tagged(spark, sf_dir))
+    """Stop-word set from the first sentence of each review (as the classical models use it):
+    words tagged punctuation, preposition, interjection, conjunction or pronoun."""
+    return K.pos_stop_words(tagged(spark, sf_dir).filter(F.col("s_idx") == 0))
 
 
 # supplied function-word list for the stop-word query (not the reference's list)
