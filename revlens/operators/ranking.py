@@ -42,6 +42,9 @@ def rank_within(df: DataFrame, keys: list[str], order: list, pos: str = "_pos",
     """
     spark = df.sparkSession
     n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # materialize the input once: the range bounds are sampled from it and
+    # the shuffle reads it, which would otherwise run the upstream twice
+    df = df.checkpoint(eager=True)
     ocols = _order_cols(order)
     sort_cols = [F.col(k) for k in keys] + ocols
     ranged = df.repartitionByRange(n_parts, *sort_cols).sortWithinPartitions(*sort_cols)

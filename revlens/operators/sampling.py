@@ -51,11 +51,12 @@ def stratified_kfold(df: DataFrame, label: str, k: int = 5, id_col: str = "revie
     fold f receives from class c the positions p in [s_c, s_c + n_c) with
     ``p mod k = f``; the class's rows, in id order, fill folds 0..k-1 as
     consecutive blocks of those sizes."""
-    codes = first_appearance_codes(df, label, id_col, "_code")
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc")).join(codes, label)
-    counts = counts.withColumn("_s", F.coalesce(F.sum("_nc").over(
-        Window.orderBy("_code").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    counts = bounded_broadcast(counts, 10_000)  # one row per class: never a hot shuffle key
+    # one aggregation gives code order and class sizes (one row per class)
+    per = df.groupBy(label).agg(F.min(id_col).alias("_first"), F.count(F.lit(1)).alias("_nc"))
+    per = bounded_broadcast(per, 10_000)
+    w = Window.orderBy("_first")
+    counts = per.select(label, "_nc", F.coalesce(F.sum("_nc").over(
+        w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_s"))
     r = rank_within(df.select(id_col, label), [label], [F.col(id_col)], size=None)
     r = r.join(counts.select(label, "_nc", "_s"), label)
 

@@ -81,9 +81,13 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
 def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     """Broadcast ``df`` only when it provably holds at most ``max_rows`` rows.
 
-    The check reads at most ``max_rows + 1`` rows.  Beyond the bound the
-    plain DataFrame is returned and the planner (with AQE) chooses a
-    shuffle join instead.
+    At most ``max_rows + 1`` rows are fetched to prove the bound; a table
+    within the bound is rebuilt from those rows as a local relation and
+    broadcast, so it is computed once (later joins do not re-run its
+    aggregation).  Beyond the bound the plain DataFrame is returned and the
+    planner (with AQE) picks a shuffle join.
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) <= max_rows:
+        return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+    return df
