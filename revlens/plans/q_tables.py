@@ -306,7 +306,7 @@ def e05(spark, sf_dir):
 
 
 E06_SQL = with_fixtures("""
-WITH res AS (SELECT link, num_parsed / (num_overall + 1) > 0.8 AS ok FROM fx_crawl WHERE page_id % 5 <> 1)
+WITH res AS (SELECT url AS link, length(html) % 7 <> 0 AS ok FROM pages WHERE contains(html, '<div class="ad">'))
 SELECT c.page_id, CASE WHEN NOT c.parsed THEN coalesce(r.ok, false) ELSE c.parsed END AS parsed
 FROM fx_crawl c LEFT JOIN res r ON c.link = r.link""")
 
@@ -315,8 +315,9 @@ FROM fx_crawl c LEFT JOIN res r ON c.link = r.link""")
 def e06(spark, sf_dir):
     """Lookup with default, applied only to rows still in the unparsed state."""
     c = fx.fx_crawl(spark, sf_dir)
-    res = c.filter(F.col("page_id") % 5 != 1).select(
-        "link", (F.col("num_parsed") / (F.col("num_overall") + 1) > 0.8).alias("ok"))
+    # crawl results exist only for pages whose saved html has an ad block
+    res = (table(spark, sf_dir, "pages", "url", "html").filter(F.col("html").contains('<div class="ad">'))
+           .select(F.col("url").alias("link"), (F.length("html") % 7 != 0).alias("ok")))
     j = c.join(res, "link", "left")
     return j.select("page_id", F.when(~F.col("parsed"), F.coalesce("ok", F.lit(False)))
                     .otherwise(F.col("parsed")).alias("parsed"))
