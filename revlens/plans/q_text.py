@@ -402,3 +402,22 @@ def e07(spark, sf_dir):
     t = top_per_group(phrase_table(spark, sf_dir), ["entity_name", "rating"],
                       [F.col("score").desc(), F.col("phrase")], 20, pos="rank")
     return X.earliest_similar(t, ["entity_name", "rating"], "rank", 2)
+
+
+@register("j10_entity_explanation_flow")
+def j10_flow(spark, sf_dir):
+    """Explanation flow: sampled entities (G3) -> their reviews' 4-gram scores -> mean per
+    (entity, rating) -> greedy diversification -> top 20 -> one column pair per rating."""
+    from revlens.operators.explain import sample_entities
+    ents = sample_entities(cleaned(spark, sf_dir), per_dataset=15, min_reviews=10).select("entity_name").distinct()
+    g = ngrams(spark, sf_dir).join(ents, "entity_name", "left_semi")
+    p = X.phrase_scores(g, ["entity_name", "rating"], "mean")
+    d = X.diversify(p, ["entity_name", "rating"], n_top=20, d=2).withColumn("r", F.col("rating").cast("int"))
+    w = d.groupBy("entity_name").pivot("r", [1, 2, 3, 4, 5]).agg(
+        F.array_sort(F.collect_list(F.struct("div_rank", "phrase", r6(F.col("score")).alias("score")))).alias("l"))
+    out = [F.col("entity_name")]
+    for k in range(1, 6):
+        present = F.size(F.col(str(k))) > 0
+        out.append(F.when(present, F.transform(F.col(str(k)), lambda x: x["phrase"])).alias(f"phrases_{k}"))
+        out.append(F.when(present, F.transform(F.col(str(k)), lambda x: x["score"])).alias(f"scores_{k}"))
+    return w.select(*out)
