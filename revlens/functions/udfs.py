@@ -14,8 +14,7 @@ import pandas as pd
 import regex
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
-from pyspark.sql.types import (ArrayType, DoubleType, IntegerType, LongType, StringType, StructField,
-                               StructType)
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
 PY_TOKEN = regex.compile(r"[\p{L}\p{N}_'-]+|[^\p{L}\p{N}_\s'-]+")
 

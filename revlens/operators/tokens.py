@@ -13,7 +13,6 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from revlens.functions import arrays as A
 from revlens.operators.ranking import dense_index
 
 PUNCT_WORDS = [".", ",", "!", "?"]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from revlens.functions import text as T
 from revlens.functions import arrays as A
 from revlens.operators import clean
-from revlens.plans.common import cleaned, deduped, processed, r6, unified
+from revlens.plans.common import cleaned, deduped, r6, unified
 from revlens.plans.fixture_sql import TOKEN_RE, WS, with_fixtures
 from revlens.plans.registry import register
 from revlens.sources import fixtures as fx

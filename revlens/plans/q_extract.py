@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from revlens.functions import text as T
 from revlens.operators import extract as XT
-from revlens.plans.common import r6
 from revlens.plans.registry import register
 from revlens.sources.tables import table
 

@@ -3,7 +3,6 @@ F1-F12 (aggregations), G (windows, sampling), H (sort) and I (set ops)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from revlens.functions import arrays as A

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from revlens.functions import text as T
 from revlens.operators import explain as X
-from revlens.operators import sampling
 from revlens.operators import tokens as K
 from revlens.operators.ranking import rank_within, top_per_group
 from revlens.plans.common import cleaned, processed, r6
