@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from revlens.functions import text as T
 from revlens.functions import arrays as A
 from revlens.operators import clean
-from revlens.plans.common import cleaned, deduped, r6, unified
+from revlens.plans.common import cleaned, r6, unified
 from revlens.plans.fixture_sql import TOKEN_RE, WS, with_fixtures
 from revlens.plans.registry import register
 from revlens.sources import fixtures as fx
@@ -47,7 +47,10 @@ GROUP BY dataset_name, rating""")
 @register("flagship_review_profile", FLAGSHIP_SQL)
 def flagship(spark, sf_dir):
     """Sources -> unified -> cleaned -> first-kept dedup -> tokens -> profile per (dataset, rating)."""
-    df = deduped(spark, sf_dir).withColumn("n_tok", F.size(T.tokenize("review_translate")).cast("bigint"))
+    # only the columns the profile needs travel through the dedup aggregate
+    c = cleaned(spark, sf_dir).select("review_id", "review_translate", "entity_name", "dataset_name", "rating")
+    df = clean.first_kept(c, ["review_translate", "entity_name"])
+    df = df.withColumn("n_tok", F.size(T.tokenize("review_translate")).cast("bigint"))
     return (df.groupBy("dataset_name", "rating")
             .agg(F.count(F.lit(1)).alias("n_reviews"), r6(F.avg("n_tok")).alias("avg_tokens"),
                  F.countDistinct("entity_name").alias("n_entities"),
