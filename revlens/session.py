@@ -27,6 +27,8 @@ CLUSTER_CONF = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "5000",
     "spark.sql.files.maxPartitionBytes": "128MB",
     "spark.ui.enabled": "false",
+    # reliable checkpoints of finished jobs are removed once unreferenced
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.showConsoleProgress": "false",
 }
 
