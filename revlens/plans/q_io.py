@@ -155,6 +155,31 @@ def a15(spark, sf_dir):
                       for c in r.columns])
 
 
+@register("b01_page_tree_flow", f"""
+WITH b AS (SELECT string_split(url, '/')[3] AS entity, page_id,
+                  generate_subscripts(string_split(regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1), '<p>')[2:], 1) AS idx,
+                  unnest(string_split(regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1), '<p>')[2:]) AS block
+           FROM pages),
+t AS (SELECT entity, page_id * 1000 + idx AS row_key, trim(regexp_replace(block, '<[^>]+>', '', 'g')) AS text FROM b),
+d AS (SELECT entity, text, min(row_key) AS row_key FROM t WHERE text <> '' GROUP BY entity, text)
+SELECT entity, count(*) AS n_reviews, count(DISTINCT text) AS n_texts FROM d GROUP BY entity""")
+def b01_flow(spark, sf_dir):
+    """Pages -> review table flow: directory tree of saved pages (A5) -> review blocks (B1) ->
+    first-kept dedup per entity (I4) -> reviews per entity."""
+    from revlens.operators import clean
+    from revlens.operators import extract as XT
+    p = table(spark, sf_dir, "pages", "page_id", "url", "html").select(
+        F.element_at(F.split("url", "/"), 3).alias("entity"), F.col("page_id").alias("page"), "html")
+    path = io.scratch_path(spark, "b01-flow")
+    p.write.mode("overwrite").partitionBy("entity", "page").text(path)
+    tree = io.read_page_tree(spark, path, entity_level=-3, page_level=-2)
+    b = tree.select("entity", "page_no", F.posexplode(XT.blocks(F.col("html"))).alias("idx", "block"))
+    t = b.select("entity", (F.col("page_no").cast("long") * 1000 + F.col("idx") + 1).alias("row_key"),
+                 XT.strip_tags(F.col("block")).alias("text")).filter(F.col("text") != "")
+    d = clean.first_kept(t, ["entity", "text"], order="row_key")
+    return d.groupBy("entity").agg(F.count(F.lit(1)).alias("n_reviews"), F.countDistinct("text").alias("n_texts"))
+
+
 # ---------------------------------------------------------------- K: resumable crawl state
 
 K1_SQL = with_fixtures("""

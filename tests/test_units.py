@@ -172,3 +172,17 @@ def test_diversify_matches_brute_force(spark):
         got = [(r.phrase, r.score) for r in out.filter(F.col("g") == g).orderBy("div_rank").collect()]
         exp = _brute_diversify([(p, s) for gg, p, s in rows if gg == g], 5, 2)
         assert got == exp
+
+
+def test_html_blocks_parser():
+    from revlens.operators.extract import _Blocks
+    doc = ('<html><head><script>var t="</p>";</script></head><body><article><p>one &amp; <b>two</b><br>'
+           '<p>three</article><footer><p class="x">four</p></footer></body></html>')
+    p = _Blocks("p", None)
+    p.feed(doc)
+    p.close()
+    assert p.out == ["one & two", "three", "four"]
+    q = _Blocks("p", "x")
+    q.feed(doc)
+    q.close()
+    assert q.out == ["four"]
