@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from revlens.functions import text as T
 from revlens.operators import extract as XT
+from revlens.plans.fixture_sql import WS
 from revlens.plans.registry import register
 from revlens.sources.tables import table
 
@@ -32,7 +33,12 @@ def b01(spark, sf_dir):
     return b.select("page_id", F.col("block_idx").cast("int").alias("block_idx"), XT.strip_tags(F.col("block")).alias("text"))
 
 
-@register("b01_parsed_blocks")
+@register("b01_parsed_blocks", f"""
+SELECT page_id, block_idx,
+       trim(regexp_replace(replace(replace(replace(replace(
+         regexp_replace(split_part(block, '</p>', 1), '<[^>]+>', '', 'g'),
+         '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '{WS}+', ' ', 'g')) AS text
+FROM ({BLOCKS_SQL})""")
 def b01p(spark, sf_dir):
     """Same blocks by the standard-library HTML parser (entities decoded, script text skipped)."""
     return XT.parse_blocks(pages(spark, sf_dir, "html"), "p")
