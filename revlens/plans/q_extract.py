@@ -102,7 +102,11 @@ def b04(spark, sf_dir):
         "page_id", F.col("e.k").alias("aspect"), F.col("e.v").alias("rating"))
 
 
-@register("b04_aspect_map")
+@register("b04_aspect_map", """
+SELECT page_id, map_from_entries(list_transform(list_distinct(labels),
+         lambda x: struct_pack(k := x || '_rating', v := CAST(length(x) % 5 + 1 AS DOUBLE)))) AS aspects
+FROM (SELECT page_id, regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1),
+                                         '<a href="[^"]*">([^<]*)</a>', 1) AS labels FROM pages)""")
 def b04m(spark, sf_dir):
     """The same aspect ratings as one ``map<string, double>`` column per page (repeated labels collapse)."""
     p = pages(spark, sf_dir, "html")
