@@ -337,7 +337,23 @@ def j11(spark, sf_dir):
     return t.select("entity_name", "rating", "phrase", r6(F.col("score")).alias("score"), "rank")
 
 
-@register("j09_diversified_phrases")
+@register("j09_diversified_phrases", with_fixtures("""
+WITH RECURSIVE ranked AS (
+  SELECT entity_name, rating, phrase, score,
+         row_number() OVER (PARTITION BY entity_name, rating ORDER BY score DESC, phrase) - 1 AS rk
+  FROM fx_phrase_scores),
+walk AS (
+  SELECT entity_name, rating, rk, [phrase] AS kept, [score] AS scores FROM ranked WHERE rk = 0
+  UNION ALL
+  SELECT w.entity_name, w.rating, x.rk,
+         CASE WHEN len(list_filter(w.kept, lambda kp: (len(list_filter(range(0, len(string_split(x.phrase, ' ')) - 2), lambda i: contains(kp, array_to_string(string_split(x.phrase, ' ')[i + 1:i + 2], ' ')))) > 0) OR (len(list_filter(range(0, len(string_split(kp, ' ')) - 2), lambda i: contains(x.phrase, array_to_string(string_split(kp, ' ')[i + 1:i + 2], ' ')))) > 0))) > 0 THEN w.kept ELSE list_append(w.kept, x.phrase) END,
+         CASE WHEN len(list_filter(w.kept, lambda kp: (len(list_filter(range(0, len(string_split(x.phrase, ' ')) - 2), lambda i: contains(kp, array_to_string(string_split(x.phrase, ' ')[i + 1:i + 2], ' ')))) > 0) OR (len(list_filter(range(0, len(string_split(kp, ' ')) - 2), lambda i: contains(x.phrase, array_to_string(string_split(kp, ' ')[i + 1:i + 2], ' ')))) > 0))) > 0 THEN w.scores ELSE list_append(w.scores, x.score) END
+  FROM walk w JOIN ranked x ON x.entity_name = w.entity_name AND x.rating = w.rating AND x.rk = w.rk + 1
+  WHERE len(w.kept) < 20),
+final AS (SELECT entity_name, rating, arg_max(kept, rk) AS kept, arg_max(scores, rk) AS scores
+          FROM walk GROUP BY entity_name, rating)
+SELECT entity_name, rating, unnest(kept) AS phrase, round(unnest(scores), 6) AS score,
+       CAST(generate_subscripts(kept, 1) - 1 AS INTEGER) AS div_rank FROM final"""))
 def j09(spark, sf_dir):
     """Greedy diversification (sub-phrase containment, diversify=2) then top 20 per (entity, rating)."""
     d = X.diversify(phrase_table(spark, sf_dir), ["entity_name", "rating"], n_top=20, d=2)
