@@ -513,7 +513,7 @@ def g02(spark, sf_dir):
     return sampling.stratified_kfold(cleaned(spark, sf_dir), "rating", 5)
 
 
-G03_SQL = with_fixtures("""
+G03_BODY = """
 WITH ent AS (SELECT c.dataset_name, c.entity_name, count(*) AS n, avg(c.rating) AS m, min(c.review_id) AS first_id
              FROM fx_clean c
              GROUP BY c.dataset_name, c.entity_name HAVING count(*) > 10),
@@ -532,7 +532,8 @@ q AS (SELECT bo.dataset_name, bo.bucket, CASE bo.i WHEN 0 THEN t0.take0 WHEN 1 T
 ranked AS (SELECT eb.*, row_number() OVER (PARTITION BY eb.dataset_name, eb.bucket
                                            ORDER BY (eb.first_id * 7919 + 13) % 10007, eb.first_id) - 1 AS pos FROM eb)
 SELECT r.dataset_name, r.entity_name, r.bucket AS mapped_rating, r.n
-FROM ranked r JOIN q ON r.dataset_name = q.dataset_name AND r.bucket = q.bucket WHERE r.pos < q.take""")
+FROM ranked r JOIN q ON r.dataset_name = q.dataset_name AND r.bucket = q.bucket WHERE r.pos < q.take"""
+G03_SQL = with_fixtures(G03_BODY)
 
 
 @register("g03_quota_sample", G03_SQL)

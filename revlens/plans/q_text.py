@@ -3,6 +3,8 @@ D6-D12, D15-D20, D23, E7 via J9, F18, H1, J9-J12, J16, J17)."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -337,8 +339,7 @@ def j11(spark, sf_dir):
     return t.select("entity_name", "rating", "phrase", r6(F.col("score")).alias("score"), "rank")
 
 
-@register("j09_diversified_phrases", with_fixtures("""
-WITH RECURSIVE ranked AS (
+J09_SQL = """WITH RECURSIVE ranked AS (
   SELECT entity_name, rating, phrase, score,
          row_number() OVER (PARTITION BY entity_name, rating ORDER BY score DESC, phrase) - 1 AS rk
   FROM fx_phrase_scores),
@@ -353,7 +354,10 @@ walk AS (
 final AS (SELECT entity_name, rating, arg_max(kept, rk) AS kept, arg_max(scores, rk) AS scores
           FROM walk GROUP BY entity_name, rating)
 SELECT entity_name, rating, unnest(kept) AS phrase, round(unnest(scores), 6) AS score,
-       CAST(generate_subscripts(kept, 1) - 1 AS INTEGER) AS div_rank FROM final"""))
+       CAST(generate_subscripts(kept, 1) - 1 AS INTEGER) AS div_rank FROM final"""
+
+
+@register("j09_diversified_phrases", with_fixtures(J09_SQL))
 def j09(spark, sf_dir):
     """Greedy diversification (sub-phrase containment, diversify=2) then top 20 per (entity, rating)."""
     d = X.diversify(phrase_table(spark, sf_dir), ["entity_name", "rating"], n_top=20, d=2)
@@ -419,7 +423,21 @@ def e07(spark, sf_dir):
     return X.earliest_similar(t, ["entity_name", "rating"], "rank", 2)
 
 
-@register("j10_entity_explanation_flow")
+def _flow_sql():
+    from revlens.plans.q_tables import G03_BODY
+    body = G03_BODY.strip()
+    cut = body.rindex("\nSELECT r.dataset_name")
+    samp_ctes, samp_select = body[len("WITH "):cut], body[cut + 1:]
+    walk = re.sub(r"\branked\b", "pranked", J09_SQL.strip()[len("WITH RECURSIVE "):])
+    walk = walk.replace("FROM fx_phrase_scores),", "FROM fx_phrase_scores\n  WHERE entity_name IN (SELECT entity_name FROM samp)),", 1)
+    walk_ctes, walk_select = walk[:walk.rindex("\nSELECT ")], walk[walk.rindex("\nSELECT ") + 1:]
+    cols = ", ".join(f"list(phrase ORDER BY div_rank) FILTER (WHERE rating = {k}) AS phrases_{k}, "
+                     f"list(score ORDER BY div_rank) FILTER (WHERE rating = {k}) AS scores_{k}" for k in range(1, 6))
+    return with_fixtures(f"WITH RECURSIVE {samp_ctes},\nsamp AS ({samp_select}),\n{walk_ctes},\n"
+                         f"top AS ({walk_select})\nSELECT entity_name, {cols} FROM top GROUP BY entity_name")
+
+
+@register("j10_entity_explanation_flow", _flow_sql())
 def j10_flow(spark, sf_dir):
     """Explanation flow: sampled entities (G3) -> their reviews' 4-gram scores -> mean per
     (entity, rating) -> greedy diversification -> top 20 -> one column pair per rating."""
