@@ -174,3 +174,24 @@ def test_out_of_fold_invariants(spark):
         assert abs(sum(r.y_predicted_proba) - 1.0) < 1e-6
     ids = set(seen["logistic"])
     assert len(seen["logistic"]) == len(ids) and set(seen["bayes"]) == ids
+
+
+def test_udf_queries_run_from_another_folder(tmp_path):
+    """Executors must import the package even when the driver runs elsewhere."""
+    import subprocess
+    import sys
+    import textwrap
+    repo = __import__("os").path.dirname(__import__("os").path.dirname(__import__("os").path.abspath(__file__)))
+    code = textwrap.dedent(f"""
+        import sys
+        sys.path.insert(0, {repo!r})
+        from pyspark.sql import SparkSession
+        spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+        import __spark_entry__ as E
+        q = E.queries()
+        n = q["l01_row_function"](spark, {SF_SMALL!r}).count() + q["b01_parsed_blocks"](spark, {SF_SMALL!r}).count()
+        print("ROWS", n)
+    """)
+    out = subprocess.run([sys.executable, "-c", code], cwd=str(tmp_path), capture_output=True, text=True, timeout=600)
+    assert out.returncode == 0, out.stderr[-2000:]
+    assert "ROWS" in out.stdout
