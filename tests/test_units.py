@@ -186,3 +186,17 @@ def test_html_blocks_parser():
     q.feed(doc)
     q.close()
     assert q.out == ["four"]
+
+
+def test_stratified_split_sizes(spark):
+    rows = [(i, "d" + str(i % 2), float(1 + i % 5)) for i in range(1, 1001) if not (i % 5 == 0 and i % 7)]
+    df = spark.createDataFrame(rows, "review_id long, dataset_name string, rating double")
+    s = S.stratified_split(df, ["dataset_name", "rating"]).groupBy("dataset_name", "rating", "split").count().collect()
+    got = {}
+    for r in s:
+        got.setdefault((r.dataset_name, r.rating), {})[r.split] = r["count"]
+    for key, c in got.items():
+        n = sum(c.values())
+        held = (n + 4) // 5
+        assert c.get("train", 0) == n - held
+        assert c.get("test", 0) == (held + 1) // 2 and c.get("val", 0) == held - (held + 1) // 2
