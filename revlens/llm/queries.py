@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from revlens.llm import bpe
 from revlens.llm.common import read
 from revlens.llm.simhash import simhash_components
 
+#: Vocabulary file of the public tokenizers that op8 and the pipeline encode with.
+TOKENIZER = "byte_bpe_multi_50k.tiktoken"
+
 QUERIES: dict = {}
 SQL: dict = {}
 
@@ -24,3 +28,10 @@ def query(name: str, sql: str | None = None):
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprints and near-duplicate components of all documents."""
     return simhash_components(read(spark, sf_dir, "documents", "doc_id", "text"), shingle=4, max_bits=4)
+
+
+@query("op8_bpe")
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded by the multilingual byte-level vocabulary, and decoded again."""
+    import public_tokenizers
+    return bpe.digests(read(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
