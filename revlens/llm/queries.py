@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revlens.llm import bpe
+from revlens.llm import bpe, secrets
 from revlens.llm.common import read
 from revlens.llm.simhash import simhash_components
 
@@ -35,3 +35,9 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded by the multilingual byte-level vocabulary, and decoded again."""
     import public_tokenizers
     return bpe.digests(read(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
+
+
+@query("op2_secrets")
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents with the corpus-wide verdict on their values."""
+    return secrets.report(read(spark, sf_dir, "documents", "doc_id", "text", "source"))
