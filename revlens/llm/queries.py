@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revlens.llm import bpe, secrets
+from revlens.llm import bpe, decontaminate, secrets
 from revlens.llm.common import read
 from revlens.llm.simhash import simhash_components
 
@@ -41,3 +41,9 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of all documents with the corpus-wide verdict on their values."""
     return secrets.report(read(spark, sf_dir, "documents", "doc_id", "text", "source"))
+
+
+@query("op3_decontamination", decontaminate.CONTAINED_SQL)
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of a document and a benchmark item that it contains."""
+    return decontaminate.contained_items(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark"))
