@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revlens.llm import bpe, decontaminate, secrets
+from revlens.llm import bpe, decontaminate, licenses, secrets
 from revlens.llm.common import read
 from revlens.llm.simhash import simhash_components
 
@@ -47,3 +47,9 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of a document and a benchmark item that it contains."""
     return decontaminate.contained_items(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark"))
+
+
+@query("op1_licenses", licenses.license_sql())
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a licence notice, with the licences."""
+    return licenses.license_report(read(spark, sf_dir, "documents", "doc_id", "text"))
