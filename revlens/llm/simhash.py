@@ -10,8 +10,9 @@ a component is what links reach.
    fingerprints are computed once (the pivot distance table).
 3. Buckets: 64 bits in ``max_bits + k`` blocks; two linked fingerprints
    agree on ``k`` whole blocks, so every choice of ``k`` blocks is a table
-   and its bits the bucket key.  No link can be missed.  ``k`` follows the
-   number of distinct fingerprints so that random fellows stay few.
+   and its bits the bucket key.  No link can be missed.  ``k`` is 2 (15 tables)
+   up to some 20 million distinct fingerprints and follows their number
+   beyond, so that random fellows stay few.
 4. Inside a bucket a pair is discarded if any coordinate of the pivot
    tables differs by more than ``max_bits`` (triangle inequality); the
    survivors are verified by the exact distance.  Only a spanning star of
@@ -75,7 +76,7 @@ def references() -> list[int]:
 
 def block_masks(n: int, max_bits: int) -> list[int]:
     """Bit masks of the bucket tables, as signed longs, for ``n`` distinct fingerprints."""
-    k = 1
+    k = 2
     while k < 4 and n > 8 * 2 ** (64 * k / (max_bits + k)):
         k += 1
     blocks = max_bits + k
