@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revlens.llm import bpe, decontaminate, licenses, secrets
+from revlens.llm import bpe, decontaminate, licenses, rules, secrets
 from revlens.llm.common import read
 from revlens.llm.simhash import simhash_components
 
@@ -53,3 +53,9 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a licence notice, with the licences."""
     return licenses.license_report(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query("op7_rules", rules.rules_sql())
+def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures of all documents and the verdict of the adaptive rules."""
+    return rules.apply_rules(read(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"))
