@@ -89,3 +89,40 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError("components did not settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, id_col: str = "doc_id", text_col: str = "text",
+                  broadcast_rows: int = 2_000_000) -> DataFrame:
+    """(id, text, label: 0 or 1) of the labelled rows outside the held-out fold.
+
+    Rows without id or label are left out; of contradicting labels of an id the
+    larger holds.  The labels are broadcast only up to ``broadcast_rows`` rows."""
+    marks = (labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy(F.col("doc_id").alias("id"))
+             .agg(F.max(F.col(label).cast("int")).alias("label")))
+    rows = docs.where(~held_out(id_col, 3, 1)).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return rows.join(small_side(marks, broadcast_rows), "id")
+
+
+def sampled(df: DataFrame, rows: int, salt: str) -> DataFrame:
+    """About ``rows`` rows of ``df`` (all if there are fewer), chosen by a hash of their id."""
+    n = df.count()
+    if n <= rows:
+        return df
+    return df.where(F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(1_000_000)) < int(1_000_000 * rows / n))
+
+
+def append(df: DataFrame, text_col: str, schema: str, make) -> DataFrame:
+    """``df`` with the columns of ``schema`` added; ``make`` turns a list of texts (null: '') into their arrays.
+
+    Added names start with two underscores, so they clash with no given column."""
+    from pyspark.sql import types as T
+    added = T.StructType.fromDDL(schema)
+    kind = T.StructType(df.schema.fields + added.fields)
+    at = df.columns.index(text_col)
+
+    def run(batches):
+        for b in batches:
+            columns = make([t or "" for t in b.column(at).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*b.columns, *columns], names=[*b.schema.names, *added.fieldNames()])
+
+    return df.mapInArrow(run, kind)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revlens.llm import bpe, decontaminate, licenses, rules, secrets
+from revlens.llm import bpe, decontaminate, licenses, rules, secrets, toxicity
 from revlens.llm.common import read
 from revlens.llm.simhash import simhash_components
 
@@ -59,3 +59,9 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures of all documents and the verdict of the adaptive rules."""
     return rules.apply_rules(read(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"))
+
+
+@query("op4_toxicity")
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of all documents."""
+    return toxicity.toxicity_scores(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "labels"))
