@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revlens.llm import bpe, decontaminate, licenses, quality, rules, secrets, toxicity
+from revlens.llm import bpe, decontaminate, html_text, licenses, quality, rules, secrets, toxicity
 from revlens.llm.common import read
 from revlens.llm.simhash import simhash_components
 
@@ -71,3 +71,9 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of all documents."""
     return quality.quality_scores(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "labels"))
+
+
+@query("op9_html_text")
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return html_text.extract(read(spark, sf_dir, "pages", "page_id", "url", "html"))
