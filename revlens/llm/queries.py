@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revlens.llm import bpe, decontaminate, html_text, licenses, quality, rules, secrets, toxicity
+from revlens.llm import bpe, ctw, decontaminate, html_text, licenses, quality, rules, secrets, toxicity
 from revlens.llm.common import read
 from revlens.llm.simhash import simhash_components
 
@@ -77,3 +77,9 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of all pages."""
     return html_text.extract(read(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+@query("op10_context_tree")
+def op10_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model scores of all documents."""
+    return ctw.score_documents(read(spark, sf_dir, "documents", "doc_id", "text"))
