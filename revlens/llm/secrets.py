@@ -147,20 +147,25 @@ def report(df: DataFrame, **settings) -> DataFrame:
 def redacted(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]", **settings) -> DataFrame:
     """``df`` with the values of live-looking credentials replaced by ``mark``; all rows and columns stay.
 
-    Overlapping values are replaced as one.  Rows that share an id share their
-    text's spans only if the texts are equal, so spans are matched by id and text hash."""
-    own = df.withColumn("__text", F.xxhash64(F.coalesce(text_col, F.lit(""))))
-    found, judged = judged_spans(df.withColumn("__id", F.struct(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("h")))
-                                 .withColumn("__key", F.to_json("__id")), "__key", text_col, repo_col=id_col, **settings)
-    cuts = judged.where("live").join(found.select("row", "id"), "row").groupBy("id").agg(
-        F.array_sort(F.collect_set(F.struct("vstart", "vend"))).alias("__cuts"))
-    cuts = stored(cuts.withColumnRenamed("id", "__key"))
+    Overlapping values are replaced as one; null texts stay null.  Rows are
+    matched to their spans by id and a hash of the text, so repeated ids with
+    other texts keep apart and null ids are treated like any other."""
+    key = F.to_json(F.struct(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("h")))
+    found, judged = judged_spans(df.withColumn("__key", key), "__key", text_col, repo_col=id_col, **settings)
+    cuts = judged.where("live").join(found.where(F.size("spans") > 0).select("row", F.col("id").alias("__key")), "row")
+    cuts = stored(cuts.groupBy("__key").agg(F.array_sort(F.collect_set(F.struct("vstart", "vend"))).alias("__cuts")))
     text = F.col(text_col)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     step = lambda a, s: F.when(s["vstart"] >= a["at"], F.struct(s["vend"].alias("at"), F.concat(
         a["out"], F.substring(text, a["at"] + 1, s["vstart"] - a["at"]), F.lit(mark)).alias("out"))).otherwise(
             F.struct(F.greatest(a["at"], s["vend"]).alias("at"), a["out"].alias("out")))
     done = F.aggregate("__cuts", start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    key = F.to_json(F.struct(F.col(id_col).alias("id"), F.col("__text").alias("h")))
-    out = own.withColumn("__key", key).join(small_side(cuts, 100_000), "__key", "left")
+    out = df.withColumn("__key", key).join(small_side(cuts, 100_000), "__key", "left")
     return out.withColumn(text_col, F.when(F.col("__cuts").isNull(), text).otherwise(done)).select(*df.columns)
+
+
+def with_length(df: DataFrame, column: str, text_col: str = "text") -> DataFrame:
+    """Renew a length column where the table has it, keeping its type."""
+    if column not in df.columns:
+        return df
+    return df.withColumn(column, F.when(F.col(text_col).isNull(), F.col(column)).otherwise(F.length(text_col)).cast(df.schema[column].dataType))
