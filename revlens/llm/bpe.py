@@ -18,17 +18,19 @@ from __future__ import annotations
 
 import base64
 from heapq import heapify, heappop, heappush
-from itertools import chain, islice
+from itertools import islice
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 NONE = np.iinfo(np.int64).max
 #: Characters of text whose words are split at once, and distinct words kept by a task.
-CHUNK, KEPT = 1 << 22, 300_000
+CHUNK, KEPT = 1 << 21, 200_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -37,6 +39,15 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(bytes.strip, f))}
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values (a sort beats a hash table on short arrays)."""
+    x = np.sort(x)
+    keep = np.empty(len(x), bool)
+    keep[:1] = True
+    np.not_equal(x[1:], x[:-1], out=keep[1:])
+    return x[keep]
+
+
 class Merges:
     """Pair table of a vocabulary and the replay over a list of words."""
 
@@ -61,12 +72,12 @@ class Merges:
         at = np.searchsorted(self.keys, key).clip(max=len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.rank[at], NONE)
 
-    def replay(self, words: list[bytes]) -> list[list[int]]:
-        """Token ids of every word."""
+    def replay(self, words: list[bytes]) -> list[bytes]:
+        """Token ids of every word, as packed 32-bit integers."""
         data = np.frombuffer(b"".join(words), np.uint8)
         n = len(data)
         if not n or not len(self.keys):
-            return [self.byte[list(w)].tolist() for w in words]
+            return [self.byte[list(w)].astype(np.int32).tobytes() for w in words]
         length = np.array([len(w) for w in words])
         end = np.cumsum(length)
         word = np.repeat(np.arange(len(words)), length)
@@ -101,8 +112,8 @@ class Merges:
         while heap:
             r = heappop(heap)
             parts = index.pop(r, [])
-            pos = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
-            pos = pos[at_rank[pos] == r]  # entries of symbols merged away meanwhile are stale
+            pos = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+            pos = distinct(pos[at_rank[pos] == r])  # entries of symbols merged away meanwhile are stale
             if not len(pos):
                 continue
             if len(pos) > 1:
@@ -129,24 +140,22 @@ class Merges:
             alive[b] = False
             at_rank[b] = NONE
             left = prv[pos]
-            enter(np.unique(np.concatenate([pos, left[left >= 0]])))
+            enter(distinct(np.concatenate([pos, left[left >= 0]])))
         ids, out_word = tok[:n][alive], word[alive]
-        edge = np.searchsorted(out_word, np.arange(len(words) + 1)).tolist()
-        ids = ids.tolist()
+        edge = (4 * np.searchsorted(out_word, np.arange(len(words) + 1))).tolist()
+        ids = ids.astype(np.int32).tobytes()
         return [ids[a:b] for a, b in zip(edge, edge[1:])]
 
-    def encode_words(self, words) -> dict[str, tuple]:
-        """Token ids of every distinct word; a word that is a token needs no merge."""
-        out, rest = {}, []
-        for w in words:
-            rank = self.ranks.get(raw := w.encode())
-            if rank is None:
-                rest.append((w, raw))
-            else:
-                out[w] = (rank,)
-        if rest:
-            out.update((w, tuple(ids)) for (w, _), ids in zip(rest, self.replay([raw for _, raw in rest])))
-        return out
+    def decode(self, ids) -> bytes:
+        return b"".join(map(self.tokens.__getitem__, ids))
+
+    def encode_words(self, words) -> dict[str, bytes]:
+        """Token ids of every distinct word, as packed 32-bit integers; a word that is a token needs no merge."""
+        words = list(words)
+        raw = [w.encode() for w in words]
+        rank = [self.ranks.get(w) for w in raw]
+        merged = iter(self.replay([w for w, r in zip(raw, rank) if r is None]))
+        return {w: next(merged) if r is None else pack("=i", r) for w, r in zip(words, rank)}
 
 
 def _pieces(pattern, text: str):
@@ -170,7 +179,7 @@ def encode_texts(merges: Merges, texts, pattern, known: dict) -> list[np.ndarray
         new = met - known.keys()
         known.update(merges.encode_words(new))
         for k, part in wait:
-            out[k].append(np.fromiter(chain.from_iterable(map(known.__getitem__, part)), np.int32))
+            out[k].append(np.frombuffer(b"".join(map(known.__getitem__, part)), np.int32))
         wait.clear()
 
     for k, text in enumerate(texts):
@@ -187,28 +196,44 @@ def encode_texts(merges: Merges, texts, pattern, known: dict) -> list[np.ndarray
     return [np.concatenate(x) if x else np.zeros(0, np.int32) for x in out]
 
 
-def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, tokens: array of int), one row per row of ``df``.
+def portions(batch: pa.RecordBatch, column: int):
+    """Slices of a batch of about ``CHUNK`` bytes of text each, so that few texts are Python objects at once."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(size):
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + CHUNK, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def listed(arrays: list, kind) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, kind), *arrays])))
+
+
+def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """(id, tokens: array of int), one row per row of ``df``; with ``decoded`` also
+    data: the bytes that the ids stand for, as ``decode`` gives them, in the same pass.
 
     Null and empty texts have no tokens.  Ids may be null or repeated; other
     columns are ignored.  Memory of a task is bounded by its Arrow batch,
-    ``CHUNK`` characters of split text and ``KEPT`` distinct words."""
+    ``CHUNK`` characters of split text (or the longest text) and ``KEPT`` distinct words."""
     # the vocabulary is a file of fixed size (about a megabyte), read once on the driver
     shared = df.sparkSession.sparkContext.broadcast(Merges(load_ranks(ranks_path), pattern))
 
     def run(batches):
         merges, known = shared.value, {}
         split = regex.compile(merges.pattern)
-        for b in batches:
-            ids = encode_texts(merges, b.column(1).to_pylist(), split, known)
-            offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-            flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["id", "tokens"])
+        for batch in batches:
+            for b in portions(batch, 1):
+                ids = encode_texts(merges, b.column(1).to_pylist(), split, known)
+                out = {"id": b.column(0), "tokens": listed(ids, np.int32)}
+                if decoded:
+                    out["data"] = pa.array([merges.decode(x.tolist()) for x in ids], pa.binary())
+                yield pa.RecordBatch.from_pydict(out)
 
     kind = df.schema[id_col].dataType.simpleString()
     return (df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-            .mapInArrow(run, f"id {kind}, tokens array<int>").withColumnRenamed("id", id_col))
+            .mapInArrow(run, f"id {kind}, tokens array<int>" + ", data binary" * decoded).withColumnRenamed("id", id_col))
 
 
 def decode(df: DataFrame, ranks_path: str, id_col: str = "doc_id", tokens_col: str = "tokens") -> DataFrame:
@@ -219,8 +244,10 @@ def decode(df: DataFrame, ranks_path: str, id_col: str = "doc_id", tokens_col: s
     def run(batches):
         token = shared.value.__getitem__
         for b in batches:
-            data = [b"".join(map(token, ids or ())) for ids in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(data, pa.binary())], names=["id", "tokens", "data"])
+            for k in range(0, b.num_rows, 256):
+                part = b.slice(k, 256)
+                data = [b"".join(map(token, ids or ())) for ids in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(data, pa.binary())], names=["id", "tokens", "data"])
 
     kind = df.schema[id_col].dataType.simpleString()
     return (df.select(F.col(id_col).alias("id"), F.col(tokens_col).alias("tokens"))
@@ -229,7 +256,7 @@ def decode(df: DataFrame, ranks_path: str, id_col: str = "doc_id", tokens_col: s
 
 def digests(df: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of the encoded and decoded documents."""
-    both = decode(encode(df, ranks_path, pattern), ranks_path)
+    both = encode(df, ranks_path, pattern, decoded=True)
     return both.select(
         "doc_id", F.size("tokens").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("tokens").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
