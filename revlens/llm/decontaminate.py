@@ -30,25 +30,29 @@ def plain_words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
-def _window(words: Column, size: int, make) -> Column:
-    """``make`` of every window of ``size`` words (of all words if there are fewer; none without words)."""
-    last = F.greatest(F.size(words) - size + 1, F.lit(1))
-    windows = F.transform(F.sequence(F.lit(1), last), lambda i: make(F.slice(words, i, size)))
-    return F.when(F.size(words) > 0, windows).otherwise(F.array().cast("array<string>") if make is shingle_text else F.array().cast("array<bigint>"))
+def _windows(words: Column, size: int) -> Column:
+    """Structs of ``size`` neighbouring words; the words themselves are shifted as whole arrays, since a
+    slice inside a lambda would copy the array for every window."""
+    n = F.greatest(F.size(words) - size + 1, F.lit(0))
+    return F.arrays_zip(*[F.slice(words, k + 1, n).alias(f"w{k}") for k in range(size)])
 
 
-def shingle_text(window: Column) -> Column:
-    return F.array_join(window, " ")
+def shingle_hashes(words: Column, size: int) -> Column:
+    """Hash of every window; of all words if there are fewer; none without words."""
+    return (F.when(F.size(words) >= size, F.transform(_windows(words, size), lambda x: F.xxhash64(*[x[f"w{k}"] for k in range(size)])))
+            .when(F.size(words) > 0, F.array(F.xxhash64(words))).otherwise(F.array().cast("array<bigint>")))
 
 
-def shingle_hash(window: Column) -> Column:
-    return F.xxhash64(window)
+def shingle_texts(words: Column, size: int) -> Column:
+    """The same windows as strings."""
+    return (F.when(F.size(words) >= size, F.transform(_windows(words, size), lambda x: F.concat_ws(" ", *[x[f"w{k}"] for k in range(size)])))
+            .when(F.size(words) > 0, F.array(F.array_join(words, " "))).otherwise(F.array().cast("array<string>")))
 
 
 def sketches(items: DataFrame, item_col: str, text_col: str, size: int, threshold: float) -> DataFrame:
     """(item, n, h): the bottom-k MinHash of every item with a word; n counts its distinct shingles."""
     w = items.select(F.col(item_col).alias("item"), plain_words(F.col(text_col)).alias("w")).distinct()
-    h = w.select("item", F.explode(F.array(F.array_sort(F.array_distinct(_window(F.col("w"), size, shingle_hash))))).alias("hs"))
+    h = w.select("item", F.explode(F.array(F.array_sort(F.array_distinct(shingle_hashes(F.col("w"), size))))).alias("hs"))
     h = h.select("item", "hs", F.size("hs").alias("n")).where("n > 0")
     upper = F.least(F.col("n"), F.pow(F.lit(2), F.ceil(F.log2("n"))).cast("int"))  # of its size class, as far as it has shingles
     k = F.floor((1 - threshold) * upper + 1e-9).cast("int") + 1
@@ -74,7 +78,7 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
         return source.where("false").select("id", F.lit(None).cast(kind).alias("item"), F.lit(0).alias("n_shingles"), F.lit(0).alias("n_shared")).select(*out_names)
     # 1. search: shingle hashes of whole documents that can be in a sketch
     w = source.select("id", plain_words(F.col("text")).alias("w"))
-    low = F.filter(_window(F.col("w"), size, shingle_hash), lambda h: h <= bound["top"])
+    low = F.filter(shingle_hashes(F.col("w"), size), lambda h: h <= bound["top"])
     hits = w.select("id", F.size("w").alias("n_words"), F.explode(low).alias("h"))
     longest_first = F.greatest(F.col("n_words") - size + 1, F.lit(1))
     pairs = stored(hits.join(small_side(sketch, broadcast_rows), "h").where(longest_first >= F.ceil(F.lit(threshold) * F.col("n") - 1e-9))
@@ -82,9 +86,9 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
     # 2. verification by the shingle strings of the candidates only
     texts = source.join(small_side(pairs.select("id").distinct(), broadcast_rows), "id", "left_semi")
     in_doc = texts.select("id", plain_words(F.col("text")).alias("w")).select(
-        "id", F.array_distinct(_window(F.col("w"), size, shingle_text)).alias("have"))
+        "id", F.array_distinct(shingle_texts(F.col("w"), size)).alias("have"))
     in_item = items.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item"), plain_words(F.col(item_text)).alias("w")).distinct().select(
-        "item", F.array_distinct(_window(F.col("w"), size, shingle_text)).alias("want"))
+        "item", F.array_distinct(shingle_texts(F.col("w"), size)).alias("want"))
     both = in_doc.join(pairs, "id").join(in_item, "item").select(
         "id", "item", F.size("want").alias("n_shingles"), F.size(F.array_intersect("have", "want")).alias("n_shared"))
     sure = both.where(F.col("n_shared") >= F.ceil(F.lit(threshold) * F.col("n_shingles") - 1e-9))

@@ -63,14 +63,18 @@ def measures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     same = F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: a == b)
     d = d.withColumn("n_same_words", F.size(F.filter(same, lambda x: x)))
     # words in windows that the text holds twice: equal hashes stand side by side after a sort
-    m = F.col("n_words") - WINDOW + 1
-    d = step(d, "hashes", F.when(m > 1, F.transform(F.sequence(F.lit(1), m), lambda i: F.xxhash64(F.slice("w", i, WINDOW))))
-             .otherwise(F.array().cast("array<bigint>")))
+    # (whole arrays are shifted, since a slice inside a lambda would copy the array for every window)
+    m = F.greatest(F.col("n_words") - WINDOW + 1, F.lit(0))
+    windows = F.arrays_zip(*[F.slice("w", k + 1, m).alias(f"w{k}") for k in range(WINDOW)])
+    part = lambda x: [x[f"w{k}"] for k in range(WINDOW)]
+    d = step(d, "hashes", F.transform(windows, lambda x: F.xxhash64(*part(x))))
     twice = F.size("hashes") > F.size(F.array_distinct("hashes"))  # texts without a repeated window need no more
-    d = step(d, "sorted", F.when(twice, F.sort_array(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), (i + 1).alias("i")))))
-             .otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
+    other = F.transform(windows, lambda x: F.hash(*part(x)))  # equal windows agree on 96 bits of two hashes
+    both = F.zip_with("hashes", other, lambda h, g: F.struct(h.alias("h"), g.alias("g")))
+    d = step(d, "sorted", F.when(twice, F.sort_array(F.transform(both, lambda x, i: F.struct(x["h"].alias("h"), x["g"].alias("g"), (i + 1).alias("i")))))
+             .otherwise(F.array().cast("array<struct<h:bigint,g:int,i:int>>")))
     at = lambda k: F.element_at("sorted", k)
-    equal = lambda a, b: (at(a)["h"] == at(b)["h"]) & (F.slice("w", at(a)["i"], WINDOW) == F.slice("w", at(b)["i"], WINDOW))
+    equal = lambda a, b: (at(a)["h"] == at(b)["h"]) & (at(a)["g"] == at(b)["g"])
     n = F.size("sorted")
     repeated = F.filter(F.sequence(F.lit(1), n), lambda k: F.when(k > 1, equal(k, k - 1)).otherwise(False) | F.when(k < n, equal(k, k + 1)).otherwise(False))
     d = step(d, "starts", F.when(n > 0, F.sort_array(F.transform(repeated, lambda k: at(k)["i"]))).otherwise(F.array().cast("array<int>")))
