@@ -19,21 +19,15 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, St
 PY_TOKEN = regex.compile(r"[\p{L}\p{N}_'-]+|[^\p{L}\p{N}_\s'-]+")
 
 
-def space_punct_py(text: str) -> str:
-    """The reference's text-variant punctuation spacer, per character."""
-    out = []
-    for ch in text:
-        if not ch.isalnum() and ch != "'" and ch != " ":
-            out.append(" " + ch + " ")
-        else:
-            out.append(ch)
-    return "".join(out).strip()
+def longest_word(text: str) -> int:
+    """A user's row function: code points of the longest blank-separated word."""
+    return max(map(len, text.split(" ")))
 
 
-@F.pandas_udf(StringType())
-def space_punct_udf(s: pd.Series) -> pd.Series:
+@F.pandas_udf(IntegerType())
+def longest_word_udf(s: pd.Series) -> pd.Series:
     """L1: a row function applied to a column, one Arrow batch at a time."""
-    return s.map(lambda t: None if t is None else space_punct_py(t))
+    return s.map(longest_word, na_action="ignore").astype("Int32")
 
 
 def remove_words_udf(stop: list[str]):
@@ -48,7 +42,7 @@ def remove_words_udf(stop: list[str]):
     return run
 
 
-@udtf(returnType=StructType([StructField("pos", IntegerType()), StructField("token", StringType())]))
+@udtf(returnType=StructType([StructField("pos", IntegerType()), StructField("token", StringType())]), useArrow=True)
 class TokensUDTF:
     """L3: one-to-many table function: a text -> one row per token."""
 

@@ -19,7 +19,10 @@ def char_grams(df: DataFrame, keys: list[str], text: str, n: int = 3) -> DataFra
     """Counts of the character n-grams of the lower-cased text, per key."""
     # one linear regex pass: a zero-width lookahead captures every overlapping
     # n-gram (substring by position would rescan the UTF-8 text per gram)
-    grams = F.regexp_extract_all(F.lower(F.col(text)), F.lit(f"(?s)(?=(.{{{n}}}))"), 1)
+    low = F.lower(F.col(text))
+    grams = F.regexp_extract_all(low, F.lit(f"(?s)(?=(.{{{n}}}))"), 1)
+    # a text shorter than a gram is one gram, so that it is not lost
+    grams = F.when(F.length(low) < n, F.array(low)).otherwise(grams)
     e = df.select(*keys, F.explode(grams).alias("gram"))
     return e.groupBy(*keys, "gram").agg(F.count(F.lit(1)).alias("c"))
 
@@ -32,7 +35,7 @@ def train_profiles(grams: DataFrame, lang: str = "lang") -> tuple[DataFrame, Dat
     floor = tot.select(lang, F.log(F.lit(1.0) / (F.col("tot") + v)).alias("lpu"))
     tot = bounded_broadcast(tot, 10_000)  # one row per language
     prof = tr.join(tot, lang).select(lang, "gram", F.log((F.col("c") + 1) / (F.col("tot") + v)).alias("lp"))
-    prof = prof.join(F.broadcast(floor), lang).select(lang, "gram", (F.col("lp") - F.col("lpu")).alias("gain"))
+    prof = prof.join(bounded_broadcast(floor, 10_000), lang).select(lang, "gram", (F.col("lp") - F.col("lpu")).alias("gain"))
     # small (languages x distinct grams) and reused by every scoring join: materialize once
     return prof.checkpoint(eager=True), floor.checkpoint(eager=True)
 
@@ -47,6 +50,6 @@ def identify(grams: DataFrame, keys: list[str], prof: DataFrame, floor: DataFram
     n = grams.groupBy(*keys).agg(F.sum("c").alias("n"))
     langs = [r["_cand"] for r in fl.select("_cand").collect()]  # a handful of languages
     cand = n.withColumn("_cand", F.explode(F.array(*[F.lit(x) for x in sorted(langs)])))
-    sc = (cand.join(F.broadcast(fl), "_cand").join(adj, [*keys, "_cand"], "left")
+    sc = (cand.join(bounded_broadcast(fl, 10_000), "_cand").join(adj, [*keys, "_cand"], "left")
           .withColumn("score", F.col("n") * F.col("lpu") + F.coalesce("a", F.lit(0.0))))
     return sc.groupBy(*keys).agg(F.min_by("_cand", F.struct(-F.col("score"), F.col("_cand"))).alias("pred"))

@@ -22,6 +22,8 @@ deterministic, also when tasks are retried.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,7 +68,10 @@ def rank_within(df: DataFrame, keys: list[str], order: list, pos: str = "_pos",
         wk = Window.partitionBy(*keys) if keys else Window.partitionBy()
         small = small.withColumn(size, F.sum("__rw_cnt").over(wk))
     keep = ["__rw_first", "__rw_before"] + ([size] if size else [])
-    out = ids.join(small.select(*gcols, *keep), on=gcols, how="inner")
+    # null-safe: rows with a null key are a group of their own, as in a window
+    small = small.select(*[F.col(c).alias(f"__rw_k{i}") for i, c in enumerate(gcols)], *keep)
+    same = [F.col(c).eqNullSafe(F.col(f"__rw_k{i}")) for i, c in enumerate(gcols)]
+    out = ids.join(small, reduce(lambda a, b: a & b, same)).drop(*[f"__rw_k{i}" for i in range(len(gcols))])
     out = out.withColumn(pos, (F.col("__rw_before") + F.col("__rw_rid") - F.col("__rw_first")).cast("bigint"))
     return out.drop("__rw_rid", "__rw_pid", "__rw_first", "__rw_before")
 

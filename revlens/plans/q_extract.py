@@ -103,18 +103,20 @@ def b04(spark, sf_dir):
 
 
 @register("b04_aspect_map", """
-SELECT page_id, map_from_entries(list_transform(list_distinct(labels),
+SELECT page_id, map_keys(aspects) AS aspects, map_values(aspects) AS ratings FROM (SELECT page_id, map_from_entries(list_transform(list_sort(list_distinct(labels)),
          lambda x: struct_pack(k := x || '_rating', v := CAST(length(x) % 5 + 1 AS DOUBLE)))) AS aspects
 FROM (SELECT page_id, regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1),
-                                         '<a href="[^"]*">([^<]*)</a>', 1) AS labels FROM pages)""")
+                                         '<a href="[^"]*">([^<]*)</a>', 1) AS labels FROM pages))""")
 def b04m(spark, sf_dir):
-    """The same aspect ratings as one ``map<string, double>`` column per page (repeated labels collapse)."""
+    """The same aspect ratings as one ``map<string, double>`` per page (repeated labels collapse), its entries in key order."""
     p = pages(spark, sf_dir, "html")
     nav = XT.inner(F.col("html"), "nav")
-    labels = F.array_distinct(F.regexp_extract_all(nav, F.lit(r'<a href="[^"]*">([^<]*)</a>'), 1))
+    labels = F.array_sort(F.array_distinct(F.regexp_extract_all(nav, F.lit(r'<a href="[^"]*">([^<]*)</a>'), 1)))
     entries = F.transform(labels, lambda x: F.struct(F.concat(x, F.lit("_rating")),
                                                       (F.length(x) % 5 + 1).cast("double")))
-    return p.select("page_id", F.map_from_entries(entries).alias("aspects"))
+    # a map has no order once it is collected, so its entries are returned by key
+    return p.select("page_id", F.map_from_entries(entries).alias("m")).select(
+        "page_id", F.map_keys("m").alias("aspects"), F.map_values("m").alias("ratings"))
 
 
 @register("b05_anchors", """

@@ -52,7 +52,7 @@ SELECT string_split(url, '/')[3] AS entity, CAST(page_id AS INTEGER) AS page_no,
 def a05(spark, sf_dir):
     """Directory of saved pages per entity -> (entity, page number, html)."""
     p = table(spark, sf_dir, "pages", "page_id", "url", "html").select(
-        F.element_at(F.split("url", "/"), 3).alias("entity"), F.col("page_id").alias("page"), "html")
+        F.get(F.split("url", "/"), 2).alias("entity"), F.col("page_id").alias("page"), "html")
     path = io.scratch_path(spark, "a05")
     p.write.mode("overwrite").partitionBy("entity", "page").text(path)
     t = io.read_page_tree(spark, path, entity_level=-3, page_level=-2)
@@ -76,8 +76,8 @@ SELECT string_split(url, '/')[4] AS category_name, string_split(url, '/')[3] AS
 def a08(spark, sf_dir):
     """Record lists (links per category) persisted as Parquet and loaded back."""
     p = table(spark, sf_dir, "pages", "page_id", "url").select(
-        F.element_at(F.split("url", "/"), 4).alias("category_name"),
-        F.element_at(F.split("url", "/"), 3).alias("subcategory_name"), F.col("url").alias("prod_link"))
+        F.get(F.split("url", "/"), 3).alias("category_name"),
+        F.get(F.split("url", "/"), 2).alias("subcategory_name"), F.col("url").alias("prod_link"))
     path = io.scratch_path(spark, "a08")
     p.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
@@ -169,7 +169,7 @@ def b01_flow(spark, sf_dir):
     from revlens.operators import clean
     from revlens.operators import extract as XT
     p = table(spark, sf_dir, "pages", "page_id", "url", "html").select(
-        F.element_at(F.split("url", "/"), 3).alias("entity"), F.col("page_id").alias("page"), "html")
+        F.get(F.split("url", "/"), 2).alias("entity"), F.col("page_id").alias("page"), "html")
     path = io.scratch_path(spark, "b01-flow")
     p.write.mode("overwrite").partitionBy("entity", "page").text(path)
     tree = io.read_page_tree(spark, path, entity_level=-3, page_level=-2)
@@ -194,7 +194,7 @@ FROM e""")
 def k01(spark, sf_dir):
     """Resume state per entity: pages done, next page URL, finished flag."""
     from revlens.streaming.resume import resume_state
-    c = fx.fx_crawl(spark, sf_dir).withColumn("entity", F.element_at(F.split("link", "/"), 3))
+    c = fx.fx_crawl(spark, sf_dir).withColumn("entity", F.get(F.split("link", "/"), 2))
     return resume_state(c, per_page=10)
 
 
@@ -224,7 +224,7 @@ def k03(spark, sf_dir):
     """Structured Streaming ingest of saved pages (available-now trigger, checkpointed, resumable)."""
     from revlens.streaming.resume import ingest_pages_stream
     p = table(spark, sf_dir, "pages", "page_id", "url", "html").select(
-        F.element_at(F.split("url", "/"), 3).alias("entity"), F.col("page_id").alias("page"), "html")
+        F.get(F.split("url", "/"), 2).alias("entity"), F.col("page_id").alias("page"), "html")
     src = io.scratch_path(spark, "k03-src")
     p.write.mode("overwrite").partitionBy("entity", "page").text(src)
     out = ingest_pages_stream(spark, src, io.scratch_path(spark, "k03-out"))

@@ -96,11 +96,11 @@ WITH t AS (SELECT id, m, {C24_TEXT_SQL} AS proba_text
            FROM (SELECT id, m, list_transform(range(0, 5), lambda k: CASE WHEN k = y_pred THEN 0.6 ELSE 0.1 END) AS p
                  FROM fx_predictions)),
 share AS (SELECT avg(CASE WHEN starts_with(proba_text, '[') AND ends_with(proba_text, ']') THEN 1.0 ELSE 0.0 END) AS s FROM t)
-SELECT id, m, TRY_CAST(proba_text AS DOUBLE[]) AS proba FROM t, share
-WHERE share.s > 0.8 AND TRY_CAST(proba_text AS DOUBLE[]) IS NOT NULL
+SELECT id, m, CASE WHEN s <= 0.8 THEN proba_text END AS proba_text, CASE WHEN s > 0.8 THEN TRY_CAST(proba_text AS DOUBLE[]) END AS proba FROM t, share
+WHERE share.s <= 0.8 OR TRY_CAST(proba_text AS DOUBLE[]) IS NOT NULL
   AND len(list_filter(TRY_CAST(proba_text AS DOUBLE[]), lambda x: x IS NULL)) = 0"""))
 def c24(spark, sf_dir):
-    """Text columns that look like lists (>80% ``[...]``) parsed; failing rows dropped."""
+    """Text columns that look like lists (>80% ``[...]``) parsed, failing rows dropped; any other column stays text with all its rows."""
     p = fx.fx_predictions(spark, sf_dir)
     txt = (F.when((F.col("id") + F.col("m")) % 23 == 0, F.lit("None"))
            .when(F.col("id") % 29 == 0, F.lit("[0.6, oops]"))
@@ -110,8 +110,8 @@ def c24(spark, sf_dir):
     looks = (F.col("proba_text").startswith("[") & F.col("proba_text").endswith("]")).cast("double")
     share = t.select(F.avg(looks)).scalar()
     parsed = F.from_json(F.replace(F.col("proba_text"), F.lit("None"), F.lit("null")), "array<double>")
-    out = t.select("id", "m", F.when(share > 0.8, parsed).alias("proba"))
-    return out.filter(F.col("proba").isNotNull())
+    out = t.select("id", "m", F.when(share <= 0.8, F.col("proba_text")).alias("proba_text"), F.when(share > 0.8, parsed).alias("proba"))
+    return out.filter((share <= 0.8) | F.col("proba").isNotNull())
 
 
 @register("c25_drop_columns", with_fixtures(
@@ -572,7 +572,7 @@ WHERE rn <= 2""")
 def g07(spark, sf_dir):
     """Per-group cap: the first 2 pages of each site."""
     p = table(spark, sf_dir, "pages", "page_id", "url").select(
-        F.element_at(F.split("url", "/"), 3).alias("host"), "page_id")
+        F.get(F.split("url", "/"), 2).alias("host"), "page_id")
     return top_per_group(p, ["host"], ["page_id"], 2).select("host", "page_id")
 
 

@@ -9,19 +9,18 @@ from revlens.functions import udfs as U
 from revlens.operators import tokens as K
 from revlens.plans.common import cleaned, r6
 from revlens.plans.fixture_sql import with_fixtures
-from revlens.plans.q_clean import ustrip_sql
 from revlens.plans.q_text import D12_STOP, _sql_str_list
 from revlens.plans.registry import register
 from revlens.sources import fixtures as fx
 
 
-@register("l01_row_function", with_fixtures(f"""
-SELECT review_id, {ustrip_sql("regexp_replace(review, '([^\\p{L}\\p{N}'' ])', ' \\1 ', 'g')")} AS review
+@register("l01_row_function", with_fixtures("""
+SELECT review_id, CAST(list_max(list_transform(string_split(review, ' '), lambda w: length(w))) AS INTEGER) AS longest_word
 FROM fx_reviews"""))
 def l01(spark, sf_dir):
-    """Python row function (per-character punctuation spacer) as a pandas UDF."""
+    """Python row function (longest word of a text) as a pandas UDF."""
     r = fx.fx_reviews(spark, sf_dir)
-    return r.select("review_id", U.space_punct_udf("review").alias("review"))
+    return r.select("review_id", U.longest_word_udf("review").alias("longest_word"))
 
 
 @register("l02_batch_function_extras", with_fixtures(f"""

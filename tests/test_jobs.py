@@ -15,7 +15,7 @@ def _brute_earliest(rows, d):
     for g, r, p in rows:
         best = None
         for g2, r2, p2 in rows:
-            if g2 == g and r2 < r and (X.similar(p2.split(), p.split(), d) or X.similar(p.split(), p2.split(), d)):
+            if g2 == g and r2 < r and X.Phrase(p2, d).alike(X.Phrase(p, d)):
                 best = r2 if best is None else min(best, r2)
         out[(g, r)] = best
     return out

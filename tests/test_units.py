@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from pyspark.sql import Row, Window
 from pyspark.sql import functions as F
 
@@ -120,9 +122,68 @@ def test_crawl_ratio():
 
 
 def test_similarity_window_one_short():
-    a, b = "a b c d".split(), "x b c y".split()
-    assert X.similar(a, b, 2)            # window 1 ("b c") inside b's text
-    assert not X.similar("p q c d".split(), "c d".split(), 2)  # window 2 ("c d") is not tested
+    assert X.Phrase("a b c d", 2).alike(X.Phrase("x b c y", 2))    # "b c" stands in the other text
+    assert not X.Phrase("p q c d", 2).alike(X.Phrase("c d", 2))    # "c d" holds the last token
+
+
+def test_similarity_column_equals_values(spark):
+    random.seed(4)
+    rows = [tuple(" ".join(random.choice("ab bc c abc".split()) for _ in range(random.randint(1, 5))) for _ in range(2)) for _ in range(300)]
+    df = spark.createDataFrame(rows, "p string, q string")
+    for d in (1, 2, 3):
+        got = [r[0] for r in df.select(X.alike(F.col("p"), F.col("q"), d)).collect()]
+        assert got == [X.Phrase(p, d).alike(X.Phrase(q, d)) for p, q in rows]
+
+
+def test_rank_within_keeps_null_keys(spark):
+    df = spark.createDataFrame([(1, "a", 5), (2, None, 7), (3, None, 6), (4, "a", 9)], "id int, key string, v int")
+    got = {(r.id, r.p, r.n) for r in rank_within(df, ["key"], ["v"], pos="p", size="n").collect()}
+    assert got == {(1, 0, 2), (4, 1, 2), (3, 0, 2), (2, 1, 2)}
+
+
+def test_scope_all_and_null_dataset(spark):
+    df = spark.createDataFrame([("test", "a", True, 1, 1), ("test", None, True, 1, 0), ("test", "b", False, 0, 0)],
+                               "split string, dataset_name string, translated boolean, y_true int, y_pred int")
+    got = {(r.scope, r.value): (r.n, round(r.micro_f1, 6)) for r in M.f1_by_scopes(df).collect()}
+    assert got[("all", "all")] == (3, 0.666667) and got[("dataset_name", None)] == (1, 0.0)
+
+
+def test_vocabulary_has_no_cap(spark):
+    from revlens.operators import models as ML
+    n = (1 << 18) + 5000
+    df = spark.range(0, 300).selectExpr("id AS review_id", f"array_join(transform(sequence(id, {n} - 1, 300L), x -> concat('w', x)), ' ') AS t")
+    feats = ML.fit_tfidf(df, "t", [], ngram_max=1)
+    assert len(next(s for s in feats.stages if hasattr(s, "vocabulary")).vocabulary) == n
+
+
+def test_short_texts_have_a_language(spark):
+    from revlens.operators import lang as LG
+    df = spark.createDataFrame([(1, "en", "the cat"), (2, "de", "der hund"), (3, "en", "a"), (4, "de", "")], "k int, lang string, t string")
+    g = LG.char_grams(df, ["k", "lang"], "t", 3)
+    prof, floor = LG.train_profiles(g)
+    assert {r.k for r in LG.identify(g, ["k"], prof, floor).collect()} == {1, 2, 3, 4}
+
+
+def test_literal_lines_keep_empty_records(spark, tmp_path):
+    from revlens.sources import io
+    (tmp_path / "a.txt").write_text("{'a': 'x', 'b': None}\n\n{'a': None, 'b': None}\n{'a': 'y', 'b': True}\n")
+    got = sorted((r.a or "", r.b or "") for r in io.read_literal_lines(spark, str(tmp_path), "a string, b string").collect())
+    assert got == [("", ""), ("x", ""), ("y", "True")]
+    (tmp_path / "b.txt").write_text("{'a': 'z'\n")
+    with pytest.raises(Exception):
+        io.read_literal_lines(spark, str(tmp_path), "a string, b string").collect()
+
+
+def test_compute_once_shows_faults(spark, tmp_path):
+    from revlens.sources import io
+    path = str(tmp_path / "t")
+    io.compute_once(spark, path, lambda: spark.range(3))
+    assert io.compute_once(spark, path, lambda: spark.range(9)).count() == 3
+    part = next((tmp_path / "t").glob("part-*"))
+    part.write_bytes(b"damaged")
+    (tmp_path / "t" / f".{part.name}.crc").unlink()
+    with pytest.raises(Exception):
+        io.compute_once(spark, path, lambda: spark.range(9)).collect()
 
 
 def test_rank_within_equals_row_number_on_skew(spark):
@@ -150,8 +211,7 @@ def _brute_diversify(items, n_top, d):
     items = sorted(items, key=lambda x: (-x[1], x[0]))
     kept = []
     for p, s in items:
-        t = p.split()
-        if any(X.similar(t, k.split(), d) or X.similar(k.split(), t, d) for k, _ in kept):
+        if any(X.Phrase(p, d).alike(X.Phrase(k, d)) for k, _ in kept):
             continue
         kept.append((p, s))
     return kept[:n_top]
