@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from revlens.operators import explain as X
@@ -58,10 +59,14 @@ def test_language_id_accuracy(spark):
 
 def test_literal_lines_fallback(spark):
     path = io.scratch_path(spark, "t-lit")
-    lines = ["{'a': 'x', 'b': '1'}", "", "{'a': True, 'b': None}", "{'a': \"it's\", 'b': '2'}", "not a dict"]
+    lines = ["{'a': 'x', 'b': '1'}", "", "{'a': True, 'b': None}", "{'a': \"it's\", 'b': '2'}"]
     spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(path)
     got = sorted((r.a, r.b) for r in io.read_literal_lines(spark, path, "a string, b string").collect())
     assert got == sorted([("x", "1"), ("True", None), ("it's", "2")])
+    broken = io.scratch_path(spark, "t-lit-broken")  # a broken line fails the read, it is not left out
+    spark.createDataFrame([(x,) for x in [*lines, "not a dict"]], "value string").coalesce(1).write.text(broken)
+    with pytest.raises(Exception, match="SyntaxError|invalid syntax"):
+        io.read_literal_lines(spark, broken, "a string, b string").collect()
 
 
 def test_csv_multiline_legacy_charset(spark):
@@ -195,3 +200,47 @@ def test_udf_queries_run_from_another_folder(tmp_path):
     out = subprocess.run([sys.executable, "-c", code], cwd=str(tmp_path), capture_output=True, text=True, timeout=600)
     assert out.returncode == 0, out.stderr[-2000:]
     assert "ROWS" in out.stdout
+
+
+def test_explanation_table_has_the_models_labels(spark):
+    """Every test row once, with the label that the fitted model itself predicts."""
+    from revlens.plans import q_models as Q
+    test, feats, lr = Q.linear_model(spark, SF_SMALL)
+    want = {r.review_id: int(r.prediction) for r in lr.transform(feats.transform(test)).select("review_id", "prediction").collect()}
+    got = {r.review_id: r for r in Q.j15(spark, SF_SMALL).collect()}
+    assert {k: r.predicted_label for k, r in got.items()} == want
+    assert all(len(t) <= 10 for r in got.values() for t in r.terms_by_label.values())
+
+
+def test_surrogate_keeps_every_word(spark):
+    """One coefficient per class and word of each test row, in text order."""
+    from revlens.functions import text as T
+    from revlens.plans import q_models as Q
+    d = Q.labelled(spark, SF_SMALL)
+    k = int(Q.n_classes(d))
+    want = {r.review_id: r.w for r in d.filter("split = 'test'").select("review_id", T.tokenize(F.lower("review_translate")).alias("w")).collect()}
+    rows = {}
+    for r in Q.j13(spark, SF_SMALL).collect():
+        rows.setdefault((r.review_id, r.label), []).append((r.pos, r.word))
+    assert {i: [w for _, w in sorted(v)] for (i, c), v in rows.items() if c == 0} == {i: w for i, w in want.items() if w}
+    assert {c for _, c in rows} == set(range(k))
+
+
+def test_batch_scores_are_distributions(spark):
+    """Every cleaned review once, probabilities that sum to one, the first arg-max as prediction."""
+    from revlens.plans import q_models as Q
+    rows = Q.j08(spark, SF_SMALL).collect()
+    assert len(rows) == len({r.review_id for r in rows}) == Q.labelled(spark, SF_SMALL).count()
+    for r in rows:
+        assert abs(sum(r.y_predicted_proba) - 1) < 1e-6 and r.y_pred == max(range(len(r.y_predicted_proba)), key=r.y_predicted_proba.__getitem__)
+
+
+def test_out_of_fold_covers_each_row_once_a_member(spark):
+    """One row per review and member, every fold used, probabilities that sum to one."""
+    from collections import Counter
+    from revlens.plans import q_models as Q
+    rows = Q.j06(spark, SF_SMALL).collect()
+    n = Q.labelled(spark, SF_SMALL).count()
+    members = Counter(r.member for r in rows)
+    assert set(members.values()) == {n} and len({(r.review_id, r.member) for r in rows}) == len(rows)
+    assert {r.fold for r in rows} == set(range(5)) and all(abs(sum(r.y_predicted_proba) - 1) < 1e-6 for r in rows)
