@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from revlens.operators.ranking import dense_index
 
+# fixed values: punctuation tokens and verbal POS tags of the question test
 PUNCT_WORDS = [".", ",", "!", "?"]
 VERBAL = ["VERB", "INFN"]
 # fixed values: POS tags whose words become stop words

@@ -260,7 +260,7 @@ def a11(spark, sf_dir):
 def a14(spark, sf_dir):
     """A fitted feature pipeline saved to the shared folder, loaded back and applied."""
     from pyspark.ml import PipelineModel
-    from pyspark.ml.functions import vector_to_array
+    from pyspark.sql.functions import unwrap_udt
     from revlens.operators import models as ML
     from revlens.plans.q_text import D12_STOP
     c = cleaned(spark, sf_dir)
@@ -268,5 +268,6 @@ def a14(spark, sf_dir):
     path = io.scratch_path(spark, "a14")
     model.write().overwrite().save(path)
     back = PipelineModel.load(path).transform(c)
-    nnz = F.size(F.filter(vector_to_array("features"), lambda x: x != 0))
+    # the stored form of a sparse vector: no dense array of the vocabulary's size per row
+    nnz = F.size(F.filter(unwrap_udt("features")["values"], lambda x: x != 0))
     return back.select("review_id", nnz.alias("n_terms"))

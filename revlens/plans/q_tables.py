@@ -286,12 +286,10 @@ E04_SQL = with_fixtures("SELECT id, min(y_true) AS y_true, " + ", ".join(
 
 @register("e04_members_wide", E04_SQL)
 def e04(spark, sf_dir):
-    """n-way join of member predictions as one union + pivot (one shuffle)."""
+    """n-way join of member predictions as one union and one aggregate (one shuffle)."""
     p = fx.fx_predictions(spark, sf_dir)
-    wide = p.groupBy("id").pivot("m", list(range(9))).agg(F.max("y_pred"))
-    yt = p.groupBy("id").agg(F.min("y_true").alias("y_true"))
-    wide = wide.select("id", *[F.col(str(i)).alias(f"m{i}") for i in range(9)])
-    return yt.join(wide, "id")
+    member = [F.max(F.when(F.col("m") == i, F.col("y_pred"))).alias(f"m{i}") for i in range(9)]
+    return p.groupBy("id").agg(F.min("y_true").alias("y_true"), *member)
 
 
 @register("e05_attach_by_id", with_fixtures(f"""
