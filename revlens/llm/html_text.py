@@ -51,6 +51,9 @@ LABELLED = [
     (12, .00, 0, 1.0, 80, .00, 1, 0, 1, 1, 1), (5, .00, 30, .00, 50, .00, 1, 0, 1, 1, 1), (60, .10, 20, .00, 7, .00, 1, 0, 0, 1, 1), (40, .30, 60, .00, 12, .90, 1, 0, 0, 1, 1),
     (6, .00, 5, .00, 6, .00, 1, 0, 0, 1, 1), (3, 1.0, 60, .00, 40, .00, 1, 0, 0, 1, 1), (150, .02, 0, .00, 0, .00, 1, 0, 0, 1, 1), (1, .00, 0, .00, 0, .00, 1, 0, 0, 1, 1),
     (8, .50, 40, .00, 30, .00, 1, 0, 0, 1, 1), (4, .00, 3, .00, 4, .00, 1, 0, 0, 1, 1), (30, .00, 1, 1.0, 1, 1.0, 1, 0, 0, 1, 1),
+    (2, .00, 2, 1.0, 1, 1.0, 1, 0, 0, 1, 1), (1, .00, 1, 1.0, 0, .00, 1, 0, 1, 1, 1), (20, .90, 8, .80, 9, .95, 1, 0, 0, 1, 1), (7, .00, 14, .90, 90, .00, 1, 0, 0, 1, 1),
+    (30, .00, 3, 1.0, 2, 1.0, 1, 0, 0, 1, 1), (120, .00, 5, .70, 80, .00, 1, 0, 0, 1, 1), (9, .00, 100, .00, 4, 1.0, 1, 0, 0, 1, 1), (3, .00, 0, .00, 6, .60, 1, 0, 0, 1, 1),
+    (14, .00, 2, .50, 0, .00, 1, 0, 0, 1, 1), (4, .50, 3, 1.0, 110, .00, 1, 0, 0, 1, 1), (1, .00, 40, .00, 1, 1.0, 1, 0, 0, 1, 1), (70, .05, 6, 1.0, 5, 1.0, 1, 0, 0, 1, 1),
     # the same words in containers of menus, adverts, notices, footers and comments, inside or outside an article
     (80, .00, 40, .00, 60, .00, 1, 1, 0, 1, 0), (25, .00, 9, .00, 90, .05, 0, 1, 0, 1, 0), (2, .00, 70, .00, 30, .00, 1, 1, 0, 1, 0), (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0, 1, 0),
     (12, .00, 0, 1.0, 80, .00, 0, 1, 1, 1, 0), (7, .00, 30, .00, 0, .00, 0, 1, 0, 1, 0), (60, .10, 20, .00, 7, .00, 0, 1, 0, 0, 0), (3, 1.0, 2, 1.0, 4, 1.0, 0, 1, 0, 0, 0),
@@ -58,10 +61,21 @@ LABELLED = [
     # outside the article of a page that has one
     (9, .00, 60, .00, 20, .00, 0, 0, 0, 1, 0), (40, .00, 30, .00, 40, .00, 0, 0, 0, 1, 0), (2, 1.0, 2, 1.0, 30, .00, 0, 0, 0, 1, 0), (100, .00, 5, 1.0, 9, .00, 0, 0, 0, 1, 0),
     (6, .00, 0, .00, 12, .00, 0, 0, 1, 1, 0), (1, .00, 80, .00, 0, .00, 0, 0, 0, 1, 0),
+    (15, .00, 90, .00, 20, .00, 0, 0, 0, 1, 0), (25, .00, 40, .00, 60, .00, 0, 0, 0, 1, 0), (5, .00, 20, .00, 30, .00, 0, 0, 0, 1, 0), (60, .00, 70, .00, 50, .00, 0, 0, 0, 1, 0),
     # pages without an article element: long blocks with few links, and what stands between them
     (80, .00, 40, .00, 60, .00, 0, 0, 0, 0, 1), (25, .00, 9, .00, 90, .05, 0, 0, 0, 0, 1), (60, .20, 20, .00, 7, .00, 0, 0, 0, 0, 1), (18, .00, 60, .00, 40, .00, 0, 0, 0, 0, 1),
     (5, .00, 50, .00, 70, .00, 0, 0, 0, 0, 1), (7, .00, 0, 1.0, 60, .00, 0, 0, 1, 0, 1), (4, .00, 30, .00, 50, .00, 0, 0, 1, 0, 1), (150, .02, 0, .00, 0, .00, 0, 0, 0, 0, 1),
+    (2, .00, 40, .00, 30, .00, 0, 0, 0, 0, 1), (4, .00, 22, .00, 18, .00, 0, 0, 0, 0, 1), (6, .00, 30, .00, 25, .10, 0, 0, 0, 0, 1), (3, .00, 15, .00, 60, .00, 0, 0, 0, 0, 1),
+    (8, .00, 18, .00, 40, .00, 0, 0, 0, 0, 1), (5, .00, 60, .00, 16, .00, 0, 0, 0, 0, 1), (9, .00, 45, .00, 0, .00, 0, 0, 0, 0, 0), (5, .00, 12, .80, 10, .90, 0, 0, 0, 0, 0),
     (12, .10, 45, .00, 2, 1.0, 0, 0, 0, 0, 1), (30, .00, 0, .00, 0, .00, 0, 0, 0, 0, 1), (16, .00, 14, .00, 15, .00, 0, 0, 0, 0, 1),
+    (200, .00, 150, .00, 100, .00, 0, 0, 0, 0, 1), (400, .00, 30, .00, 20, .00, 0, 0, 0, 0, 1), (130, .00, 90, .00, 200, .00, 0, 0, 0, 0, 1), (250, .05, 2, 1.0, 3, 1.0, 0, 0, 0, 0, 1),
+    # asides of such pages, of any length
+    (20, .00, 30, .00, 40, .00, 0, 1, 0, 0, 0), (60, .00, 80, .00, 30, .00, 0, 1, 0, 0, 0), (100, .00, 20, .00, 60, .00, 0, 1, 0, 0, 0), (35, .00, 0, .00, 25, .00, 0, 1, 0, 0, 0),
+    (18, .00, 50, .00, 90, .00, 0, 1, 0, 0, 0), (90, .10, 40, .00, 15, .00, 0, 1, 0, 0, 0), (200, .00, 100, .00, 100, .00, 0, 1, 0, 0, 0), (12, .00, 40, .00, 16, .00, 0, 1, 0, 0, 0),
+    # links and what stands between them
+    (2, 1.0, 2, 1.0, 60, .00, 0, 0, 0, 0, 0), (5, .80, 4, 1.0, 90, .00, 0, 0, 0, 0, 0), (3, 1.0, 1, 1.0, 40, .05, 0, 0, 0, 0, 0), (6, .60, 0, .00, 120, .00, 0, 0, 0, 0, 0),
+    (10, .90, 9, .90, 35, .00, 0, 0, 0, 0, 0), (4, 1.0, 80, .00, 50, .00, 0, 0, 0, 0, 0), (2, 1.0, 0, .00, 25, .00, 0, 0, 0, 0, 0), (8, .70, 6, 1.0, 150, .00, 0, 0, 0, 0, 0),
+    (40, .70, 50, .00, 60, .00, 0, 0, 0, 0, 0), (20, 1.0, 3, 1.0, 70, .00, 0, 0, 0, 0, 0),
     (3, 1.0, 2, 1.0, 4, 1.0, 0, 0, 0, 0, 0), (1, .00, 2, 1.0, 1, 1.0, 0, 0, 0, 0, 0), (12, .90, 14, .80, 9, .95, 0, 0, 0, 0, 0), (30, .80, 25, .90, 6, 1.0, 0, 0, 0, 0, 0),
     (2, .00, 0, .00, 3, 1.0, 0, 0, 0, 0, 0), (4, .00, 3, 1.0, 0, .00, 0, 0, 0, 0, 0), (6, .50, 5, 1.0, 4, .70, 0, 0, 0, 0, 0), (15, .60, 60, .00, 8, 1.0, 0, 0, 0, 0, 0),
     (5, .00, 4, .60, 3, .50, 0, 0, 0, 0, 0), (3, .70, 70, .00, 2, 1.0, 0, 0, 0, 0, 0),
