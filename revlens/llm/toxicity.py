@@ -116,7 +116,7 @@ def learn_lexicons(rows: DataFrame, size: int, least: int = 6, ratio: float = 20
     """Lexicons of the rows of half 0, of half 1, and of all: words and word beginnings that at least
     ``least`` distinct toxic texts hold and clean ones ``ratio`` times less often; at most ``size`` each,
     those of most toxic texts first."""
-    rows = rows.withColumn("hash", F.xxhash64("text")).dropDuplicates(["hash"])
+    rows = rows.groupBy(F.xxhash64("text").alias("hash")).agg(F.max("label").alias("label"), F.min("half").alias("half"), F.first("text").alias("text"))
     whole = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))
     known = F.array_distinct(F.flatten(F.transform(whole, lambda w: F.concat(F.array(w), *[
         F.when(F.length(w) > n, F.array(F.concat(F.lit("^"), F.substring(w, 1, n)))).otherwise(F.array().cast("array<string>")) for n in PREFIXES]))))
@@ -150,7 +150,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
                   .select("id", "label", "__features"))
     part = F.pmod(F.xxhash64(F.lit("part"), "id"), F.lit(6))
     fits = part < 4
-    data = sampled(rest, fit_rows, "fit").withColumn("label", F.col("label").cast("double"))
+    # a bounded number of narrow rows in one order, so that equal inputs give equal trees
+    data = stored(sampled(rest, fit_rows, "fit").withColumn("label", F.col("label").cast("double"))
+                  .repartition(1).sortWithinPartitions("id", "label", "__features"))
     counts = {r["label"]: r["count"] for r in data.where(fits).groupBy("label").count().collect()}
     if len(counts) < 2:
         total = sum(counts.values())
