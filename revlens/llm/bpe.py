@@ -196,12 +196,12 @@ def encode_texts(merges: Merges, texts, pattern, known: dict) -> list[np.ndarray
     return [np.concatenate(x) if x else np.zeros(0, np.int32) for x in out]
 
 
-def portions(batch: pa.RecordBatch, column: int):
-    """Slices of a batch of about ``CHUNK`` bytes of text each, so that few texts are Python objects at once."""
+def portions(batch: pa.RecordBatch, column: int, most: int = CHUNK):
+    """Slices of a batch of about ``most`` bytes of text each, so that few texts are Python objects at once."""
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
     at = 0
     while at < len(size):
-        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + CHUNK, "right")))
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right")))
         yield batch.slice(at, end - at)
         at = end
 

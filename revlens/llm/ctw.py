@@ -13,12 +13,12 @@ All counts of the trees follow from those of byte (DEPTH + 1)-grams, which
 tasks count and a shuffle sums.  Contexts that share their last two bytes form
 a subtree; the subtrees are worked on by a shuffle on those two bytes, and
 only the two topmost levels (at most 256 contexts) are on the driver.  The
-model is one row of 256 log probabilities for each context seen; its size
-grows with the corpus and it is never broadcast whole.
+result is one value for every distinct gram of the corpus, held-out texts
+included: a table that grows with the corpus and is never broadcast whole.
 
 Frequent things are looked up in a broadcast table of fixed size, all others
-are joined by a shuffle in which no key is frequent any more: the rows of the
-``hot_contexts`` commonest contexts (1 kB each), and, for the base score
+are joined by a shuffle in which no key is frequent any more: the values of the
+``hot_grams`` commonest grams (12 bytes each), and, for the base score
 (add-one word unigrams), the counts of the ``hot_words`` commonest words."""
 
 from __future__ import annotations
@@ -32,10 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revlens.llm.bpe import listed, portions
-from revlens.llm.common import byte_list, held_out, stored
+from revlens.llm.common import byte_list, commonest, held_out, stored
 
 #: Distinct words that a task holds before it hands on partial counts.
-KEPT = 400_000
+KEPT = 250_000
+#: Bytes of text whose grams a task holds at once, and grams that it gathers before it sums them.
+PORTION, GATHERED = 1 << 20, 1_500_000
 #: Bytes of context.
 DEPTH = 5
 
@@ -55,10 +57,19 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return context[at], data[at], np.repeat(np.arange(len(texts)), length)[at]
 
 
-def count_grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct grams (context and byte as one number) and their counts."""
-    context, byte, _ = grams(texts)
-    return np.unique((context << 8) | byte, return_counts=True)
+def count_grams(texts: list[bytes], held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams (context and byte as one number) and their counts (2, n): in texts not held out, in all."""
+    context, byte, owner = grams(texts)
+    key, k = np.unique((((context << 8) | byte) << 1) | held[owner].astype(np.int64), return_counts=True)
+    return merged(key >> 1, np.stack([np.where(key & 1, 0, k), k]))
+
+
+def merged(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sum the counts (2, n) of equal codes."""
+    order = np.argsort(codes, kind="stable")
+    codes, counts = codes[order], counts[:, order]
+    start = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]) if len(codes) else np.zeros(0, np.int64)
+    return codes[start], np.add.reduceat(counts, start, axis=1) if len(start) else counts
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -73,23 +84,11 @@ def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return log_gamma(a + 0.5) + log_gamma(b + 0.5) - log_gamma(a + b + 1.0) - math.log(math.pi)
 
 
-def decisions(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Byte counts (n, 256) -> counts of zeros and of ones at the 255 bit prefixes, in heap order."""
-    sums = [counts]
-    while sums[-1].shape[1] > 1:
-        sums.append(sums[-1].reshape(len(counts), -1, 2).sum(axis=2))
-    level = sums[-2::-1]  # widths 2, 4, ... 256
-    return np.concatenate([x[:, 0::2] for x in level], axis=1), np.concatenate([x[:, 1::2] for x in level], axis=1)
-
-
-def leaf_logs(zero: np.ndarray) -> np.ndarray:
-    """Probability of a zero at the 255 prefixes (n, 255) -> log10 probability of the 256 bytes."""
-    out, at = np.zeros((len(zero), 1)), 0
-    for depth in range(8):
-        p = zero[:, at:at + 2 ** depth]
-        at += 2 ** depth
-        out = np.stack([out + np.log10(p), out + np.log10(1 - p)], axis=2).reshape(len(zero), -1)
-    return out.astype(np.float32)
+def nodes(byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The eight decisions of every byte: the node (bit prefix in heap order, 1..255) and the bit taken, (n, 8)."""
+    shift = np.arange(8, 0, -1)
+    code = 256 | byte[:, None]
+    return code >> shift, (code >> (shift - 1)) & 1
 
 
 def _share(log_odds: np.ndarray) -> np.ndarray:
@@ -98,187 +97,179 @@ def _share(log_odds: np.ndarray) -> np.ndarray:
 
 
 class Level:
-    """Contexts of one depth: their estimates, weights and log P_w at the 255 decisions."""
-
-    def __init__(self, keys, counts, child_sum=None):
-        self.keys = keys
-        a, b = decisions(counts)
-        own = log_kt(a, b)
-        self.kt = (a + 0.5) / (a + b + 1)
-        self.seen = (a + b) > 0
-        self.stop = None if child_sum is None else _share(own - child_sum)
+    """Decisions seen at the contexts of one depth: sorted keys (context and node), counts of zeros and
+    ones, their estimate of a zero, the weight of stopping there, and log P_w."""
+
+    def __init__(self, keys, zero, one, child_sum=None):
+        self.keys, self.zero, self.one = keys, zero, one
+        own = log_kt(zero, one)
+        self.kt = (zero + 0.5) / (zero + one + 1)
+        self.stop = np.ones(len(keys)) if child_sum is None else _share(own - child_sum)
         self.log_w = own if child_sum is None else np.logaddexp(own, child_sum) - math.log(2)
 
+    def parent(self, depth: int) -> "Level":
+        """The level above, at contexts of ``depth`` bytes."""
+        keys, at = np.unique((self.keys >> 8 & ((1 << 8 * depth) - 1)) << 8 | self.keys & 255, return_inverse=True)
+        total = lambda x: np.bincount(at, x, len(keys))
+        return Level(keys, total(self.zero), total(self.one), total(self.log_w))
+
 
-def subtree(codes: np.ndarray, n: np.ndarray) -> list[Level]:
-    """Levels DEPTH .. 2 of the contexts that share their last two bytes."""
-    context, byte = codes >> 8, codes & 255
-    keys, at = np.unique(context, return_inverse=True)
-    counts = np.zeros((len(keys), 256))
-    np.add.at(counts, (at, byte), n)
-    out = [Level(keys, counts)]
+def subtrees(codes: np.ndarray, n: np.ndarray) -> list[Level]:
+    """Levels DEPTH .. 2 of the training grams of one or more pairs of last bytes."""
+    node, bit = nodes(codes & 255)
+    keys, at = np.unique(((codes >> 8) << 8)[:, None] | node, return_inverse=True)
+    at, n = at.reshape(-1), np.repeat(n, 8)
+    bit = bit.reshape(-1)
+    out = [Level(keys, np.bincount(at, n * (1 - bit), len(keys)), np.bincount(at, n * bit, len(keys)))]
     for d in range(DEPTH - 1, 1, -1):
-        below = out[-1]
-        keys, below.parent = np.unique(below.keys & ((1 << 8 * d) - 1), return_inverse=True)
-        up, child_sum = np.zeros((len(keys), 256)), np.zeros((len(keys), 255))
-        np.add.at(up, below.parent, counts)
-        np.add.at(child_sum, below.parent, below.log_w)
-        counts = up
-        out.append(Level(keys, counts, child_sum))
+        out.append(out[-1].parent(d))
     return out
 
 
 class Top:
-    """Depths 0 and 1, from the byte counts by last byte and the summed log P_w of depth 2."""
-
-    def __init__(self, counts: np.ndarray, child_sum: np.ndarray):
-        one = Level(np.arange(256), counts, child_sum)
-        root = Level(np.zeros(1, int), counts.sum(axis=0, keepdims=True), one.log_w.sum(axis=0, keepdims=True))
-        # what is settled so far, and the weight that is left for deeper contexts
-        settled, left = root.stop * root.kt, 1 - root.stop
-        self.settled, self.left = settled + left * one.stop * one.kt, left * (1 - one.stop)
-        seen = counts.any(axis=1)
-        self.rows = [(0, 0, leaf_logs(settled + left * 0.5)[0])]
-        self.rows += [(1, int(k), r) for k, r in zip(np.flatnonzero(seen), leaf_logs(self.settled[seen] + self.left[seen] * 0.5))]
-
-
-def model_rows(levels: list[Level], top: Top):
-    """(depth, contexts, log10 rows): full rows at DEPTH; at the depths above, rows for a deeper context that was not seen."""
-    last = levels[-1].keys & 255
-    settled, left = top.settled[last], top.left[last]
+    """Depths 0 and 1: for every last byte and node, the probability of a zero that is settled there and
+    the weight left for deeper contexts.  A context that was not seen leaves all of it, at even odds."""
+
+    def __init__(self, zero: np.ndarray, one: np.ndarray, child_sum: np.ndarray):
+        """Arrays (256 last bytes, 256 nodes)."""
+        def level(a, b, below):
+            own = log_kt(a, b)
+            return (a + 0.5) / (a + b + 1), _share(own - below), np.logaddexp(own, below) - math.log(2)
+
+        kt_one, stop_one, log_w = level(zero, one, child_sum)
+        seen = zero + one > 0
+        kt, stop, _ = level(zero.sum(axis=0), one.sum(axis=0), np.where(seen, log_w, 0.0).sum(axis=0))
+        left = 1 - stop
+        self.settled = stop * kt + left * np.where(seen, stop_one * kt_one, 0.5)
+        self.left = np.where(seen, left * (1 - stop_one), 0.0)
+
+
+def gram_values(codes: np.ndarray, levels: list[Level], top: Top) -> np.ndarray:
+    """log10 probability of the byte of every gram after its context."""
+    node, bit = nodes(codes & 255)
+    last = (codes >> 8 & 255)[:, None]
+    settled, left = top.settled[last, node], top.left[last, node]
     for d, level in zip(range(2, DEPTH + 1), reversed(levels)):
-        if d > 2:
-            settled, left = settled[level.parent], left[level.parent]
-        if d == DEPTH:
-            yield d, level.keys, leaf_logs(settled + left * level.kt)
-        else:
-            settled, left = settled + left * level.stop * level.kt, left * (1 - level.stop)
-            yield d, level.keys, leaf_logs(settled + left * 0.5)
+        key = ((codes >> 8 & ((1 << 8 * d) - 1)) << 8)[:, None] | node
+        at = np.searchsorted(level.keys, key).clip(max=max(len(level.keys) - 1, 0))
+        seen = level.keys[at] == key if len(level.keys) else np.zeros(key.shape, bool)
+        kt, stop = (level.kt[at], level.stop[at]) if len(level.keys) else (0.5, 1.0)
+        settled = settled + left * np.where(seen, stop * kt, 0.5)
+        left = np.where(seen, left * (1 - stop), 0.0)
+    return np.log10(np.where(bit == 1, 1 - settled, settled)).sum(axis=1)
 
 
 def _by_pair(make):
-    """mapInArrow body: ``make(pair, codes, n)`` for every pair of last bytes of rows sorted by (pair, code)."""
+    """mapInArrow body over (pair, code, n, m) sorted by pair: ``make(codes, n, m)`` for runs of whole pairs."""
     def run(batches):
-        rest = None
+        rest = np.zeros((4, 0), np.int64)
         for b in batches:
-            part = np.stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)])
-            part = part if rest is None else np.concatenate([rest, part], axis=1)
-            edge = [0, *(np.flatnonzero(np.diff(part[0])) + 1).tolist()]
-            for x, y in zip(edge, edge[1:]):  # the last pair may go on in the next batch
-                yield from make(int(part[0, x]), part[1, x:y], part[2, x:y])
-            rest = part[:, edge[-1]:]
-        if rest is not None and rest.shape[1]:
-            yield from make(int(rest[0, 0]), rest[1], rest[2])
+            part = np.stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)])
+            part = np.concatenate([rest, part], axis=1)
+            other = np.flatnonzero(part[0] != part[0, -1]) if part.shape[1] else []
+            cut = other[-1] + 1 if len(other) else 0  # the last pair may go on in the next batch
+            if cut:
+                yield make(*part[1:, :cut])
+            rest = part[:, cut:]
+        if rest.shape[1]:
+            yield make(*rest[1:])
     return run
 
 
-def weights_of(pair: int, codes, n):
-    """Log P_w of a subtree's root at the decisions that it has seen."""
-    root = subtree(codes, n)[-1]
-    node = np.flatnonzero(root.seen[0])
-    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), pair & 255, np.int32)), pa.array(node.astype(np.int32)), pa.array(root.log_w[0, node])],
-                                     names=["last", "node", "log_w"])
+def weights_of(codes, n, m):
+    """Log P_w and counts of the decisions at the two-byte contexts."""
+    level = subtrees(codes[n > 0], n[n > 0])[-1]
+    return pa.RecordBatch.from_pydict({"last": pa.array(level.keys >> 8 & 255), "node": pa.array(level.keys & 255), "zero": pa.array(level.zero, pa.float64()),
+                                       "one": pa.array(level.one, pa.float64()), "log_w": pa.array(level.log_w, pa.float64())})
 
 
-def rows_of(top: Top):
-    def make(pair: int, codes, n):
-        for depth, keys, logs in model_rows(subtree(codes, n), top):
-            for k in range(0, len(keys), 4096):
-                part = logs[k:k + 4096]
-                at = pa.array(np.arange(0, part.size + 1, 256, dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), depth, np.int32)), pa.array(keys[k:k + 4096]),
-                                                  pa.ListArray.from_arrays(at, pa.array(part.reshape(-1)))], names=["depth", "context", "logs"])
+def values_of(top: Top):
+    def make(codes, n, m):
+        logs = gram_values(codes, subtrees(codes[n > 0], n[n > 0]), top)
+        return pa.RecordBatch.from_pydict({"code": pa.array(codes), "log": pa.array(logs, pa.float64()), "m": pa.array(m)})
     return make
 
 
 def train_tree(counts: DataFrame) -> DataFrame:
-    """(depth, context, logs) from the gram counts (code, n): a stored table with a row per context seen."""
-    spark = counts.sparkSession
-    pairs = stored(counts.select(F.shiftright("code", 8).bitwiseAND(F.lit(0xFFFF)).alias("pair"), "code", "n")
-                   .repartition("pair").sortWithinPartitions("pair", "code"))
-    dealt = pairs.repartition("pair").sortWithinPartitions("pair", "code")
-    weight = dealt.mapInArrow(_by_pair(weights_of), "last int, node int, log_w double").groupBy("last", "node").agg(F.sum("log_w").alias("log_w"))
-    child_sum = np.zeros((256, 255))
-    for r in weight.collect():  # at most 256 * 255 rows
-        child_sum[r["last"], r["node"]] = r["log_w"]
-    by_last = np.zeros((256, 256))
-    for r in pairs.groupBy(F.col("pair").bitwiseAND(F.lit(255)).alias("last"), F.col("code").bitwiseAND(F.lit(255)).alias("byte")).agg(F.sum("n").alias("n")).collect():
-        by_last[r["last"], r["byte"]] = r["n"]
-    top = Top(by_last, child_sum)
-    upper = spark.createDataFrame([(d, k, [float(x) for x in row]) for d, k, row in top.rows], "depth int, context bigint, logs array<float>")
-    return stored(dealt.mapInArrow(_by_pair(rows_of(top)), "depth int, context bigint, logs array<float>").unionByName(upper))
-
-
-class HotRows:
-    """Rows of the commonest contexts, looked up by context."""
-
-    def __init__(self, contexts: np.ndarray, table: np.ndarray):
-        order = np.argsort(contexts)
-        self.contexts, self.table = contexts[order], table[order]
+    """(code, log, m) of every distinct gram, from its counts (code, n: in training, m: in all texts)."""
+    dealt = (counts.select(F.shiftright("code", 8).bitwiseAND(F.lit(0xFFFF)).alias("pair"), "code", "n", "m")
+             .repartition("pair").sortWithinPartitions("pair"))
+    seen = dealt.mapInArrow(_by_pair(weights_of), "last bigint, node bigint, zero double, one double, log_w double")
+    top = np.zeros((3, 256, 256))
+    for r in seen.groupBy("last", "node").agg(*[F.sum(c).alias(c) for c in ("zero", "one", "log_w")]).collect():  # at most 256 * 255 rows
+        top[:, r["last"], r["node"]] = r["zero"], r["one"], r["log_w"]
+    return stored(dealt.mapInArrow(_by_pair(values_of(Top(*top))), "code bigint, log double, m bigint"))
+
+
+class HotGrams:
+    """Values of the commonest grams, looked up by a sorted search."""
+
+    def __init__(self, codes: np.ndarray, logs: np.ndarray):
+        order = np.argsort(codes)
+        self.codes, self.logs = codes[order], logs[order].astype(np.float32)
 
     def scores(self, texts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
-        """log10 probability of the bytes after hot contexts, by text; and the grams that need the full model."""
+        """log10 probability of the known grams of every text, and its grams that need the full table."""
         context, byte, owner = grams(texts)
-        if not len(self.contexts):
-            known = np.zeros(len(context), bool)
-            total = np.zeros(len(texts))
+        code = (context << 8) | byte
+        if len(self.codes):
+            at = np.searchsorted(self.codes, code).clip(max=len(self.codes) - 1)
+            known = self.codes[at] == code
+            total = np.bincount(owner[known], self.logs[at[known]].astype(np.float64), minlength=len(texts))
         else:
-            at = np.searchsorted(self.contexts, context).clip(max=len(self.contexts) - 1)
-            known = self.contexts[at] == context
-            total = np.bincount(owner[known], self.table[at[known], byte[known]].astype(np.float64), minlength=len(texts))
-        code, owner = (context[~known] << 8) | byte[~known], owner[~known]
+            known, total = np.zeros(len(code), bool), np.zeros(len(texts))
+        code, owner = code[~known], owner[~known]
         edge = np.searchsorted(owner, np.arange(len(texts) + 1))
         return total, [code[a:b] for a, b in zip(edge, edge[1:])]
 
 
-def full_values(codes: DataFrame, model: DataFrame) -> DataFrame:
-    """(code, log): the model's value of distinct grams, from the deepest context of each that was seen."""
-    suffix = F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), F.shiftright("code", 8).bitwiseAND(F.lit((1 << 8 * d) - 1)).alias("context"))
-                                 for d in range(DEPTH + 1)])).alias("s")
-    keys = codes.select("code", suffix).select("code", "s.*")
-    value = F.element_at("logs", F.col("code").bitwiseAND(F.lit(255)).cast("int") + 1)
-    deepest = keys.join(model, ["depth", "context"]).groupBy("code").agg(F.max(F.struct("depth", value.cast("double").alias("log"))).alias("m"))
-    return deepest.select("code", "m.log")
-
-
-def gather(train: DataFrame) -> DataFrame:
-    """(word, code, n): partial counts of words (code null), of ends (both null) and of byte grams (word null)."""
-    def rows(words, codes, ns):
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array(codes, pa.int64()), pa.array(ns, pa.int64())],
-                                          names=["word", "code", "n"])
+def gather(docs: DataFrame) -> DataFrame:
+    """(word, code, n, m): partial counts of training words (code null), of ends (both null) and of byte grams
+    (word null) from (text, held); n counts in training texts, m in all."""
+    def rows(words, codes, n, m):
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array(codes, pa.int64()), pa.array(n, pa.int64()), pa.array(m, pa.int64())],
+                                          names=["word", "code", "n", "m"])
 
     def run(batches):
         words, ends = Counter(), 0
-        code, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        code, n, size = [np.zeros(0, np.int64)], [np.zeros((2, 0), np.int64)], 0
         for batch in batches:
-            for b in portions(batch, 0):
+            for b in portions(batch, 0, PORTION):
+                held = b.column(1).to_numpy(zero_copy_only=False)
                 texts = [(t or b"").lower() for t in byte_list(b.column(0))]
-                ends += len(texts)
-                for t in texts:
+                train = [t for t, h in zip(texts, held) if not h]
+                ends += len(train)
+                for t in train:
                     words.update(t.split())
-                new, m = count_grams(texts)
-                code, at = np.unique(np.concatenate([code, new]), return_inverse=True)
-                n = np.bincount(at, np.concatenate([n, m]), minlength=len(code)).astype(np.int64)
+                new, k = count_grams(texts, held)
+                code.append(new)
+                n.append(k)
+                size += len(new)
+                if size > GATHERED:
+                    new, k = merged(np.concatenate(code), np.concatenate(n, axis=1))
+                    if len(new) > GATHERED // 2:
+                        yield rows([None] * len(new), new, k[0], k[1])
+                        new, k = new[:0], k[:, :0]
+                    code, n, size = [new], [k], len(new)
                 if len(words) > KEPT:
-                    yield rows(list(words), [None] * len(words), list(words.values()))
+                    yield rows(list(words), [None] * len(words), list(words.values()), [0] * len(words))
                     words.clear()
-                if len(code) > KEPT * 4:
-                    yield rows([None] * len(code), code, n)
-                    code, n = code[:0], n[:0]
-        yield rows([*words, *[None] * (len(code) + 1)], [*[None] * len(words), *code.tolist(), None], [*words.values(), *n.tolist(), ends])
+        new, k = merged(np.concatenate(code), np.concatenate(n, axis=1))
+        yield rows([None] * len(new), new, k[0], k[1])
+        yield rows([*words, None], [None] * (len(words) + 1), [*words.values(), ends], [0] * (len(words) + 1))
 
-    return train.mapInArrow(run, "word string, code bigint, n bigint")
+    return docs.mapInArrow(run, "word string, code bigint, n bigint, m bigint")
 
 
-def scored(df: DataFrame, contexts: HotRows, hot: dict) -> DataFrame:
+def scored(df: DataFrame, common: HotGrams, hot: dict) -> DataFrame:
     """(id, n_tokens, n_known, known_log, score, n_bytes, rare, codes): what the broadcast tables give of the
     base score and of the model's, and the words and grams that need the full tables."""
-    shared = df.sparkSession.sparkContext.broadcast((contexts, hot))
+    shared = df.sparkSession.sparkContext.broadcast((common, hot))
 
     def run(batches):
-        contexts, hot = shared.value
+        common, hot = shared.value
         for batch in batches:
-            for b in portions(batch, 1):
+            for b in portions(batch, 1, PORTION):
                 texts = [(t or b"").lower() for t in byte_list(b.column(1))]
                 tokens, known, logs, rare = [], [], [], []
                 for t in texts:
@@ -291,9 +282,9 @@ def scored(df: DataFrame, contexts: HotRows, hot: dict) -> DataFrame:
                     rare.append(missing)
                 at = pa.array(np.cumsum([0, *map(len, rare)]).astype(np.int32))
                 flat = pa.array([w for r in rare for w in r], pa.binary()).cast(pa.string())
-                total, codes = contexts.scores(texts)
+                total, codes = common.scores(texts)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(logs, pa.float64()), pa.array(total),
+                    [b.column(0), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(logs, pa.float64()), pa.array(total, pa.float64()),
                      pa.array([len(t) for t in texts], pa.int64()), pa.ListArray.from_arrays(at, flat), listed(codes, np.int64)],
                     names=["id", "n_tokens", "n_known", "known_log", "score", "n_bytes", "rare", "codes"])
 
@@ -301,7 +292,7 @@ def scored(df: DataFrame, contexts: HotRows, hot: dict) -> DataFrame:
     return df.mapInArrow(run, f"id {kind}, n_tokens bigint, n_known bigint, known_log double, score double, n_bytes bigint, rare array<string>, codes array<bigint>")
 
 
-def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_words: int = 100_000, hot_contexts: int = 40_000) -> DataFrame:
+def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_words: int = 100_000, hot_grams: int = 1_000_000) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte), one row per row of ``df``.
 
     The model and the word counts come from the rows outside the held-out
@@ -310,24 +301,19 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     count as the text '' for the fold; repeated rows count as often as they
     stand; other columns are ignored; an empty table gives an empty result."""
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    parts = stored(gather(docs.where(~held_out("id", 7, 2)).select("text")))
+    parts = stored(gather(docs.select("text", held_out("id", 7, 2).alias("held"))))
     words = stored(parts.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("n")))
-    codes = stored(parts.where("code IS NOT NULL").groupBy("code").agg(F.sum("n").alias("n")))
+    codes = parts.where("code IS NOT NULL").groupBy("code").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
     ends = parts.where("word IS NULL AND code IS NULL").agg(F.sum("n")).first()[0] or 0
     total = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = (total["n"] or 0) + ends, total["v"] + (ends > 0)
-    top = {r["word"].encode(): math.log10(r["n"] + 1) for r in words.orderBy(F.desc("n"), "word").limit(hot_words).collect()}
-    model = train_tree(codes)
-    common = codes.groupBy(F.shiftright("code", 8).alias("context")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "context").limit(hot_contexts)
-    common = model.where(F.col("depth") == DEPTH).join(F.broadcast(common.select("context")), "context").select("context", "logs").toArrow()
-    table = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in common["logs"].chunks] or [np.zeros(0, np.float32)]).reshape(-1, 256)
-    hot = HotRows(common["context"].to_numpy(), table)
-    rows = stored(scored(docs, hot, top).select(F.monotonically_increasing_id().alias("row"), "*"))
-    rare = rows.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count(F.lit(1)).alias("k"))
-    found = rare.join(words, "word").groupBy("row").agg(F.sum("k").alias("more"), F.sum(F.col("k") * F.log10(F.col("n") + 1)).alias("more_log"))
-    left = stored(rows.select("row", F.explode("codes").alias("code")).groupBy("row", "code").agg(F.count(F.lit(1)).alias("k")))
-    values = full_values(left.select("code").distinct(), model)
-    deep = left.join(values, "code").groupBy("row").agg(F.sum(F.col("k") * F.col("log")).alias("deep_log"))
+    top = {r["word"].encode(): math.log10(r["n"] + 1) for r in commonest(words, "n", hot_words).collect()}
+    values = train_tree(stored(codes))
+    common = commonest(values, "m", hot_grams).select("code", "log").toArrow()
+    rows = stored(scored(docs, HotGrams(common["code"].to_numpy(), common["log"].to_numpy()), top).select(F.monotonically_increasing_id().alias("row"), "*"))
+    rare = rows.select("row", F.explode("rare").alias("word")).join(words, "word")
+    found = rare.groupBy("row").agg(F.count(F.lit(1)).alias("more"), F.sum(F.log10(F.col("n") + 1)).alias("more_log"))
+    deep = rows.select("row", F.explode("codes").alias("code")).join(values.select("code", "log"), "code").groupBy("row").agg(F.sum("log").alias("deep_log"))
     end = math.log10(ends + 1)
     base = F.col("known_log") + F.coalesce("more_log", F.lit(0.0)) + end - F.col("n_tokens") * math.log10(n + v + 1)
     score = F.col("score") + F.coalesce("deep_log", F.lit(0.0))

@@ -304,10 +304,8 @@ def test_context_trees(spark):
     train = [b"abracadabra", b"a cad", "é".encode()]
     seq = [((b"\0" * depth + t)[i:i + depth], t[i]) for t in train for i in range(len(t))]
     texts = [b"abra", b"zq", b"cad", b"\xc3\xaa", b"ab\xc3"]
-    codes, n = ctw.count_grams(train)
-    every, m = ctw.count_grams(train + texts)
-    n = dict(zip(codes.tolist(), n.tolist()))
-    table = ctw.train_tree(spark.createDataFrame([(c, n.get(c, 0), k) for c, k in zip(every.tolist(), m.tolist())], "code long, n long, m long"))
+    codes, counts = ctw.count_grams(train + texts, np.array([False] * len(train) + [True] * len(texts)))
+    table = ctw.train_tree(spark.createDataFrame(list(zip(codes.tolist(), *counts.tolist())), "code long, n long, m long"))
     value = {r["code"]: r["log"] for r in table.collect()}
     few = np.array(sorted(value)[::3])
     total, rest = ctw.HotGrams(few, np.array([value[c] for c in few.tolist()])).scores(texts)
