@@ -341,3 +341,16 @@ def test_scores(spark):
         last = {r["doc_id"]: r["score"] for r in out} if not hot else last
         assert all(r["score"] == pytest.approx(last[r["doc_id"]], rel=1e-5) for r in out)  # hot and rare paths agree
     assert ctw.score_documents(frame(spark, rows).where("false")).count() == 0
+
+
+def test_batches_of_no_training_grams_have_the_same_types():
+    """Runs of pairs that only held-out texts hold give empty or even values of the same column types."""
+    codes, counts = ctw.count_grams([b"abc", b"xyz"], np.array([False, True]))
+    none = codes[counts[0] == 0]
+    zero = np.zeros(len(none), np.int64)
+    assert ctw.weights_of(none, zero, zero + 1).schema == ctw.weights_of(codes, *counts).schema
+    top = ctw.Top(*np.zeros((3, 256, 256)))
+    even = ctw.values_of(top)(none, zero, zero + 1)
+    assert even.schema == ctw.values_of(top)(codes, *counts).schema
+    assert even.column(1).to_pylist() == pytest.approx([8 * math.log10(0.5)] * len(none))
+    assert ctw.HotGrams(codes[:0], np.zeros(0)).scores([b"abc", b""])[0].tolist() == [0, 0]
