@@ -7,11 +7,13 @@ count only if the corpus shows the same value assigned to a secret's name
 elsewhere).  Values leave the pass as hashes only.
 
 The hashes are then aggregated over the corpus by distinct repositories and
-owners.  A value that many owners share is a copied example (documentation,
-tutorials, test keys); a value that few owners hold and that looks random is
-a live-looking credential.  The aggregates are two-step (per value and owner,
-then per value) with map-side partial sums, so a value that stands in a third
-of all documents is one row per task before it is shuffled."""
+owners.  A value that many owners or many repositories hold is a copied
+example (documentation, tutorials, test keys); a value that few of both hold
+and that looks random is a live-looking credential.  Exact copies of a text
+count as one repository, so a credential does not become an example because
+its document was copied.  The aggregates are two-step (per value and owner, or
+value and text, then per value) with map-side partial sums, so no task gets
+all rows of a value that stands in a third of all documents."""
 
 from __future__ import annotations
 
@@ -71,12 +73,13 @@ def find_spans(text: str) -> list[tuple]:
 
 
 def scan(df: DataFrame, id_col: str, text_col: str, repo: Column, owner: Column) -> DataFrame:
-    """(row, id, repo, owner, spans), one row per row of ``df``; ``row`` tells repeated ids apart."""
+    """(row, id, repo, owner, copy, spans), one row per row of ``df``; ``row`` tells repeated ids apart
+    and ``copy``, a hash of the text, is equal for exact copies (null without spans)."""
     def run(batches):
         kind = pa.list_(pa.struct([("kind", pa.int8()), ("start", pa.int32()), ("end", pa.int32()), ("vstart", pa.int32()),
                                    ("vend", pa.int32()), ("value", pa.string()), ("random", pa.bool_())]))
         for b in batches:
-            out = []
+            out, copies = [], []
             for text in b.column(3).to_pylist():
                 spans = []
                 for k, s, e, vs, ve in find_spans(text or ""):
@@ -84,37 +87,44 @@ def scan(df: DataFrame, id_col: str, text_col: str, repo: Column, owner: Column)
                     spans.append({"kind": k, "start": s, "end": e, "vstart": vs, "vend": ve, "random": looks_random(value),
                                   "value": hashlib.blake2b(value.encode(), digest_size=16).hexdigest()})
                 out.append(spans)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(out, kind)],
-                                             names=["id", "repo", "owner", "spans"])
+                copies.append(hashlib.blake2b(text.encode(), digest_size=16).hexdigest() if spans else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(copies, pa.string()), pa.array(out, kind)],
+                                             names=["id", "repo", "owner", "copy", "spans"])
 
     kind = df.schema[id_col].dataType.simpleString()
     found = df.select(F.col(id_col).alias("id"), repo.cast("string").alias("repo"), owner.cast("string").alias("owner"),
-                      F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, repo string, owner string, spans array<{SPAN}>")
+                      F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, repo string, owner string, copy string, spans array<{SPAN}>")
     return found.select(F.monotonically_increasing_id().alias("row"), "*")
 
 
 def ownership(spans: DataFrame) -> DataFrame:
-    """(value, named, n_repos, n_owners) of every candidate value of the corpus."""
-    each = spans.groupBy("value", "owner", "repo").agg(F.max((F.col("s.kind") < F.lit(KINDS.index("echo"))).cast("int")).alias("named"))
-    by_owner = each.groupBy("value", "owner").agg(F.count(F.lit(1)).alias("n"), F.max("named").alias("named"))
-    return by_owner.groupBy("value").agg(F.max("named").alias("named"), F.sum("n").alias("n_repos"), F.count(F.lit(1)).alias("n_owners"))
+    """(value, named, n_repos, n_owners) of every candidate value of the corpus.
+
+    Exact copies of a text stand for one repository, the first in the alphabet
+    of those that hold it; an owner counts whatever it holds."""
+    by_owner = spans.groupBy("value", "owner").agg(F.max((F.col("s.kind") < F.lit(KINDS.index("echo"))).cast("int")).alias("named"))
+    owners = by_owner.groupBy("value").agg(F.max("named").alias("named"), F.count(F.lit(1)).alias("n_owners"))
+    by_text = spans.groupBy("value", "copy").agg(F.min("repo").alias("repo")).groupBy("value", "repo").agg(F.count(F.lit(1)).alias("n"))
+    repos = by_text.groupBy("value").agg(F.count(F.lit(1)).alias("n_repos"))
+    return owners.join(repos, "value").select("value", "named", "n_repos", "n_owners")
 
 
 def judged_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str | None = None,
-                 owner_col: str = "source", example_owners: int = 3) -> tuple[DataFrame, DataFrame]:
+                 owner_col: str = "source", example_owners: int = 3, example_repos: int = 10) -> tuple[DataFrame, DataFrame]:
     """(scan, spans): the scan of every row, and its spans with the corpus' verdict.
 
     spans: (row, kind, start, end, vstart, vend, n_repos, n_owners, live).
-    A value is an example if ``example_owners`` or more owners hold it or it
-    does not look random; else it is live.  ``repo_col`` defaults to the id:
+    A value is an example if ``example_owners`` or more owners or
+    ``example_repos`` or more repositories (exact copies of a text counted
+    once) hold it or it does not look random; else it is live.  ``repo_col`` defaults to the id:
     a document is a repository of its own.  Null repositories and owners
     count as one each.  ``echo`` spans stay only if their value is named."""
     repo = F.coalesce(F.col(repo_col or id_col).cast("string"), F.lit(""))
     owner = F.coalesce(F.col(owner_col).cast("string"), F.lit("")) if owner_col in df.columns else F.lit("")
     found = stored(scan(df, id_col, text_col, repo, owner))
-    each = found.where(F.size("spans") > 0).select("row", "repo", "owner", F.explode("spans").alias("s")).withColumn("value", F.col("s.value"))
+    each = found.where(F.size("spans") > 0).select("row", "repo", "owner", "copy", F.explode("spans").alias("s")).withColumn("value", F.col("s.value"))
     held = stored(ownership(each))
-    live = (F.col("n_owners") < example_owners) & F.col("s.random")
+    live = (F.col("n_owners") < example_owners) & (F.col("n_repos") < example_repos) & F.col("s.random")
     judged = each.join(held, "value").where((F.col("s.kind") < KINDS.index("echo")) | (F.col("named") == 1)).select(
         "row", "s.kind", "s.start", "s.end", "s.vstart", "s.vend", "n_repos", "n_owners", live.alias("live"))
     return found, judged
@@ -128,11 +138,12 @@ def _listed(spans: Column) -> Column:
 
 def report(df: DataFrame, **settings) -> DataFrame:
     """One row per document: counts and digest of the base spans, all spans as text,
-    and how many are live-looking or examples.  Null and empty texts have none."""
+    how many are live-looking or examples, and the widest counts of owners and
+    repositories of its values.  Null and empty texts have none."""
     found, judged = judged_spans(df, **settings)
     per_row = judged.groupBy("row").agg(
         F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("all"),
-        F.sum(F.col("live").cast("long")).alias("n_live"), F.max("n_owners").alias("most_owners"))
+        F.sum(F.col("live").cast("long")).alias("n_live"), F.max("n_owners").alias("most_owners"), F.max("n_repos").alias("most_repos"))
     base = F.filter("spans", lambda s: s["kind"] < BASE)
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
     return found.join(per_row, "row", "left").select(
@@ -141,7 +152,8 @@ def report(df: DataFrame, **settings) -> DataFrame:
         F.coalesce(_listed(F.col("all")), F.lit("")).alias("spans"),
         F.coalesce("n_live", F.lit(0)).cast("long").alias("n_live"),
         (F.coalesce(F.size("all"), F.lit(0)) - F.coalesce("n_live", F.lit(0))).cast("long").alias("n_example"),
-        F.coalesce("most_owners", F.lit(0)).cast("long").alias("most_owners"))
+        F.coalesce("most_owners", F.lit(0)).cast("long").alias("most_owners"),
+        F.coalesce("most_repos", F.lit(0)).cast("long").alias("most_repos"))
 
 
 def redacted(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]", **settings) -> DataFrame:

@@ -10,6 +10,7 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from revlens.llm import ctw, decontaminate, html_text, licenses, quality, rules, secrets, simhash, toxicity
 from revlens.llm.common import connected_components
@@ -129,6 +130,21 @@ def test_secret_report(spark):
     assert secrets.report(frame(spark, ODD).where("false")).count() == 0
 
 
+def test_secret_of_a_hot_source(spark):
+    """An example copied into many documents of one or two sources is told by its repositories; exact copies count once."""
+    copied, own = "token = 9f8e7d6c5b4a39281706f5e4d3c2b1a0", "password: Zx81kQ72mPw05Lr9"
+    rows = [(i, f"page {i} says {copied}", "en", f"src{i % 2}") for i in range(40)]
+    rows += [(100 + i, f"my {own} here", "en", "src0") for i in range(40)] + [(200 + i, f"note {i}: secret = Qw4{i}zT8vK2nB6mX", "en", "src0") for i in range(3)]
+    out = {r["doc_id"]: r for r in secrets.report(frame(spark, rows)).collect()}
+    assert all((out[i]["n_live"], out[i]["n_example"], out[i]["most_owners"], out[i]["most_repos"]) == (0, 2, 2, 40) for i in range(40))
+    assert all((out[100 + i]["n_live"], out[100 + i]["most_owners"], out[100 + i]["most_repos"]) == (1, 1, 1) for i in range(40))
+    assert all(out[200 + i]["n_live"] == 1 for i in range(3))
+    kept = {r["doc_id"]: r["text"] for r in secrets.redacted(frame(spark, rows)).collect()}
+    assert all(kept[i] == rows[i][1] for i in range(40)) and all(kept[100 + i] == "my password: [secret] here" for i in range(40))
+    by_repo = secrets.report(frame(spark, rows).withColumn("repo", F.lit("one")), repo_col="repo").where("doc_id < 40")
+    assert {(r["n_live"], r["most_repos"]) for r in by_repo.collect()} == {(2, 1)}
+
+
 # --- decontamination -----------------------------------------------------
 
 def test_contained_items(spark):
