@@ -238,6 +238,28 @@ def test_classifiers(spark, scores, column):
     assert len(one) == len(ODD) and len({r["score"] for r in one}) == 1
 
 
+def test_quality_by_words(spark):
+    """Junk in ordinary casing differs from prose by its words alone; letters have the class of their case in any script."""
+    rng = random.Random(5)
+    make = lambda: "".join(rng.choice("aeioubdlmnrst") for _ in range(5))
+    prose, spam = [make() for _ in range(300)], [make() for _ in range(12)]
+    rows, labels = [], []
+    for i in range(600):
+        w = rng.choices(prose, k=40)
+        for k in rng.sample(range(40), 8) if i % 4 == 0 else []:
+            w[k] = rng.choice(spam)
+        rows.append((i, " ".join(w), "en", "s"))
+        labels.append((i, int(i % 4 != 0), 0))
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    held = [r for r in quality.quality_scores(frame(spark, rows), table).collect() if r["held_out"]]
+    right = sum(r["predicted"] == labels[r["doc_id"]][1] for r in held) / len(held)
+    assert len(held) > 150 and right >= 0.97, right
+    assert quality.shape("слово") == quality.shape("λέξη") == quality.shape("word") == "a" and quality.shape("СЛОВО,") == "A,"
+    assert quality.shape("Слово") == quality.shape("Word") == "Ta" and quality.shape("文字") == quality.shape("हिन्दी") == "o"
+    junk = "a1" * 40
+    assert quality.shape(junk) == "a0" * 40 != quality.shape(junk[:60])
+
+
 def test_toxic_documents_go(spark):
     rows, labels, table = labelled(spark)
     df = frame(spark, rows + ODD)
