@@ -248,6 +248,31 @@ def test_html_blocks_parser():
     assert q.out == ["four"]
 
 
+def test_blocks_of_all_containers(spark):
+    """Blocks of later and nested containers and blocks with attributes, against the pieces that the pages are built from."""
+    from revlens.operators import extract as XT
+    rng, rows, want = random.Random(8), [], {}
+    for page in range(60):
+        html, kept, k = "<html><body><p>menu", [], 0
+        for depth in (rng.choice([1, 1, 2]) for _ in range(rng.randint(0, 3))):
+            for _ in range(depth):
+                html += rng.choice(["<article>", "<article class='a b'>", "<ARTICLE\nid=x>"]) + rng.choice(["", "<h1>no block</h1>", "<pre>no</pre>"])
+                for _ in range(rng.randint(0, 3)):
+                    kept.append(f"text {k} <b>x</b>" + rng.choice(["", "</p>"]))
+                    html += rng.choice(["<p>", '<p class="r">', "<p\n id=1 >", "<P>"]) + kept[-1]
+                    k += 1
+            html += "</article>".join(["", *["<p>after" if depth == 2 and i == 1 else "" for i in range(1, depth)], ""])
+            kept += ["after"] * (depth == 2)
+            html += "<p>between</p><articles><p>other</p></articles>"
+        rows.append((page, html))
+        want[page] = kept
+    df = spark.createDataFrame(rows + [(98, None), (99, "")], "page_id int, html string")
+    got = {r.page_id: r.b for r in df.select("page_id", XT.blocks(F.col("html")).alias("b")).collect()}
+    assert {p: got[p] for p in want} == want and got[98] is None and got[99] == []
+    two = "<article><p>one</article><article class=x><p class=y>two<p>three</article>"
+    assert one(spark, XT.blocks(F.col("h")), h=two) == ["one", "two", "three"]
+
+
 def test_stratified_split_sizes(spark):
     rows = [(i, "d" + str(i % 2), float(1 + i % 5)) for i in range(1, 1001) if not (i % 5 == 0 and i % 7)]
     df = spark.createDataFrame(rows, "review_id long, dataset_name string, rating double")
