@@ -1,12 +1,11 @@
-"""Benchmark decontamination by size-partitioned MinHash containment search.
+"""Benchmark decontamination by MinHash containment search.
 
 Question: which test items stand, by ``threshold`` or more of their word
 shingles, inside which documents, however long the document is?
 
-* Items are partitioned by size class (doubling numbers of shingles).  The
-  sketch of an item is its bottom-k MinHash: the k smallest hashes of its
-  shingles, with k one more than the shingles that a contained item may lack
-  at the upper end of the class, ``floor((1 - threshold) * n) + 1``.  A document
+* The sketch of an item is its bottom-k MinHash: the k smallest hashes of its n
+  shingles, with k, per item, one more than the shingles that a contained item
+  may lack, ``floor((1 - threshold) * n) + 1``.  A document
   that contains the item holds at least one hash of the sketch (pigeonhole),
   so the search has no misses, whatever the document's length.
 * A document's shingle hashes are looked up among the sketch hashes.  Those
@@ -54,8 +53,7 @@ def sketches(items: DataFrame, item_col: str, text_col: str, size: int, threshol
     w = items.select(F.col(item_col).alias("item"), plain_words(F.col(text_col)).alias("w")).distinct()
     h = w.select("item", F.explode(F.array(F.array_sort(F.array_distinct(shingle_hashes(F.col("w"), size))))).alias("hs"))
     h = h.select("item", "hs", F.size("hs").alias("n")).where("n > 0")
-    upper = F.least(F.col("n"), F.pow(F.lit(2), F.ceil(F.log2("n"))).cast("int"))  # of its size class, as far as it has shingles
-    k = F.floor((1 - threshold) * upper + 1e-9).cast("int") + 1
+    k = F.floor((1 - threshold) * F.col("n") + 1e-9).cast("int") + 1
     return h.select("item", "n", F.explode(F.slice("hs", 1, k)).alias("h"))
 
 
@@ -97,10 +95,15 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, **settings) -> DataFrame:
-    """Documents that contain no item; rows with a null id stay."""
-    id_col = settings.get("id_col", "doc_id")
-    found = stored(contained_items(docs, items, **settings).select(id_col).distinct())
-    return docs.join(small_side(found, 1_000_000), id_col, "left_anti")
+    """Documents that contain no item.
+
+    Rows are matched by id and a hash of the text, so null ids are treated like
+    any other and repeated ids with other texts keep apart."""
+    id_col, text_col = settings.pop("id_col", "doc_id"), settings.get("text_col", "text")
+    key = F.to_json(F.struct(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("h")))
+    keyed = docs.withColumn("__key", key)
+    found = stored(contained_items(keyed, items, id_col="__key", **settings).select("__key").distinct())
+    return keyed.join(small_side(found, 1_000_000), "__key", "left_anti").select(*docs.columns)
 
 
 #: The same in SQL, over views ``documents`` and ``benchmark``.

@@ -163,6 +163,15 @@ def test_contained_items(spark):
     assert decontaminate.contained_items(frame(spark, docs).where("false"), items).count() == 0
 
 
+def test_contaminated_rows_without_id_go(spark):
+    item = " ".join(f"w{k}" for k in range(30))
+    rows = [(None, f"before {item} after", "en", "a"), (None, "clean words of no item at all", "en", "a"), (7, item, "en", "a"), (7, "another text of the same id", "en", "a"), (8, None, "en", "a")]
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    out = decontaminate.clean_documents(frame(spark, rows), items)
+    assert out.columns == frame(spark, rows).columns
+    assert sorted(repr((r["doc_id"], r["text"])) for r in out.collect()) == sorted(repr(rows[k][:2]) for k in (1, 3, 4))
+
+
 # --- licences and rules against SQL on odd rows ----------------------------
 
 def compare(spark, rows, got, sql):
