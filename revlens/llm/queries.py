@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revlens.llm import bpe, ctw, decontaminate, html_text, licenses, quality, rules, secrets, toxicity
+from revlens.llm import bpe, ctw, decontaminate, html_text, licenses, quality, rules, secrets, toxicity, whitening
 from revlens.llm.common import read
 from revlens.llm.simhash import simhash_components
 
@@ -83,3 +83,9 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language-model scores of all documents."""
     return ctw.score_documents(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query("op13_whitening")
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 16 whitened components of all embeddings."""
+    return whitening.whiten(read(spark, sf_dir, "embeddings", "vec_id", "embedding"), count=16)
