@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revlens.llm import bpe, ctw, decontaminate, html_text, licenses, quality, rules, secrets, toxicity, whitening
+from revlens.llm import bpe, ctw, decontaminate, html_text, licenses, postings, quality, rules, secrets, toxicity, whitening
 from revlens.llm.common import read
 from revlens.llm.simhash import simhash_components
 
@@ -89,3 +89,9 @@ def op10_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 16 whitened components of all embeddings."""
     return whitening.whiten(read(spark, sf_dir, "embeddings", "vec_id", "embedding"), count=16)
+
+
+@query("op12_neighbours")
+def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest embeddings of every twentieth one."""
+    return postings.nearest(read(spark, sf_dir, "embeddings", "vec_id", "embedding"), every=20, count=20)
