@@ -430,3 +430,39 @@ def trie_nodes(conversations: DataFrame) -> DataFrame:
     out = nodes.join(hashes, (F.col("conv_id") == F.col("conv")) & (nodes["depth"] == hashes["depth"]), "left")
     return out.select("conv_id", nodes["depth"], "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens",
                       F.coalesce("ends", F.lit(hashlib.sha256(b"").hexdigest())).alias("ends_sha256"))
+
+
+TRIE_SQL = """
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (
+    PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base, xor(4294967295, list_reduce(
+    [4294967295::BIGINT] || list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT),
+    lambda s, b: list_reduce([xor(s, b)] || range(8), lambda v, k: xor(v >> 1, (v & 1) * 3988292384)))) % 9 AS h
+  FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (
+  SELECT c.conv_id, 0 AS part, t.pos, t.role, t.text FROM c JOIN t ON t.conv_id = c.base WHERE t.pos < c.h
+  UNION ALL
+  SELECT c.conv_id, 1, t.pos, t.role, t.text FROM c JOIN t ON t.conv_id = c.conv_id WHERE t.pos >= c.h),
+p AS (
+  SELECT conv_id, list({'role': role, 'text': text}) OVER w AS path, count(*) OVER (PARTITION BY conv_id) AS turns
+  FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY part, pos)
+  UNION ALL
+  SELECT c.conv_id, [], (SELECT count(*) FROM r WHERE r.conv_id = c.conv_id) FROM c),
+n AS (
+  SELECT path, len(path) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (turns = len(path)) AS ends
+  FROM p GROUP BY path),
+k AS (SELECT path[1:depth - 1] AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+a AS (
+  SELECT n.*, coalesce(k.n_children, 0) AS n_children FROM n LEFT JOIN k USING (path)),
+u AS (
+  SELECT path[1:g.d] AS path, sum((n_children = 0)::BIGINT) AS n_leaves,
+    sum(CASE WHEN depth > 0 THEN (n_convs - 1) * strlen(path[depth].text) ELSE 0 END) AS saved_tokens
+  FROM a, unnest(range(depth + 1)) AS g(d) GROUP BY ALL)
+SELECT a.conv_id, a.depth::BIGINT AS depth, b.conv_id AS parent_conv_id, a.n_convs::BIGINT AS n_convs, a.n_children::BIGINT AS n_children,
+  u.n_leaves::BIGINT AS n_leaves, u.saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(a.ends, '')) AS ends_sha256
+FROM a JOIN u USING (path) LEFT JOIN n b ON a.depth > 0 AND b.path = a.path[1:a.depth - 1]
+"""

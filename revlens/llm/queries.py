@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revlens.llm import bpe, ctw, decontaminate, html_text, licenses, postings, quality, rules, secrets, toxicity, whitening
+from revlens.llm import bpe, ctw, decontaminate, html_text, licenses, postings, prefix_trie, quality, rules, secrets, toxicity, whitening
 from revlens.llm.common import read
 from revlens.llm.simhash import simhash_components
 
@@ -95,3 +95,9 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest embeddings of every twentieth one."""
     return postings.nearest(read(spark, sf_dir, "embeddings", "vec_id", "embedding"), every=20, count=20)
+
+
+@query("op11_prefix_trie", prefix_trie.TRIE_SQL)
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nodes of the trie of the rebuilt conversations."""
+    return prefix_trie.trie_nodes(read(spark, sf_dir, "conversations"))

@@ -8,7 +8,7 @@ import corpus_pipeline
 from revlens.llm.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("documents", "benchmark", "pages", "labels")
+TABLES = ("documents", "benchmark", "pages", "labels", "embeddings", "conversations")
 COLUMNS = {
     "op1": ["doc_id", "licenses", "n_units", "best_dice"], "op2": ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
     "op3": ["doc_id", "item_id"], "op4": ["doc_id", "held_out", "score", "predicted"], "op5": ["doc_id", "fingerprint", "component_id"],
@@ -16,6 +16,9 @@ COLUMNS = {
     "op7": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],
     "op8": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"], "op9": ["page_id", "url", "text", "n_chars"],
     "op10": ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+    "op11": ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"],
+    "op12": ["query_id", "rank", "vec_id", "score"],
+    "op13": ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"],
 }
 
 
@@ -41,7 +44,10 @@ def test_contract(spark, name):
     assert set(COLUMNS[name.split("_")[0]]) <= set(df.columns)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-    if name.split("_")[0] not in ("op1", "op3"):
+    if name.split("_")[0] in ("op12", "op13"):
+        n = spark.read.parquet(f"{SF}/embeddings.parquet").where("vec_id % 20 = 0" if name.startswith("op12") else "true").count()
+        assert df.count() == n * (20 if name.startswith("op12") else 16)
+    elif name.split("_")[0] not in ("op1", "op3", "op11"):
         table = "pages" if name.startswith("op9") else "documents"
         assert df.count() == spark.read.parquet(f"{SF}/{table}.parquet").count()
 
