@@ -26,9 +26,10 @@ from __future__ import annotations
 from itertools import accumulate, combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from revlens.llm.common import byte_list, connected_components, stored
@@ -57,15 +58,15 @@ def fingerprint(data: bytes, size: int, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(rows)).tobytes(), "big")
 
 
-def fingerprints(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(id, fp): one row per row of ``df``; fp as a signed long."""
+def fingerprints(df: DataFrame, id_col: str, text_col: str, size: int, key: Column | None = None) -> DataFrame:
+    """(id, fp): one row per row of ``df``; fp as a signed long.  ``key`` stands in for the id column."""
     def run(batches):
         for b in batches:
             fp = np.array([fingerprint(t or b"", size) for t in byte_list(b.column(1))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["id", "fp"])
 
-    kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp bigint")
+    rows = df.select((F.col(id_col) if key is None else key).alias("id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp bigint")
 
 
 def references() -> list[int]:
@@ -183,6 +184,20 @@ def small_or_not(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= max_rows else df
 
 
+def component_minima(fps: DataFrame, low: Column, max_bits: int, split: int, salts: int = 16) -> DataFrame:
+    """(fp, low): for every fingerprint of ``fps`` the smallest ``low`` of its component.
+
+    A component may hold most fingerprints, so its members are dealt to
+    ``salts`` tasks and its one minimum is copied to each."""
+    distinct = stored(fps.groupBy("fp").agg(F.min(low).alias("low")))
+    parts = connected_components(link_edges(distinct.select("fp"), distinct.count(), max_bits, split))
+    linked = stored(distinct.join(parts.withColumnRenamed("node", "fp"), "fp"))
+    lows = linked.groupBy("component").agg(F.min("low").alias("low")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    named = linked.select("fp", "component", F.pmod(F.xxhash64("fp"), F.lit(salts)).cast("int").alias("salt")).join(lows, ["component", "salt"])
+    alone = distinct.join(linked.select("fp"), "fp", "left_anti")
+    return stored(named.select("fp", "low").unionByName(alone.select("fp", "low")))
+
+
 def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4,
                        max_bits: int = 4, split: int = 20_000) -> DataFrame:
     """(id, fingerprint: 16 hex digits, component_id: smallest id reachable), one row per row of ``df``.
@@ -193,22 +208,65 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     (null only if no member has an id).  Other columns are ignored, an empty
     table gives an empty result."""
     fps = stored(fingerprints(df, id_col, text_col, shingle))
-    distinct = stored(fps.groupBy("fp").agg(F.min("id").alias("low")))
-    edges = link_edges(distinct.select("fp"), distinct.count(), max_bits, split)
-    parts = connected_components(edges)
-    named = distinct.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    lows = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = stored(named.select("fp", "component").join(lows, "component").select("fp", "component_id"))
+    named = component_minima(fps, F.col("id"), max_bits, split)
     return fps.join(named, "fp").select(
-        F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """Rows of ``df`` without near-duplicates: of each component the row with the smallest id
-    stays (one of them if that id repeats).  Rows with a null id stay."""
-    found = simhash_components(df, id_col, text_col, **settings)
-    ids = stored(found.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).count())
-    once = df.join(ids.where("count = 1").select(id_col), id_col, "left_semi")
-    again = df.join(ids.where("count > 1").select(id_col), id_col, "left_semi").dropDuplicates([id_col])
-    none = df.where(F.col(id_col).isNull())
-    return once.unionByName(again).unionByName(none)
+        F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("low").alias("component_id"))
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4,
+             split: int = 20_000) -> DataFrame:
+    """Rows of ``df`` without near-duplicates: one row of each component stays.
+
+    It is the one with the smallest id (null ids last), then with the smallest
+    hash of its text; of rows equal in both any one.  Rows that share an id but
+    not a component are rows of their own.  Null and empty texts are one component.  All
+    columns are returned as they are; an empty table gives an empty result.
+
+    Texts are not shuffled to find the rows that go: a Bloom filter of their
+    keys (at most 2 MB, sent to every task) lets all other rows pass where
+    they are read, and only its hits meet the keys in a join."""
+    key = ["__id", "__h1", "__h2"]
+    keyed = df.withColumns({"__id": F.col(id_col), "__h1": F.xxhash64(F.lit(1), text_col), "__h2": F.xxhash64(F.lit(2), text_col)})
+    fps = stored(fingerprints(keyed, "__key", text_col, shingle, F.struct(*key))).select("fp", "id.*")
+    order = F.struct(F.col("__id").isNull().alias("none"), *key)
+    named = component_minima(fps, order, max_bits, split)
+    counts = fps.groupBy("fp", *key).count()
+    first = F.struct(F.col("low.none"), *[F.col(f"low.{c}") for c in key])
+    judged = stored(counts.join(named, "fp").select(*key, (order == first).alias("stays"), "count"))
+    gone = judged.where("NOT stays").select(*key)
+    maybe = bloom_filter(judged.where("NOT stays OR count > 1").select(*key), key)
+    marked = keyed.withColumn("__maybe", maybe(*[F.col(c) for c in key[1:]]))
+    same = F.lit(True)
+    gone = gone.withColumnsRenamed({c: f"{c}_gone" for c in key})
+    for c in key:
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}_gone"))
+    hits = marked.where("__maybe").join(gone, same, "left_anti").dropDuplicates(key)
+    return marked.where("NOT __maybe").unionByName(hits).select(*df.columns)
+
+
+def bloom_filter(keys: DataFrame, columns: list[str], most_bits: int = 1 << 24):
+    """A function of the last two ``columns`` (64-bit hashes): false for no key of ``keys``.
+
+    16 bits a key up to ``most_bits`` in all; beyond that more other rows are taken for keys."""
+    n = keys.count()
+    bits = 1 << 10
+    while bits < min(16 * n, most_bits):
+        bits *= 2
+    h1, h2 = (F.shiftrightunsigned(F.col(c), 3) for c in columns[-2:])
+    places = F.array(*[F.pmod(F.shiftrightunsigned(h1, j) + F.shiftrightunsigned(h2, j), F.lit(bits)) for j in range(0, 32, 8)])
+    words = (keys.select(F.explode(places).alias("at")).groupBy(F.shiftright("at", 6).alias("word"))
+             .agg(F.bit_or(F.expr("shiftleft(1L, CAST(pmod(at, 64) AS INT))")).alias("bits")).toArrow())
+    table = np.zeros(bits // 64, np.uint64)
+    table[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    sent = keys.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def maybe(a: pd.Series, b: pd.Series) -> pd.Series:
+        a, b = a.to_numpy().view(np.uint64) >> np.uint64(3), b.to_numpy().view(np.uint64) >> np.uint64(3)
+        out = np.ones(len(a), bool)
+        for j in range(0, 32, 8):
+            at = ((a >> np.uint64(j)) + (b >> np.uint64(j))) % np.uint64(bits)
+            out &= (sent.value[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+        return pd.Series(out)
+
+    return maybe

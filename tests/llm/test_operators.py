@@ -94,7 +94,7 @@ def test_simhash_links_of_dense_fingerprints(spark, split):
 def test_keep_one(spark):
     rows = [(5, "a b c d e", "en", "s"), (3, "a b c d e", "en", "s"), (3, "a b c d e", "en", "s"), (7, "other words stand here now", "en", "s"), (None, "a b c d e", "en", "s")]
     kept = simhash.keep_one(frame(spark, rows))
-    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["3", "7", "None"] and kept.columns == frame(spark, rows).columns
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["3", "7"] and kept.columns == frame(spark, rows).columns
     assert simhash.keep_one(frame(spark, ODD).where("false")).count() == 0
     assert simhash.simhash_components(frame(spark, ODD)).count() == len(ODD)
 
@@ -401,3 +401,35 @@ def test_batches_of_no_training_grams_have_the_same_types():
     assert even.schema == ctw.values_of(top)(codes, *counts).schema
     assert even.column(1).to_pylist() == pytest.approx([8 * math.log10(0.5)] * len(none))
     assert ctw.HotGrams(codes[:0], np.zeros(0)).scores([b"abc", b""])[0].tolist() == [0, 0]
+
+
+# --- one row of each near-duplicate group ----------------------------------
+
+def test_keep_one_equals_brute_force(spark):
+    """Repeated ids with other texts, null ids, repeated rows, near copies of any of them."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("abcdefghij") * 3 for _ in range(120)) for _ in range(12)]
+    texts += [t + " tail" for t in texts[:6]] + ["", None, "one two"]
+    rows = [(rng.choice([None, *range(12)]), rng.choice(texts), "en", rng.choice("ab")) for _ in range(160)]
+    rows += [(7, "unrelated one two three four", "en", "a"), (7, "quite other words here now", "en", "a"), (None, "unrelated one two three four", "en", "a")]
+    fps = [brute_fingerprint(t) for _, t, _, _ in rows]
+    groups = {}
+    for row, g in zip(rows, brute_components(fps)):
+        groups.setdefault(g, []).append(row)
+    kept = simhash.keep_one(frame(spark, rows)).collect()
+    assert len(kept) == len(groups) and kept[0].__fields__ == frame(spark, []).columns
+    left = [(r["doc_id"], r["text"]) for r in kept]
+    for members in groups.values():
+        best = min((m[0] is None, m[0] or 0) for m in members)
+        assert sum((i, t) in {m[:2] for m in members} and (i is None, i or 0) == best for i, t in left) >= 1
+    assert {f for f in map(brute_fingerprint, (t for _, t in left))} <= set(fps)
+    assert len({brute_components([brute_fingerprint(t) for _, t in left])[k] for k in range(len(left))}) == len(left)
+
+
+def test_bloom_filter_misses_no_key(spark):
+    rows = spark.range(20_000).select(F.xxhash64("id").alias("a"), F.xxhash64(F.lit(2), "id").alias("b"))
+    for most in (1 << 24, 1 << 10):
+        maybe = simhash.bloom_filter(rows, ["a", "b"], most)
+        assert rows.where(maybe("a", "b")).count() == 20_000
+    other = spark.range(20_000, 40_000).select(F.xxhash64("id").alias("a"), F.xxhash64(F.lit(2), "id").alias("b"))
+    assert other.where(simhash.bloom_filter(rows, ["a", "b"])("a", "b")).count() < 1000
