@@ -1,105 +1,223 @@
 """Byte-pair sub-word vocabulary: training, encoding, id mapping, batch
 encoding with masks (D13, D14, D16, D24).
 
-Training runs on the table of distinct words with their counts (word
-types), not on the reviews: each merge is one aggregation of pair counts
-over the word types (a distributed job) and a rewrite of their symbol
-strings.  Lineage is cut with reliable checkpoints every few merges.
-Pair ties are broken by the pair text (the reference library orders ties
-by internal ids), so vocabularies can differ in tie order.
+Training works on the table of word types (distinct words with counts and
+symbols) and on the table of pair counts, which is kept from round to round
+and only changed by what the touched types gain and lose.  A round takes
+the most frequent pairs whose types fit a stated bound, gathers just those
+types, and replays merges on them in exact order for as long as no pair that
+it has not seen whole can come first; a pair with more types than the bound
+is merged by itself where the types lie.  Pair ties are broken by the pair
+text (the reference library orders ties by internal ids), so vocabularies
+can differ in tie order.
 """
 
 from __future__ import annotations
 
+import heapq
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from revlens.functions import text as T
-from revlens.functions.arrays import pad_truncate
 
 SUFFIX = "</w>"
 SPECIALS = ["[UNK]", "[PAD]"]
 
+Pair = tuple[str, str]
+
 
 def word_types(texts: DataFrame, col: str) -> DataFrame:
-    """Distinct lower-cased pre-tokens with their counts, as space-joined
-    symbol strings with the end-of-word suffix on the last character."""
+    """Distinct lower-cased pre-tokens with their counts and symbols: characters,
+    the last one with the end-of-word suffix."""
     w = texts.select(F.explode(T.tokenize(F.lower(F.col(col)))).alias("word")).groupBy("word").agg(
         F.count(F.lit(1)).alias("n"))
     chars = F.filter(F.split("word", ""), lambda x: x != "")
     marked = F.transform(chars, lambda x, i: F.when(i == F.size(chars) - 1, F.concat(x, F.lit(SUFFIX))).otherwise(x))
-    return w.select("word", "n", F.array_join(marked, " ").alias("syms"))
+    return w.select("word", "n", marked.alias("syms"))
+
+
+def merged_symbols(syms: list[str], pair: Pair) -> list[str]:
+    """The symbols with every occurrence of the pair joined, from the left."""
+    out, i = [], 0
+    while i < len(syms):
+        if i + 1 < len(syms) and (syms[i], syms[i + 1]) == pair:
+            out.append(pair[0] + pair[1])
+            i += 2
+        else:
+            out.append(syms[i])
+            i += 1
+    return out
+
+
+class Replay:
+    """Merges on a set of word types, most frequent pair first, with counts kept up to date."""
+
+    def __init__(self, types: list[tuple[str, int, list[str]]], pairs: dict[Pair, int]):
+        """``pairs``: counts of the pairs all of whose types are here."""
+        self.syms = {w: list(s) for w, _, s in types}
+        self.n = {w: n for w, n, _ in types}
+        self.count = dict(pairs)
+        self.where: dict[Pair, set[str]] = {}
+        for w, s in self.syms.items():
+            for p in zip(s, s[1:]):
+                if p in self.count:
+                    self.where.setdefault(p, set()).add(w)
+        self.heap = [(-c, *p) for p, c in pairs.items()]
+        heapq.heapify(self.heap)
+        self.change: dict[Pair, list[int]] = {}
+        self.touched: set[str] = set()
+
+    def next(self, least: int) -> tuple[int, str, str] | None:
+        """The first pair in order, as (-count, a, b), if it occurs ``least`` times."""
+        while self.heap:
+            c, a, b = self.heap[0]
+            now = self.count.get((a, b), 0)
+            if now == -c and now >= least:
+                return c, a, b
+            heapq.heappop(self.heap)
+            if now >= least and now != -c:
+                heapq.heappush(self.heap, (-now, a, b))
+        return None
+
+    def merge(self, pair: Pair) -> None:
+        """Join the pair in all its types; pairs that this makes are wholly here from now on."""
+        moved: dict[Pair, int] = {}
+        for w in self.where.pop(pair, ()):
+            old = self.syms[w]
+            new = merged_symbols(old, pair)
+            if len(new) == len(old):
+                continue
+            self.syms[w] = new
+            self.touched.add(w)
+            for symbols, sign in ((old, -1), (new, 1)):
+                for p in zip(symbols, symbols[1:]):
+                    moved[p] = moved.get(p, 0) + sign * self.n[w]
+                    here = self.change.setdefault(p, [0, 0])
+                    here[0] += sign * self.n[w]
+                    here[1] += sign
+            joined = pair[0] + pair[1]
+            for p in zip(new, new[1:]):
+                if joined in p:
+                    self.where.setdefault(p, set()).add(w)
+        for p, by in moved.items():
+            if by and (p in self.count or pair[0] + pair[1] in p):
+                self.count[p] = self.count.get(p, 0) + by
+                if self.count[p] > 0:
+                    heapq.heappush(self.heap, (-self.count[p], *p))
+
 
+def _pairs(types: DataFrame, syms: str = "syms", sign: int = 1) -> DataFrame:
+    """(a, b, cnt, at): per adjacent pair, occurrences weighted by the types' counts, and plain."""
+    s = F.col(syms)
+    both = F.zip_with(F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0))), F.slice(s, 2, F.greatest(F.size(s), F.lit(1))),
+                      lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    return types.select((F.col("n") * sign).alias("n"), F.inline(both)).select("a", "b", F.col("n").alias("cnt"), F.lit(sign).cast("long").alias("at"))
 
-def _java_quote(s: str) -> str:
-    return "".join("\\" + ch if not ch.isalnum() else ch for ch in s)
 
+def _summed(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("a", "b").agg(F.sum("cnt").alias("cnt"), F.sum("at").alias("at")).where("at > 0")
 
-def _replacement(s: str) -> str:
-    return s.replace("\\", "\\\\").replace("$", "\\$")
+
+def _holding(pairs: set[Pair]):
+    """mapInPandas body: the types in which one of the pairs occurs."""
+    def run(batches):
+        for pdf in batches:
+            yield pdf[[any(p in pairs for p in zip(s, s[1:])) for s in map(list, pdf["syms"])]]
+    return run
+
+
+def _joined(pair: Pair):
+    """mapInPandas body: (word, n, syms, was), the pair joined; ``was`` is null where nothing changed."""
+    def run(batches):
+        for pdf in batches:
+            old = [list(s) for s in pdf["syms"]]
+            new = [merged_symbols(s, pair) for s in old]
+            yield pd.DataFrame({"word": pdf["word"], "n": pdf["n"], "syms": new,
+                                "was": [o if len(o) != len(s) else None for o, s in zip(old, new)]})
+    return run
 
 
 def train_bpe(words: DataFrame, vocab_size: int = 30000, min_frequency: int = 5, max_merges: int | None = None,
-              checkpoint_every: int = 20) -> tuple[list[tuple[str, str]], DataFrame]:
-    """Returns the ordered merges and the vocabulary (token, id):
-    ``[UNK]`` 0, ``[PAD]`` 1, the sorted alphabet, then merged tokens."""
+              max_types: int = 50_000, max_pairs: int = 5000) -> tuple[list[Pair], DataFrame]:
+    """The ordered merges and the vocabulary (token, id): ``[UNK]`` 0, ``[PAD]`` 1,
+    the sorted alphabet, then merged tokens, ``vocab_size`` entries in all if
+    enough pairs occur ``min_frequency`` times (at most ``max_merges`` merges if that is given).
+
+    A round gathers at most ``max_pairs`` pairs and ``max_types`` word types
+    (documented bounds of the driver's memory; the result does not depend on them)."""
     spark = words.sparkSession
-    words = words.select("n", "syms").checkpoint(eager=True)
-    alphabet = sorted(r["s"] for r in words.select(F.explode(F.split("syms", " ")).alias("s")).distinct().collect())
-    budget = vocab_size - len(SPECIALS) - len(alphabet)
-    if max_merges is not None:
-        budget = min(budget, max_merges)
-    merges: list[tuple[str, str]] = []
-    for it in range(max(0, budget)):
-        s = F.split("syms", " ")
-        pairs = words.select("n", F.explode(F.arrays_zip(F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0))).alias("a"),
-                                                          F.slice(s, 2, F.size(s)).alias("b"))).alias("p"))
-        top = (pairs.groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.sum("n").alias("cnt"))
-               .filter(F.col("cnt") >= min_frequency)
-               .orderBy(F.col("cnt").desc(), "a", "b").first())
-        if top is None:
+    types = words.select("word", "n", "syms").checkpoint(eager=True)
+    pairs = _summed(_pairs(types)).checkpoint(eager=True)
+    letters = types.select(F.explode("syms").alias("s")).distinct().orderBy("s").limit(vocab_size)
+    vocab = {t: i for i, t in enumerate([*SPECIALS, *(r["s"] for r in letters.collect())])}
+    merges: list[Pair] = []
+
+    def wanted():
+        return len(vocab) < vocab_size and (max_merges is None or len(merges) < max_merges)
+
+    while wanted():
+        first = pairs.where(F.col("cnt") >= min_frequency).orderBy(F.desc("cnt"), "a", "b").limit(max_pairs + 1).collect()
+        if not first:
             break
-        a, b = top["a"], top["b"]
-        merges.append((a, b))
-        pat = f"(?<=^| ){_java_quote(a)} {_java_quote(b)}(?= |$)"
-        words = words.withColumn("syms", F.regexp_replace("syms", pat, _replacement(a + b)))
-        if (it + 1) % checkpoint_every == 0:
-            words = words.checkpoint(eager=True)
-    tokens = SPECIALS + alphabet + [a + b for a, b in merges]
-    seen, vocab = set(), []
-    for t in tokens:
-        if t not in seen:
-            seen.add(t)
-            vocab.append((t, len(vocab)))
-    return merges, spark.createDataFrame(vocab, "token string, id int")
-
-
-def bpe_encode_word(word: str, ranks: dict) -> list[str]:
-    """Apply merges by rank to one word (lowest-ranked present pair first)."""
-    syms = list(word)
+        seen, taken = 0, 0
+        while taken < min(len(first), max_pairs) and seen + first[taken]["at"] <= max_types:
+            seen += first[taken]["at"]
+            taken += 1
+        if not taken:  # more types than the bound hold the first pair: one merge where they lie
+            pair = (first[0]["a"], first[0]["b"])
+            merges.append(pair)
+            vocab.setdefault(pair[0] + pair[1], len(vocab))
+            after = types.mapInPandas(_joined(pair), types.schema.simpleString()[7:-1] + ",was:array<string>").checkpoint(eager=True)
+            changed = after.where(F.col("was").isNotNull())
+            pairs = _summed(pairs.unionByName(_pairs(changed, "was", -1)).unionByName(_pairs(changed))).checkpoint(eager=True)
+            types = after.drop("was")
+            continue
+        chosen = {(r["a"], r["b"]): r["cnt"] for r in first[:taken]}
+        beyond = (-first[taken]["cnt"], first[taken]["a"], first[taken]["b"]) if taken < len(first) else None
+        held = types.mapInPandas(_holding(set(chosen)), types.schema).collect()
+        replay = Replay([(r["word"], r["n"], r["syms"]) for r in held], chosen)
+        while wanted():
+            top = replay.next(min_frequency)
+            if top is None or (beyond is not None and top > beyond):
+                break
+            pair = top[1:]
+            merges.append(pair)
+            replay.merge(pair)
+            if pair[0] + pair[1] in vocab:  # its pairs may occur in types that are not here
+                break
+            vocab[pair[0] + pair[1]] = len(vocab)
+        changed = spark.createDataFrame([(w, replay.syms[w]) for w in replay.touched], "word string, now array<string>")
+        moved = spark.createDataFrame([(*p, c, at) for p, (c, at) in replay.change.items() if c or at], "a string, b string, cnt long, at long")
+        types = types.join(F.broadcast(changed), "word", "left").select("word", "n", F.coalesce("now", "syms").alias("syms")).checkpoint(eager=True)
+        pairs = _summed(pairs.unionByName(moved)).checkpoint(eager=True)
+    return merges, spark.createDataFrame(list(vocab.items()), "token string, id int")
+
+
+def bpe_encode_word(word: str, ranks: dict[Pair, int]) -> list[str]:
+    """Merges by rank on one word: lowest rank first, from the left; only neighbours of a merge are looked at again."""
+    syms: list[str | None] = list(word)
     if not syms:
         return []
-    syms[-1] = syms[-1] + SUFFIX
-    while len(syms) > 1:
-        best, at = None, -1
-        for i in range(len(syms) - 1):
-            r = ranks.get((syms[i], syms[i + 1]))
-            if r is not None and (best is None or r < best):
-                best, at = r, i
-        if best is None:
-            break
-        a, b = syms[at], syms[at + 1]
-        out, i = [], 0
-        while i < len(syms):
-            if i < len(syms) - 1 and syms[i] == a and syms[i + 1] == b:
-                out.append(a + b)
-                i += 2
-            else:
-                out.append(syms[i])
-                i += 1
-        syms = out
-    return syms
+    syms[-1] += SUFFIX
+    after = [*range(1, len(syms)), -1]
+    before = [-1, *range(len(syms) - 1)]
+    heap = [(r, i, p) for i, p in enumerate(zip(syms, syms[1:])) if (r := ranks.get(p)) is not None]
+    heapq.heapify(heap)
+    while heap:
+        _, i, pair = heapq.heappop(heap)
+        j = after[i]
+        if syms[i] != pair[0] or j < 0 or syms[j] != pair[1]:
+            continue
+        syms[i], syms[j] = pair[0] + pair[1], None
+        after[i] = after[j]
+        if after[i] >= 0:
+            before[after[i]] = i
+        for at in (before[i], i):
+            if at >= 0 and after[at] >= 0 and (r := ranks.get(p := (syms[at], syms[after[at]]))) is not None:
+                heapq.heappush(heap, (r, at, p))
+    return [s for s in syms if s is not None]
 
 
 def encode_words(words: DataFrame, merges: list[tuple[str, str]], col: str = "word") -> DataFrame:
@@ -125,10 +243,14 @@ def encode_texts(texts: DataFrame, key: str, col: str, merges, vocab: DataFrame)
                     F.transform("_s", lambda x: x["token"]).alias("tokens"))
 
 
-def batch_encode(encoded: DataFrame, width: int = 300, pad_id: int = 0) -> DataFrame:
-    """Ids cut / post-padded to ``width`` (last ids kept) with an attention mask."""
-    ids = pad_truncate(F.col("ids"), width, pad_id)
-    real = F.least(F.size("ids"), F.lit(width))
-    mask = F.transform(F.sequence(F.lit(1), F.lit(width)), lambda i: F.when(i <= real, 1).otherwise(0))
-    return encoded.select("*", ids.alias("input_ids"), mask.alias("attention_mask"))
+def batch_encode(encoded: DataFrame, width: int = 300, pad_id: int = 1, start_id: int | None = None, end_id: int | None = None) -> DataFrame:
+    """The first ids up to ``width``, padded behind, with an attention mask.
 
+    ``start_id`` and ``end_id`` are set around the ids and count towards the width, so a long text loses its last ids."""
+    edge = [F.array(F.lit(i).cast("int")) if i is not None else F.array().cast("array<int>") for i in (start_id, end_id)]
+    room = width - (start_id is not None) - (end_id is not None)
+    ids = F.concat(edge[0], F.slice("ids", 1, room), edge[1])
+    n = F.size(ids)
+    padded = F.concat(ids, F.array_repeat(F.lit(pad_id).cast("int"), F.lit(width) - n))
+    mask = F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), F.lit(width) - n))
+    return encoded.select("*", padded.alias("input_ids"), mask.alias("attention_mask"))

@@ -405,21 +405,31 @@ def j17(spark, sf_dir):
 
 
 @register("e07_phrase_containment", with_fixtures("""
-WITH p AS (""" + TOPN_SQL.format(where="") + """),
-pairs AS (
-  SELECT j.entity_name, j.rating, j.rank, i.rank AS irank FROM p j JOIN p i
-    ON i.entity_name = j.entity_name AND i.rating = j.rating AND i.rank < j.rank
-  WHERE len(list_filter(range(0, len(string_split(i.phrase, ' ')) - 2),
-                        lambda k: contains(j.phrase, array_to_string(string_split(i.phrase, ' ')[k + 1:k + 2], ' ')))) > 0
-     OR len(list_filter(range(0, len(string_split(j.phrase, ' ')) - 2),
-                        lambda k: contains(i.phrase, array_to_string(string_split(j.phrase, ' ')[k + 1:k + 2], ' ')))) > 0)
-SELECT p.entity_name, p.rating, p.rank, p.phrase, m.e AS earliest_similar
-FROM p LEFT JOIN (SELECT entity_name, rating, rank, min(irank) AS e FROM pairs GROUP BY ALL) m
-  ON m.entity_name = p.entity_name AND m.rating = p.rating AND m.rank = p.rank"""))
+WITH p AS MATERIALIZED (
+  SELECT entity_name, rating, phrase, string_split(phrase, ' ') AS t,
+    row_number() OVER (PARTITION BY entity_name, rating ORDER BY score DESC, phrase) - 1 AS rank FROM fx_phrase_scores),
+h AS MATERIALIZED (SELECT entity_name, rating, rank, t[k] AS u, t[k + 1] AS v, k < len(t) - 1 AS sought
+      FROM p, unnest(range(1, len(t))) AS g(k)),
+w AS (SELECT entity_name, rating, u, v, min(rank) AS s FROM h WHERE sought GROUP BY ALL),
+a AS (SELECT entity_name, rating, u, v, min(rank) AS r FROM h GROUP BY ALL),
+tails AS (SELECT DISTINCT x.u AS whole, y.u AS part FROM (SELECT u, substr(u, k) AS cut FROM (SELECT DISTINCT u FROM a), unnest(range(1, len(u) + 2)) AS g(k)) x
+          JOIN (SELECT DISTINCT u FROM w) y ON x.cut = y.u),
+heads AS (SELECT DISTINCT x.v AS whole, y.v AS part FROM (SELECT v, substr(v, 1, k) AS cut FROM (SELECT DISTINCT v FROM a), unnest(range(0, len(v) + 1)) AS g(k)) x
+          JOIN (SELECT DISTINCT v FROM w) y ON x.cut = y.v),
+x AS MATERIALIZED (SELECT a.*, tails.part AS wu FROM a JOIN tails ON tails.whole = a.u),
+y AS MATERIALIZED (SELECT x.*, heads.part AS wv FROM x JOIN heads ON heads.whole = x.v),
+m AS MATERIALIZED (SELECT y.*, w.s FROM y JOIN w ON w.entity_name = y.entity_name AND w.rating = y.rating AND w.u = y.wu AND w.v = y.wv),
+i AS (SELECT entity_name, rating, u, v, min(s) AS e FROM m GROUP BY ALL),
+o AS (SELECT entity_name, rating, wu AS u, wv AS v, min(r) AS e FROM m GROUP BY ALL),
+e AS (
+  SELECT entity_name, rating, rank, min(e) AS e FROM (
+    SELECT h.entity_name, h.rating, h.rank, i.e FROM h JOIN i USING (entity_name, rating, u, v)
+    UNION ALL SELECT h.entity_name, h.rating, h.rank, o.e FROM h JOIN o USING (entity_name, rating, u, v) WHERE h.sought) GROUP BY ALL)
+SELECT p.entity_name, p.rating, p.rank, p.phrase, CASE WHEN e.e < p.rank THEN e.e END AS earliest_similar
+FROM p LEFT JOIN e USING (entity_name, rating, rank)"""))
 def e07(spark, sf_dir):
-    """Sub-phrase containment between the ranked top phrases of each (entity, rating), pair-free."""
-    t = top_per_group(phrase_table(spark, sf_dir), ["entity_name", "rating"],
-                      [F.col("score").desc(), F.col("phrase")], 20, pos="rank")
+    """Sub-phrase containment over the whole ranking of each (entity, rating), pair-free."""
+    t = rank_within(phrase_table(spark, sf_dir), ["entity_name", "rating"], [F.col("score").desc(), F.col("phrase")], pos="rank", size=None)
     return X.earliest_similar(t, ["entity_name", "rating"], "rank", 2)
 
 

@@ -36,11 +36,22 @@ def test_phrase_containment_matches_brute_force(spark):
     assert any(v is not None for v in got.values())
 
 
+def test_phrase_containment_of_long_and_empty_tokens(spark):
+    """Tokens of 1,000 characters, empty tokens and short phrases follow the same rule."""
+    long = "x" * 1000
+    rows = [("g", i, p) for i, p in enumerate([f"{long} b c d", "xxx b c d", f"q{long} bb c d", "b", "", f"a  {long} e", f"zx  {long}{long} e f", "c d", "d c d c"])]
+    df = spark.createDataFrame(rows, "g string, rank int, phrase string")
+    for d in (2, 3):
+        got = {(r.g, r.rank): r.earliest_similar for r in X.earliest_similar(df, ["g"], "rank", d).collect()}
+        assert got == _brute_earliest(rows, d), d
+    assert X.earliest_similar(df.limit(0), ["g"], "rank", 2).collect() == []
+
+
 def test_bpe_round_trip(spark):
     texts = ["привіт пан степан", "привіт привіт пане", "the cat sat", "the cats sat on the mat"] * 6
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "review_id long, text string")
     words = SW.word_types(df, "text")
-    merges, vocab = SW.train_bpe(words, min_frequency=2, max_merges=30, checkpoint_every=7)
+    merges, vocab = SW.train_bpe(words, min_frequency=2, max_merges=30, max_types=7)
     v = {r.token: r.id for r in vocab.collect()}
     assert v["[UNK]"] == 0 and v["[PAD]"] == 1 and len(merges) > 5
     enc = SW.encode_texts(df, "review_id", "text", merges, vocab).collect()
@@ -166,10 +177,39 @@ def test_bpe_training_matches_python(spark):
              for _ in range(40)]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "review_id long, text string")
     counts = Counter(w for r in SW.word_types(df, "text").collect() for w in [r.word] for _ in range(r.n))
-    merges, _ = SW.train_bpe(SW.word_types(df, "text"), min_frequency=3, max_merges=25, checkpoint_every=6)
+    merges, _ = SW.train_bpe(SW.word_types(df, "text"), min_frequency=3, max_merges=25, max_types=12, max_pairs=3)
     assert merges == _python_bpe(counts, 3, 25)
 
 
+def test_bpe_two_thousand_merges(spark):
+    """The whole run against a plain trainer: gathered rounds, single merges of hot pairs, equal counts, repeated tokens."""
+    rng = random.Random(12)
+    parts = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 4))) for _ in range(60)]
+    counts = {}
+    while len(counts) < 900:
+        counts["".join(rng.choice(parts) for _ in range(rng.randrange(1, 6)))] = rng.choice([1, 2, 3, 3, 3, 5, 40])
+    types = spark.createDataFrame([(w, n, [*w[:-1], w[-1] + SW.SUFFIX]) for w, n in counts.items()], "word string, n long, syms array<string>")
+    want = _python_bpe(counts, 3, 2000)
+    merges, vocab = SW.train_bpe(types, min_frequency=3, max_merges=2000, max_types=700, max_pairs=400)
+    assert len(want) > 900 and merges == want
+    tokens = [r["token"] for r in vocab.orderBy("id").collect()]
+    assert len(tokens) == len(set(tokens)) and tokens[:2] == SW.SPECIALS and set(tokens) >= {a + b for a, b in merges}
+    ranks = {p: i for i, p in enumerate(merges)}
+    for w in list(counts)[:200]:
+        syms = [*w[:-1], w[-1] + SW.SUFFIX]
+        for pair in merges:
+            syms = SW.merged_symbols(syms, pair)
+        assert SW.bpe_encode_word(w, ranks) == syms
+
+
+def test_batch_encode_marks_and_cuts(spark):
+    df = spark.createDataFrame([(1, [5, 6]), (2, []), (3, [7, 8, 9, 10, 11])], "review_id long, ids array<int>")
+    got = {r["review_id"]: (r["input_ids"], r["attention_mask"]) for r in SW.batch_encode(df, 5, 1, 90, 91).collect()}
+    assert got == {1: ([90, 5, 6, 91, 1], [1, 1, 1, 1, 0]), 2: ([90, 91, 1, 1, 1], [1, 1, 0, 0, 0]), 3: ([90, 7, 8, 9, 91], [1] * 5)}
+    plain = {r["review_id"]: r["input_ids"] for r in SW.batch_encode(df, 4, 0).collect()}
+    assert plain == {1: [5, 6, 0, 0], 2: [0] * 4, 3: [7, 8, 9, 10]}
+
+
 def test_out_of_fold_invariants(spark):
     import __spark_entry__ as E
     rows = E.queries()["j06_out_of_fold"](spark, SF_SMALL).collect()
@@ -244,3 +284,31 @@ def test_out_of_fold_covers_each_row_once_a_member(spark):
     members = Counter(r.member for r in rows)
     assert set(members.values()) == {n} and len({(r.review_id, r.member) for r in rows}) == len(rows)
     assert {r.fold for r in rows} == set(range(5)) and all(abs(sum(r.y_predicted_proba) - 1) < 1e-6 for r in rows)
+
+
+def test_coefficient_table_reads_saved_models(spark):
+    """Multinomial and binomial models, dense and compressed: the same numbers as the model's own matrix."""
+    import uuid
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.linalg import Vectors
+    from revlens.operators import models as ML
+    from revlens.session import ensure_checkpoint_dir
+    rng = random.Random(1)
+    for labels, sparse in ((3, 0.0), (2, 0.0), (3, 0.9)):
+        rows = [(float(i % labels), Vectors.sparse(40, {(7 * (i % labels) + k): 1.0 for k in rng.sample(range(6), 2)})) for i in range(60)]
+        model = LogisticRegression(maxIter=20, regParam=0.05, elasticNetParam=sparse).fit(spark.createDataFrame(rows, ["label", "features"]))
+        path = f"{ensure_checkpoint_dir(spark)}/t-{uuid.uuid4().hex}"
+        model.write().save(path)
+        got = {(r.label, r.term_idx): r.coef for r in ML.coefficient_table(spark.read.schema(ML.SAVED_MATRIX).parquet(path + "/data")).collect()}
+        m = model.coefficientMatrix.toArray()
+        want = {(i, j): m[i, j] for i in range(m.shape[0]) for j in range(m.shape[1]) if m[i, j]}
+        assert got == want and want
+
+
+def test_contributions_of_a_stored_table(spark):
+    weights = spark.createDataFrame([(1, "a", 0, 0.5), (1, "b", 1, 0.5), (1, "c", 2, 0.1), (2, "a", 0, 1.0)], "review_id long, term string, term_idx int, weight double")
+    coefs = spark.createDataFrame([(0, 0, 1.0), (1, 0, 1.0), (2, 0, 9.0), (0, 1, -2.0)], "term_idx int, label int, coef double")
+    from revlens.operators.models import contributions
+    got = sorted(map(tuple, contributions(weights, coefs, 2).collect()))
+    assert got == [(1, 0, 0, "c", 0.9), (1, 0, 1, "a", 0.5), (1, 1, 0, "a", -1.0), (2, 0, 0, "a", 1.0), (2, 1, 0, "a", -2.0)]
+
