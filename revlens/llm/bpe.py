@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 NONE = np.iinfo(np.int64).max
 #: Characters of text whose words are split at once, and distinct words kept by a task.
 CHUNK, KEPT = 1 << 21, 200_000
+#: Bytes up to which words are replayed together.
+LONG = 256
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -146,6 +148,34 @@ class Merges:
         ids = ids.astype(np.int32).tobytes()
         return [ids[a:b] for a, b in zip(edge, edge[1:])]
 
+    def replay_long(self, word: bytes) -> bytes:
+        """Token ids of one word, as packed 32-bit integers, by a heap of (rank, position)."""
+        if not hasattr(self, "_pairs"):
+            self._pairs = dict(zip(self.keys.tolist(), self.rank.tolist()))
+        rank_of, n = self._pairs.get, len(word)
+        tok = self.byte[np.frombuffer(word, np.uint8)].tolist()
+        after, before = [*range(1, n), -1], list(range(-1, n - 1))
+        heap = [(r, i) for i in range(n - 1) if (r := rank_of(tok[i] << 32 | tok[i + 1])) is not None]
+        heapify(heap)
+        while heap:
+            r, i = heappop(heap)
+            j = after[i]
+            if j < 0 or tok[i] < 0 or rank_of(tok[i] << 32 | tok[j]) != r:
+                continue  # merged away meanwhile
+            k = after[i] = after[j]
+            tok[i], tok[j] = r, -1
+            if k >= 0:
+                before[k] = i
+                if (s := rank_of(r << 32 | tok[k])) is not None:
+                    heappush(heap, (s, i))
+            if (h := before[i]) >= 0 and (s := rank_of(tok[h] << 32 | r)) is not None:
+                heappush(heap, (s, h))
+        ids, i = [], 0
+        while i >= 0:
+            ids.append(tok[i])
+            i = after[i]
+        return np.array(ids, np.int32).tobytes()
+
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
@@ -154,8 +184,9 @@ class Merges:
         words = list(words)
         raw = [w.encode() for w in words]
         rank = [self.ranks.get(w) for w in raw]
-        merged = iter(self.replay([w for w, r in zip(raw, rank) if r is None]))
-        return {w: next(merged) if r is None else pack("=i", r) for w, r in zip(words, rank)}
+        merged = iter(self.replay([w for w, r in zip(raw, rank) if r is None and len(w) <= LONG]))
+        return {w: pack("=i", r) if r is not None else next(merged) if len(b) <= LONG else self.replay_long(b)
+                for w, b, r in zip(words, raw, rank)}
 
 
 def _pieces(pattern, text: str):
@@ -215,7 +246,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
     data: the bytes that the ids stand for, as ``decode`` gives them, in the same pass.
 
     Null and empty texts have no tokens.  Ids may be null or repeated; other
-    columns are ignored.  Memory of a task is bounded by its Arrow batch,
+    columns are ignored; an empty table gives an empty result.  Memory of a task is bounded by its Arrow batch,
     ``CHUNK`` characters of split text (or the longest text) and ``KEPT`` distinct words."""
     # the vocabulary is a file of fixed size (about a megabyte), read once on the driver
     shared = df.sparkSession.sparkContext.broadcast(Merges(load_ranks(ranks_path), pattern))
@@ -237,7 +268,9 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
 
 
 def decode(df: DataFrame, ranks_path: str, id_col: str = "doc_id", tokens_col: str = "tokens") -> DataFrame:
-    """(id, tokens, data: binary): the bytes that the ids stand for (none for null ids)."""
+    """(id, tokens, data: binary): the bytes that the ids stand for (none for null ids).
+
+    Repeated rows repeat their result, other columns are ignored, and an empty table gives an empty result."""
     vocabulary = {r: t for t, r in load_ranks(ranks_path).items()}
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
 

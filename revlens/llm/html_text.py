@@ -33,9 +33,14 @@ NAMES = re.compile(r"""(?:^|[\s_-])(?:nav(?:bar|igation)?|menus?|breadcrumbs?|si
                    r"""|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|subscription|signup|share|sharing|social|related|recommended|widget|pagination|pager|comments?|comment-list"""
                    r"""|disqus|replies|reply|respond|reviews?-list|copyright|legal|toolbar|skip-link|search)(?=$|[\s_-])""", re.I)
 HEADER = re.compile(r"(?:^|[\s_-])header(?=$|[\s_-])", re.I)  # of a page; an article's own header holds its title
+#: Elements that hold text and no blocks: inside an article only the names of adverts and notices count for them.
+TEXTUAL = frozenset("p pre h1 h2 h3 h4 h5 h6".split())
+ADVERT = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed)?|promos?|promotion|cookies?|consent|gdpr|newsletter|subscribe|copyright)(?=$|[\s_-])", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
-PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*>|[^>]*>)", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+_TAG = (r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*>|[^>]*>)")
+#: The next piece of markup, while a marked section can still end and where none can.
+PIECE, PIECE_AFTER = re.compile(r"<!\[CDATA\[.*?\]\]>|" + _TAG, re.S), re.compile(_TAG, re.S)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")  # one after the other: a value is never read as names
 SPACE = re.compile(r"\s+")
 #: Opening one of these ends an open element of its group, as browsers do.
 CLOSES = {"li": ("li",), "p": ("p",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -126,7 +131,7 @@ def is_aside(tag: str, attributes: str, in_article: bool) -> bool:
         name = name.lower()
         if name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
-        if name in ("class", "id") and (NAMES.search(value) or not in_article and HEADER.search(value)):
+        if name in ("class", "id") and ((ADVERT if in_article and tag in TEXTUAL else NAMES).search(value) or not in_article and HEADER.search(value)):
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
@@ -137,6 +142,8 @@ def blocks(page: str) -> list[dict]:
     """Flat text blocks of a page in order: text, words, linked words, and where they stand."""
     out: list[dict] = []
     stack: list[tuple[str, bool, bool, bool, bool, bool]] = []  # tag, skipped, aside, article, heading, link
+    places: dict[str, list[int]] = {}  # of the open elements of each kind in the stack
+    sections: list[int] = []  # of the open sections
     text: list[tuple[str, bool]] = []
     state = (False, False, False, False, False)
 
@@ -149,45 +156,47 @@ def blocks(page: str) -> list[dict]:
                 out.append({"text": whole, "words": n, "links": min(linked, n), "aside": state[1], "article": state[2], "heading": state[3]})
             text.clear()
 
+    def innermost(tags) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=-1)
+
     def pop_to(k: int):
         nonlocal state
         if any(entry[0] not in INLINE for entry in stack[k:]):
             flush()
+        for entry in stack[k:]:
+            places[entry[0]].pop()
         del stack[k:]
+        while sections and sections[-1] >= k:
+            sections.pop()
         state = stack[-1][1:] if stack else (False, False, False, False, False)
 
     at, size = 0, len(page)
+    last_tag, last_marked = page.rfind(">"), page.rfind("]]>")
     while at < size:
-        m = PIECE.search(page, at)
+        m = (PIECE if at <= last_marked else PIECE_AFTER).search(page, at) if at <= last_tag or page.find("<!--", at) >= 0 else None
         if (m.start() if m else size) > at and not state[0]:
             text.append((page[at:m.start() if m else size], state[4]))
         if not m:
             break
         at = m.end()
         if m[2] is None:
-            if m[0].startswith("<![CDATA[") and not state[0]:
+            if m[0].startswith("<![CDATA[") and m[0].endswith("]]>") and not state[0]:
                 text.append((html.escape(m[0][9:-3]), state[4]))
             continue
         tag, closing, attributes = m[2].lower(), m[1], m[3][:-1]
+        section = sections[-1] if sections else -1
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    pop_to(k)
-                    break
-                if stack[k][0] in SECTION and tag not in SECTION:
-                    break  # a stray end tag does not close its container
-            else:
-                if tag not in INLINE:
-                    flush()
+            k = innermost((tag,))
+            if k >= 0 and (k >= section or tag in SECTION):
+                pop_to(k)
+            elif k < 0 and (section < 0 or tag in SECTION) and tag not in INLINE:
+                flush()  # a stray end tag does not close its container
             continue
         if tag not in INLINE:
             flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in CLOSES.get(tag, ()) or stack[k][0] == "p" and tag in ENDS_P:
-                    pop_to(k)
-                    break
-                if stack[k][0] in SECTION or stack[k][0] == "blockquote":
-                    break
+            k = innermost((*CLOSES.get(tag, ()), *(("p",) if tag in ENDS_P else ())))
+            if k > max(section, innermost(("blockquote",))):
+                pop_to(k)
         if tag in VOID:
             continue
         if attributes.rstrip().endswith("/") and tag not in INLINE and tag not in SECTION and tag not in RAW and tag != "p":
@@ -198,6 +207,9 @@ def blocks(page: str) -> list[dict]:
             at = end.end() if end else size
             continue
         main = tag in ("article", "main") or any(n.lower() == "role" and v.strip("\"'").lower() in ("main", "article") for n, v in ATTRIBUTE.findall(attributes))
+        places.setdefault(tag, []).append(len(stack))
+        if tag in SECTION:
+            sections.append(len(stack))
         stack.append((tag, skipped or tag in SKIPPED, aside or is_aside(tag, attributes, article), article or main,
                       heading or tag in ("h1", "h2", "h3", "h4", "h5", "h6"), link or tag == "a"))
         state = stack[-1][1:]
@@ -227,7 +239,8 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
     """(page_id, url, text, n_chars), one row per row of ``df``.
 
     Null and empty pages give an empty text, as do pages without main text;
-    repeated rows repeat their result; other columns are ignored."""
+    repeated rows repeat their result; other columns are ignored; an empty table
+    gives an empty result.  The work on a page grows with its length, however broken its markup."""
     narrow = df.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     out = append(narrow, "html", "__text string", lambda pages: [pa.array([main_text(p) for p in pages], pa.string())])
     return out.select("page_id", "url", F.col("__text").alias("text"), F.length("__text").cast("long").alias("n_chars"))

@@ -10,9 +10,11 @@ the quantiles of its own group a document gets its thresholds:
 
 so a cutoff follows what is usual in that language and source, up to a
 quarter of odd documents does not move it, and a group of usual documents
-loses none to a fixed share.  Groups under ``min_rows`` rows take the merged
-sketch of their language, or of all rows if that is small too.  The thresholds
-are then joined to the measures by language and source.
+loses none to a fixed share.  A group's sketch is merged with its language's,
+scaled to the weight of ``prior`` rows, and that one likewise with the sketch of
+all rows: a group of few rows leans on its language, a large one on itself, and
+nothing switches at any size.  The weighted counts are whole numbers, so the merge is exact.
+The thresholds are then joined to the measures by language and source.
 
 Everything is DataFrame functions; all counts are integers."""
 
@@ -90,29 +92,38 @@ def values() -> list[Column]:
             for name, (a, b, scale, _, _) in MEASURES.items()]
 
 
-def thresholds(measured: DataFrame, min_rows: int, spread: int) -> DataFrame:
+def leaning(own: DataFrame, keys: list[str], parent: DataFrame, parent_keys: list[str], prior: int) -> DataFrame:
+    """Sketch ``own`` (keys, measure, bucket, n) with the parent's sketch added at the weight of ``prior`` rows.
+
+    All counts are multiplied by the parent's total, so that its share of each bucket stays a whole number."""
+    n = F.col("n").cast("decimal(38,0)")
+    total = parent.groupBy(*parent_keys, "measure").agg(F.sum(n).alias("total"))
+    up = own.join(total, [*parent_keys, "measure"]).select(*keys, "measure", "bucket", (n * F.col("total")).cast("decimal(38,0)").alias("n"))
+    groups = own.select(*keys, "measure").distinct()
+    lean = groups.join(parent, [*parent_keys, "measure"]).select(*keys, "measure", "bucket", (n * F.lit(prior).cast("decimal(10,0)")).cast("decimal(38,0)").alias("n"))
+    return up.unionByName(lean).groupBy(*keys, "measure", "bucket").agg(F.sum("n").cast("decimal(38,0)").alias("n"))
+
+
+def thresholds(measured: DataFrame, prior: int, spread: int) -> DataFrame:
     """One row per language and source: the lower and upper cutoff of every measure."""
     bucket = F.expr("shiftleft(shiftright(v, greatest(length(bin(v)) - 6, 0)) + 1, greatest(length(bin(v)) - 6, 0)) - 1")
     long = measured.select("lang", "source", F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("v")) for m in MEASURES])).alias("x"))
     sketch = stored(long.select("lang", "source", "x.*").groupBy("lang", "source", "measure", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n")))
-    level = {}
-    for name, keys in (("own", ["lang", "source"]), ("lang", ["lang"]), ("all", [])):
-        merged = sketch.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
-        whole = Window.partitionBy(*keys, "measure")
-        run = merged.withColumn("upto", F.sum("n").over(whole.orderBy("bucket"))).withColumn("total", F.sum("n").over(whole))
-        q = lambda p: F.min(F.when(F.col("upto") * 100 >= F.col("total") * p, F.col("bucket")))  # noqa: B023,E731
-        cut = run.groupBy(*keys, "measure").agg(F.first("total").alias("total"), q(25).alias("q25"), q(50).alias("q50"), q(75).alias("q75"))
-        floor = F.element_at(F.create_map(*[F.lit(x) for m, s in MEASURES.items() for x in (m, s[3])]), F.col("measure"))
-        cut = cut.select(*keys, "measure", "total", (F.col("q75") + spread * F.greatest(F.col("q75") - F.col("q50"), floor)).alias("upper"),
-                         (F.col("q25") - spread * F.greatest(F.col("q50") - F.col("q25"), floor)).alias("lower"))
-        pick = lambda m, c: F.max(F.when(F.col("measure") == m, F.col(c)))
-        level[name] = cut.groupBy(*keys).agg(F.max("total").alias(f"{name}_rows"), *[pick(m, c).alias(f"{name}_{m}_{c}") for m in MEASURES for c in ("lower", "upper")])
-    both = level["own"].join(level["lang"], "lang").withColumn("one", F.lit(1)).join(level["all"].withColumn("one", F.lit(1)), "one")
-    chosen = lambda c: F.when(F.col("own_rows") >= min_rows, F.col(f"own_{c}")).when(F.col("lang_rows") >= min_rows, F.col(f"lang_{c}")).otherwise(F.col(f"all_{c}"))
-    return stored(both.select("lang", "source", *[chosen(f"{m}_{c}").alias(f"{m}_{c}") for m in MEASURES for c in ("lower", "upper")]))
-
-
-def apply_rules(df: DataFrame, min_rows: int = 500, spread: int = 6, **columns) -> DataFrame:
+    by = lambda *keys: sketch.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
+    lang = stored(leaning(by("lang"), ["lang"], by(), [], prior))
+    merged = leaning(sketch, ["lang", "source"], lang, ["lang"], prior)
+    whole = Window.partitionBy("lang", "source", "measure")
+    run = merged.withColumn("upto", F.sum("n").over(whole.orderBy("bucket"))).withColumn("total", F.sum("n").over(whole))
+    q = lambda p: F.min(F.when(F.col("upto") * 100 >= F.col("total") * p, F.col("bucket")))
+    cut = run.groupBy("lang", "source", "measure").agg(q(25).alias("q25"), q(50).alias("q50"), q(75).alias("q75"))
+    floor = F.element_at(F.create_map(*[F.lit(x) for m, s in MEASURES.items() for x in (m, s[3])]), F.col("measure"))
+    cut = cut.select("lang", "source", "measure", (F.col("q75") + spread * F.greatest(F.col("q75") - F.col("q50"), floor)).alias("upper"),
+                     (F.col("q25") - spread * F.greatest(F.col("q50") - F.col("q25"), floor)).alias("lower"))
+    pick = lambda m, c: F.max(F.when(F.col("measure") == m, F.col(c))).alias(f"{m}_{c}")
+    return stored(cut.groupBy("lang", "source").agg(*[pick(m, c) for m in MEASURES for c in ("lower", "upper")]))
+
+
+def apply_rules(df: DataFrame, prior: int = 500, spread: int = 6, **columns) -> DataFrame:
     """(doc_id, counts, base_failed, kept, failed): one row per row of ``df``.
 
     ``kept`` is false if the base rule fails or any measure is beyond its
@@ -121,7 +132,7 @@ def apply_rules(df: DataFrame, min_rows: int = 500, spread: int = 6, **columns)
     ''; repeated rows get equal results; other columns are ignored."""
     counted = stored(measures(df, **columns))
     measured = counted.select("*", *values())
-    limits = thresholds(measured, min_rows, spread)
+    limits = thresholds(measured, prior, spread)
     joined = measured.join(small_side(limits, 100_000), ["lang", "source"], "left")
     beyond = [F.when((F.col(m) > F.col(f"{m}_upper")) | (F.col(m) < F.col(f"{m}_lower") if two else F.lit(False)), F.lit(m)) for m, (*_, two) in MEASURES.items()]
     base_failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
@@ -130,23 +141,32 @@ def apply_rules(df: DataFrame, min_rows: int = 500, spread: int = 6, **columns)
                          (~base_failed & (failed == "")).alias("kept"), failed.alias("failed"))
 
 
-def rules_sql(min_rows: int = 500, spread: int = 6) -> str:
+def rules_sql(prior: int = 500, spread: int = 6) -> str:
     """DuckDB form of ``apply_rules`` over ``documents``."""
     value = {m: f"CASE WHEN {b} > 0 THEN {a} * {scale} // {b} ELSE 0 END" for m, (a, b, scale, _, _) in MEASURES.items()}
     floor = "CASE measure " + " ".join(f"WHEN '{m}' THEN {s[3]}" for m, s in MEASURES.items()) + " END"
     long = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, {m} AS v FROM v" for m in MEASURES)
     sides = [(m, c) for m in MEASURES for c in ("lower", "upper")]
-    levels = ""
-    for name, keys in (("own", "lang, source, "), ("lang", "lang, "), ("alls", "")):
-        on = f"PARTITION BY {keys}measure"
-        levels += f"""
-{name} AS (SELECT {keys}max(total) AS {name}_rows, {', '.join(f"max(CASE WHEN measure = '{m}' THEN {c} END) AS {name}_{m}_{c}" for m, c in sides)}
-  FROM (SELECT {keys}measure, total, q75 + {spread} * greatest(q75 - q50, {floor}) AS upper, q25 - {spread} * greatest(q50 - q25, {floor}) AS lower
-        FROM (SELECT {keys}measure, any_value(total) AS total, min(CASE WHEN upto * 100 >= total * 25 THEN bucket END) AS q25,
+    def lean(name, own, keys, parent, on):
+        """CTEs: sketch ``own`` with its parent's added at the weight of ``prior`` rows."""
+        k = "".join(f"{c}, " for c in keys)
+        same = " AND ".join(f"x.{c} = y.{c}" for c in [*on, "measure"])
+        xk = "".join(f"x.{c}, " for c in keys)
+        p = "".join(f"{c}, " for c in on)
+        return f"""
+{name} AS (SELECT {k}measure, bucket, sum(n) AS n FROM (
+  SELECT {xk}x.measure, x.bucket, x.n::HUGEINT * y.total AS n FROM {own} x JOIN (SELECT {p}measure, sum(n)::HUGEINT AS total FROM {parent} GROUP BY ALL) y ON {same}
+  UNION ALL SELECT {xk}x.measure, y.bucket, y.n::HUGEINT * {prior} FROM (SELECT DISTINCT {k}measure FROM {own}) x JOIN {parent} y ON {same}) GROUP BY {k}measure, bucket),"""
+
+    on = "PARTITION BY lang, source, measure"
+    levels = f"""
+sa AS (SELECT measure, bucket, sum(n) AS n FROM sk GROUP BY measure, bucket),
+sl AS (SELECT lang, measure, bucket, sum(n) AS n FROM sk GROUP BY lang, measure, bucket),""" + lean("ml", "sl", ["lang"], "sa", []) + lean("mo", "sk", ["lang", "source"], "ml", ["lang"]) + f"""
+lim AS (SELECT lang, source, {', '.join(f"max(CASE WHEN measure = '{m}' THEN {c} END) AS {m}_{c}" for m, c in sides)}
+  FROM (SELECT lang, source, measure, q75 + {spread} * greatest(q75 - q50, {floor}) AS upper, q25 - {spread} * greatest(q50 - q25, {floor}) AS lower
+        FROM (SELECT lang, source, measure, min(CASE WHEN upto * 100 >= total * 25 THEN bucket END) AS q25,
                      min(CASE WHEN upto * 100 >= total * 50 THEN bucket END) AS q50, min(CASE WHEN upto * 100 >= total * 75 THEN bucket END) AS q75
-              FROM (SELECT *, sum(n) OVER ({on} ORDER BY bucket) AS upto, sum(n) OVER ({on}) AS total
-                    FROM (SELECT {keys}measure, bucket, sum(n) AS n FROM sk GROUP BY {keys}measure, bucket)) GROUP BY {keys}measure)) {f"GROUP BY {keys[:-2]}" if keys else ""}),"""
-    pick = lambda c: f"CASE WHEN own_rows >= {min_rows} THEN own_{c} WHEN lang_rows >= {min_rows} THEN lang_{c} ELSE alls_{c} END"
+              FROM (SELECT *, sum(n) OVER ({on} ORDER BY bucket) AS upto, sum(n) OVER ({on}) AS total FROM mo) GROUP BY lang, source, measure)) GROUP BY lang, source),"""
     beyond = ", ".join(f"CASE WHEN {m} > {m}_upper {f'OR {m} < {m}_lower' if s[4] else ''} THEN '{m}' END" for m, s in MEASURES.items())
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text,
@@ -162,7 +182,6 @@ c AS (SELECT d.row, doc_id, lang, source, len(w) AS n_words, len(list_aggregate(
 v AS (SELECT *, {', '.join(f'{x} AS {m}' for m, x in value.items())} FROM c),
 sk AS (SELECT lang, source, measure, CASE WHEN v < 64 THEN v ELSE (((v >> s) + 1) << s) - 1 END AS bucket, count(*) AS n
        FROM (SELECT *, CASE WHEN v < 64 THEN 0 ELSE length(bin(v)) - 6 END AS s FROM ({long})) GROUP BY 1, 2, 3, 4),{levels}
-lim AS (SELECT own.lang, own.source, {', '.join(f'{pick(f"{m}_{c}")} AS {m}_{c}' for m, c in sides)} FROM own JOIN lang USING (lang) JOIN alls ON true),
 r AS (SELECT v.*, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, concat_ws(',', {beyond}) AS failed FROM v JOIN lim ON lim.lang = v.lang AND lim.source = v.source)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
        CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND failed = '' AS kept, failed FROM r

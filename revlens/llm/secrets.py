@@ -7,12 +7,13 @@ count only if the corpus shows the same value assigned to a secret's name
 elsewhere).  Values leave the pass as hashes only.
 
 The hashes are then aggregated over the corpus by distinct repositories and
-owners.  A value that many owners or many repositories hold is a copied
-example (documentation, tutorials, test keys); a value that few of both hold
-and that looks random is a live-looking credential.  Exact copies of a text
-count as one repository, so a credential does not become an example because
-its document was copied.  The aggregates are two-step (per value and owner, or
-value and text, then per value) with map-side partial sums, so no task gets
+owners.  A value that many owners hold, or that many repositories hold in the
+same surroundings, is a copied example (documentation, tutorials, test keys); a
+value that few owners hold, each time in other surroundings, and that looks
+random is a live-looking credential, however often its owner uses it.  Exact
+copies of a text count as one repository, so a credential does not become an example because
+its document was copied.  The aggregates go in steps (per value and owner, or
+value, surroundings and text, then per value) with map-side partial sums, so no task gets
 all rows of a value that stands in a third of all documents."""
 
 from __future__ import annotations
@@ -41,7 +42,9 @@ VENDOR_MARKS = ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "AIza", "eyJ")
 ECHO = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 DUMMY = re.compile(r"example|sample|dummy|placeholder|changeme|your|test|x{4,}|1234|(.)\1{5,}", re.I)
 
-SPAN = "struct<kind:tinyint,start:int,end:int,vstart:int,vend:int,value:string,random:boolean>"
+SPAN = "struct<kind:tinyint,start:int,end:int,vstart:int,vend:int,value:string,around:string,random:boolean>"
+#: Words on either side of a value that count as its surroundings, and characters in which they are looked for.
+AROUND, REACH = 2, 64
 
 
 def looks_random(value: str) -> bool:
@@ -51,6 +54,12 @@ def looks_random(value: str) -> bool:
     return entropy >= 2.5 and any(c.isdigit() for c in value) and not DUMMY.search(value)
 
 
+def surroundings(text: str, start: int, end: int) -> str:
+    """Hash of the words beside a value, white space aside."""
+    beside = [*text[max(0, start - REACH):start].split()[-AROUND:], "", *text[end:end + REACH].split()[:AROUND]]
+    return hashlib.blake2b(" ".join(beside).encode(), digest_size=8).hexdigest()
+
+
 def find_spans(text: str) -> list[tuple]:
     """Spans (kind, start, end, value start, value end) of a text, by start, then kind."""
     found = []
@@ -77,7 +86,7 @@ def scan(df: DataFrame, id_col: str, text_col: str, repo: Column, owner: Column)
     and ``copy``, a hash of the text, is equal for exact copies (null without spans)."""
     def run(batches):
         kind = pa.list_(pa.struct([("kind", pa.int8()), ("start", pa.int32()), ("end", pa.int32()), ("vstart", pa.int32()),
-                                   ("vend", pa.int32()), ("value", pa.string()), ("random", pa.bool_())]))
+                                   ("vend", pa.int32()), ("value", pa.string()), ("around", pa.string()), ("random", pa.bool_())]))
         for b in batches:
             out, copies = [], []
             for text in b.column(3).to_pylist():
@@ -85,7 +94,7 @@ def scan(df: DataFrame, id_col: str, text_col: str, repo: Column, owner: Column)
                 for k, s, e, vs, ve in find_spans(text or ""):
                     value = text[vs:ve]
                     spans.append({"kind": k, "start": s, "end": e, "vstart": vs, "vend": ve, "random": looks_random(value),
-                                  "value": hashlib.blake2b(value.encode(), digest_size=16).hexdigest()})
+                                  "value": hashlib.blake2b(value.encode(), digest_size=16).hexdigest(), "around": surroundings(text, vs, ve)})
                 out.append(spans)
                 copies.append(hashlib.blake2b(text.encode(), digest_size=16).hexdigest() if spans else None)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(copies, pa.string()), pa.array(out, kind)],
@@ -98,33 +107,37 @@ def scan(df: DataFrame, id_col: str, text_col: str, repo: Column, owner: Column)
 
 
 def ownership(spans: DataFrame) -> DataFrame:
-    """(value, named, n_repos, n_owners) of every candidate value of the corpus.
+    """(value, named, n_repos, n_copies, n_owners) of every candidate value of the corpus.
 
     Exact copies of a text stand for one repository, the first in the alphabet
-    of those that hold it; an owner counts whatever it holds."""
+    of those that hold it; an owner counts whatever it holds.  ``n_copies``: repositories
+    that hold the value in the surroundings that most of them share."""
     by_owner = spans.groupBy("value", "owner").agg(F.max((F.col("s.kind") < F.lit(KINDS.index("echo"))).cast("int")).alias("named"))
     owners = by_owner.groupBy("value").agg(F.max("named").alias("named"), F.count(F.lit(1)).alias("n_owners"))
-    by_text = spans.groupBy("value", "copy").agg(F.min("repo").alias("repo")).groupBy("value", "repo").agg(F.count(F.lit(1)).alias("n"))
-    repos = by_text.groupBy("value").agg(F.count(F.lit(1)).alias("n_repos"))
-    return owners.join(repos, "value").select("value", "named", "n_repos", "n_owners")
+    by_text = spans.groupBy("value", "around", "copy").agg(F.min("repo").alias("repo"))
+    copies = by_text.groupBy("value", "around", "repo").agg(F.count(F.lit(1)).alias("n")).groupBy("value", "around").agg(F.count(F.lit(1)).alias("n"))
+    copies = copies.groupBy("value").agg(F.max("n").alias("n_copies"))
+    repos = (by_text.groupBy("value", "copy").agg(F.min("repo").alias("repo")).groupBy("value", "repo").agg(F.count(F.lit(1)).alias("n"))
+             .groupBy("value").agg(F.count(F.lit(1)).alias("n_repos")))
+    return owners.join(repos, "value").join(copies, "value").select("value", "named", "n_repos", "n_copies", "n_owners")
 
 
 def judged_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str | None = None,
-                 owner_col: str = "source", example_owners: int = 3, example_repos: int = 10) -> tuple[DataFrame, DataFrame]:
+                 owner_col: str = "source", example_owners: int = 3, example_copies: int = 10) -> tuple[DataFrame, DataFrame]:
     """(scan, spans): the scan of every row, and its spans with the corpus' verdict.
 
     spans: (row, kind, start, end, vstart, vend, n_repos, n_owners, live).
-    A value is an example if ``example_owners`` or more owners or
-    ``example_repos`` or more repositories (exact copies of a text counted
-    once) hold it or it does not look random; else it is live.  ``repo_col`` defaults to the id:
+    A value is an example if ``example_owners`` or more owners hold it, or
+    ``example_copies`` or more repositories (exact copies of a text counted
+    once) hold it in equal surroundings, or it does not look random; else it is live.  ``repo_col`` defaults to the id:
     a document is a repository of its own.  Null repositories and owners
     count as one each.  ``echo`` spans stay only if their value is named."""
     repo = F.coalesce(F.col(repo_col or id_col).cast("string"), F.lit(""))
     owner = F.coalesce(F.col(owner_col).cast("string"), F.lit("")) if owner_col in df.columns else F.lit("")
     found = stored(scan(df, id_col, text_col, repo, owner))
-    each = found.where(F.size("spans") > 0).select("row", "repo", "owner", "copy", F.explode("spans").alias("s")).withColumn("value", F.col("s.value"))
+    each = found.where(F.size("spans") > 0).select("row", "repo", "owner", "copy", F.explode("spans").alias("s")).withColumns({"value": F.col("s.value"), "around": F.col("s.around")})
     held = stored(ownership(each))
-    live = (F.col("n_owners") < example_owners) & (F.col("n_repos") < example_repos) & F.col("s.random")
+    live = (F.col("n_owners") < example_owners) & (F.col("n_copies") < example_copies) & F.col("s.random")
     judged = each.join(held, "value").where((F.col("s.kind") < KINDS.index("echo")) | (F.col("named") == 1)).select(
         "row", "s.kind", "s.start", "s.end", "s.vstart", "s.vend", "n_repos", "n_owners", live.alias("live"))
     return found, judged
@@ -139,7 +152,9 @@ def _listed(spans: Column) -> Column:
 def report(df: DataFrame, **settings) -> DataFrame:
     """One row per document: counts and digest of the base spans, all spans as text,
     how many are live-looking or examples, and the widest counts of owners and
-    repositories of its values.  Null and empty texts have none."""
+    repositories of its values.  Null and empty texts have none; repeated rows and
+    ids are rows of their own; spans are listed by start, then kind; other columns
+    are ignored; an empty table gives an empty result."""
     found, judged = judged_spans(df, **settings)
     per_row = judged.groupBy("row").agg(
         F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("all"),

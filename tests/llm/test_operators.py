@@ -201,8 +201,8 @@ def test_rules(spark):
     rows = odd + [(100 + i, line(rng.randint(15, 60)), rng.choice(["en", "de"]), rng.choice("ab")) for i in range(60)]
     rows += [(200, " ".join(w + "$$$ ###" for w in line(30).split()), "en", "a"), (201, (line(9) + "\n") * 1 + "same line of words here\n" * 20, "en", "a"), (202, line(40).upper(), "en", "a"),
              (203, "tail " + "a b c d e f g h i j " * 2 + line(50), "de", "b"), (204, "x " * 9, "en", "a"), (205, "\n".join([line(30), "a b c d e f g h", "a b c d e f g h"]), "en", "a")]
-    got = rules.apply_rules(frame(spark, rows), min_rows=20)
-    compare(spark, rows, got, rules.rules_sql(min_rows=20))
+    got = rules.apply_rules(frame(spark, rows), prior=20)
+    compare(spark, rows, got, rules.rules_sql(prior=20))
     kept = {r["doc_id"]: r["kept"] for r in got.collect()}
     assert not kept[200] and not kept[201] and not kept[202] and all(v for k, v in kept.items() if k and 100 <= k < 160 and len(rows[7 + k - 100][1].split()) >= 20)
     assert rules.apply_rules(frame(spark, ODD).where("false")).count() == 0
@@ -433,3 +433,80 @@ def test_bloom_filter_misses_no_key(spark):
         assert rows.where(maybe("a", "b")).count() == 20_000
     other = spark.range(20_000, 40_000).select(F.xxhash64("id").alias("a"), F.xxhash64(F.lit(2), "id").alias("b"))
     assert other.where(simhash.bloom_filter(rows, ["a", "b"])("a", "b")).count() < 1000
+
+
+# --- pages: attributes and broken markup --------------------------------------
+
+def page(inner):
+    return f"<html><body><nav><a href=/>Home</a></nav><article><h1>Title</h1><p>One two three four five six seven.</p>{inner}</article></body></html>"
+
+
+def test_names_in_other_attributes_do_not_hide_text():
+    lost = "Eight nine ten eleven twelve words stand here."
+    for tag in ('p title="a hidden gem"', 'div data-id="share-1"', 'div data-role="search"', 'p class="search"', "p data-x=hidden", 'p title="class=ads"'):
+        assert lost in html_text.main_text(page(f"<{tag}>{lost}</{tag.split()[0]}>")), tag
+    for tag in ('div class="share"', "p hidden", 'p class="advert box"', "ul id=related", 'div role="search"', 'p style="display: none"'):
+        assert lost not in html_text.main_text(page(f"<{tag}>{lost}</{tag.split()[0]}>")), tag
+
+
+def test_nested_and_unclosed_markup():
+    text = html_text.main_text(page("<div><p>Inner one<p>inner two<ul><li>a first point<li>a second point</ul><div>deep <b>bold <i>both</b> after</div>"))
+    assert text.endswith("Inner one inner two a first point a second point deep bold both after")
+
+
+@pytest.mark.parametrize("part", ["<![CDATA[", "<![CDATA[>", "<span>", "</em>", "<em><span>", "<b", "<!", "<a '", '<a "x>', "<p><span>", "<!--"])
+def test_broken_pages_take_time_in_proportion(part):
+    import time
+    began = time.time()
+    html_text.main_text("<div>words " + part * (1_000_000 // len(part)) + ("</u>" * 50_000 if part == "<span>" else ""))
+    assert time.time() - began < 10  # a quadratic scan would take minutes
+
+
+# --- byte pairs: very long words --------------------------------------------------
+
+def test_bpe_of_very_long_words(spark):
+    import public_tokenizers
+    import tiktoken
+    from revlens.llm import bpe
+    from revlens.llm.queries import TOKENIZER
+    ranks = bpe.load_ranks(public_tokenizers.path(TOKENIZER))
+    library = tiktoken.Encoding("x", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(3)
+    texts = ["ab" * 3000, "xyz" * 2000, "a" * 5001, "".join(rng.choice("abcß日本") for _ in range(4000)), "".join(rng.choice("etaoin") for _ in range(6000)), "é" * 1000]
+    got = {r["doc_id"]: r["tokens"] for r in bpe.encode(frame(spark, [(i, t, "en", "a") for i, t in enumerate(texts)]), public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN).collect()}
+    assert got == {i: library.encode_ordinary(t) for i, t in enumerate(texts)}
+    import time
+    began = time.time()
+    merges = bpe.Merges(ranks, public_tokenizers.PATTERN)
+    word = b"ab" * 500_000
+    assert merges.decode(np.frombuffer(merges.replay_long(word), np.int32).tolist()) == word
+    assert time.time() - began < 60
+
+
+def test_rules_have_no_switch_at_any_size(spark):
+    """A source of few rows has its language's cutoffs, one of many its own; two rows more change nothing."""
+    def upper(n):
+        usual = [(i, " ".join(["word"] * (4 + i % 7) + ["longer", "words", "stand", "here"] * 8), "en", "a") for i in range(400)]
+        odd = [(1000 + i, " ".join(["extraordinarily", "incomprehensible"] * (10 + i % 7) + ["terms"] * 9), "en", "b") for i in range(n)]
+        measured = rules.measures(frame(spark, usual + odd)).select("*", *rules.values())
+        return {r["source"]: r["word_length_upper"] for r in rules.thresholds(measured, 100, 6).collect()}
+
+    few, many, more = upper(1), upper(499), upper(501)
+    assert few["b"] == few["a"] < 1000 and many["b"] == more["b"] > 1500 and many["a"] < 1000
+
+
+def test_owners_own_credential_is_live_and_a_copied_passage_is_not(spark):
+    """One credential in 12 texts of one owner, each time in other words, is live; a passage with a key that 12 texts of one owner hold is an example."""
+    rng = random.Random(9)
+
+    def words_of(n):
+        return " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+
+    passage = "in the shared guide set password = q7Rt5Yp2Lm8Xc4Vb as shown in the second step of the list of all steps here"
+    rows = [(i, f"{words_of(20)} token = z9Kd3Fh6Jw1Ns8Gq {words_of(20)}", "en", "one") for i in range(12)]
+    rows += [(100 + i, f"{words_of(20)} {words_of(9)} we read {passage} {words_of(20)}".replace(" we read", " and" * 12), "en", "one") for i in range(12)]
+    out = {r["doc_id"]: r for r in secrets.report(frame(spark, rows)).collect()}
+    assert all((out[i]["n_live"], out[i]["n_example"], out[i]["most_owners"], out[i]["most_repos"]) == (1, 0, 1, 12) for i in range(12))
+    assert all((out[100 + i]["n_live"], out[100 + i]["n_example"]) == (0, 1) for i in range(12))
+    kept = {r["doc_id"]: r["text"] for r in secrets.redacted(frame(spark, rows)).collect()}
+    assert all("z9Kd3Fh6Jw1Ns8Gq" not in kept[i] and "q7Rt5Yp2Lm8Xc4Vb" in kept[100 + i] for i in range(12))
