@@ -26,7 +26,6 @@ from __future__ import annotations
 from itertools import accumulate, combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -223,7 +222,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     columns are returned as they are; an empty table gives an empty result.
 
     Texts are not shuffled to find the rows that go: a Bloom filter of their
-    keys (at most 2 MB, sent to every task) lets all other rows pass where
+    keys (at most 262,144 words of 64 bits, broadcast) lets all other rows pass where
     they are read, and only its hits meet the keys in a join."""
     key = ["__id", "__h1", "__h2"]
     keyed = df.withColumns({"__id": F.col(id_col), "__h1": F.xxhash64(F.lit(1), text_col), "__h2": F.xxhash64(F.lit(2), text_col)})
@@ -234,8 +233,10 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     first = F.struct(F.col("low.none"), *[F.col(f"low.{c}") for c in key])
     judged = stored(counts.join(named, "fp").select(*key, (order == first).alias("stays"), "count"))
     gone = judged.where("NOT stays").select(*key)
-    maybe = bloom_filter(judged.where("NOT stays OR count > 1").select(*key), key)
-    marked = keyed.withColumn("__maybe", maybe(*[F.col(c) for c in key[1:]]))
+    bits, words = bloom_filter(judged.where("NOT stays OR count > 1").select(*key), "__h1", "__h2")
+    marked = keyed.join(F.broadcast(bits), F.pmod("__h1", F.lit(words)) == F.col("__word"), "left")
+    mask = bloom_mask("__h2")
+    marked = marked.withColumn("__maybe", F.coalesce(F.col("__bits").bitwiseAND(mask) == mask, F.lit(False)))
     same = F.lit(True)
     gone = gone.withColumnsRenamed({c: f"{c}_gone" for c in key})
     for c in key:
@@ -244,29 +245,18 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     return marked.where("NOT __maybe").unionByName(hits).select(*df.columns)
 
 
-def bloom_filter(keys: DataFrame, columns: list[str], most_bits: int = 1 << 24):
-    """A function of the last two ``columns`` (64-bit hashes): false for no key of ``keys``.
-
-    16 bits a key up to ``most_bits`` in all; beyond that more other rows are taken for keys."""
-    n = keys.count()
-    bits = 1 << 10
-    while bits < min(16 * n, most_bits):
-        bits *= 2
-    h1, h2 = (F.shiftrightunsigned(F.col(c), 3) for c in columns[-2:])
-    places = F.array(*[F.pmod(F.shiftrightunsigned(h1, j) + F.shiftrightunsigned(h2, j), F.lit(bits)) for j in range(0, 32, 8)])
-    words = (keys.select(F.explode(places).alias("at")).groupBy(F.shiftright("at", 6).alias("word"))
-             .agg(F.bit_or(F.expr("shiftleft(1L, CAST(pmod(at, 64) AS INT))")).alias("bits")).toArrow())
-    table = np.zeros(bits // 64, np.uint64)
-    table[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
-    sent = keys.sparkSession.sparkContext.broadcast(table)
-
-    @F.pandas_udf("boolean")
-    def maybe(a: pd.Series, b: pd.Series) -> pd.Series:
-        a, b = a.to_numpy().view(np.uint64) >> np.uint64(3), b.to_numpy().view(np.uint64) >> np.uint64(3)
-        out = np.ones(len(a), bool)
-        for j in range(0, 32, 8):
-            at = ((a >> np.uint64(j)) + (b >> np.uint64(j))) % np.uint64(bits)
-            out &= (sent.value[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
-        return pd.Series(out)
-
-    return maybe
+def bloom_mask(h: str) -> Column:
+    """Four bits of a 64-bit word, chosen by the column of hashes ``h``."""
+    one = [F.expr(f"shiftleft(1L, CAST(pmod(shiftrightunsigned({h}, {k}), 64) AS INT))") for k in (0, 6, 12, 18)]
+    return one[0].bitwiseOR(one[1]).bitwiseOR(one[2]).bitwiseOR(one[3])
+
+
+def bloom_filter(keys: DataFrame, h1: str, h2: str, most_words: int = 1 << 18) -> tuple[DataFrame, int]:
+    """((__word, __bits), words): a Bloom filter of two columns of 64-bit hashes, one row per word in use.
+
+    A key sets the bits ``bloom_mask(h2)`` of word ``h1 mod words``.  Four keys a word at 16 bits a key, up to
+    ``most_words`` words (2 MB); with more keys than that more other rows are taken for keys."""
+    n, words = keys.count(), 64
+    while words < min(n // 4, most_words):
+        words *= 2
+    return keys.groupBy(F.pmod(h1, F.lit(words)).alias("__word")).agg(F.bit_or(bloom_mask(h2)).alias("__bits")), words

@@ -427,12 +427,17 @@ def test_keep_one_equals_brute_force(spark):
 
 
 def test_bloom_filter_misses_no_key(spark):
-    rows = spark.range(20_000).select(F.xxhash64("id").alias("a"), F.xxhash64(F.lit(2), "id").alias("b"))
-    for most in (1 << 24, 1 << 10):
-        maybe = simhash.bloom_filter(rows, ["a", "b"], most)
-        assert rows.where(maybe("a", "b")).count() == 20_000
-    other = spark.range(20_000, 40_000).select(F.xxhash64("id").alias("a"), F.xxhash64(F.lit(2), "id").alias("b"))
-    assert other.where(simhash.bloom_filter(rows, ["a", "b"])("a", "b")).count() < 1000
+    def taken(rows, keys, most):
+        bits, words = simhash.bloom_filter(keys, "a", "b", most)
+        mask = simhash.bloom_mask("b")
+        return rows.join(bits, F.pmod("a", F.lit(words)) == F.col("__word")).where(F.col("__bits").bitwiseAND(mask) == mask).count()
+
+    def hashes(a, z):
+        return spark.range(a, z).select(F.xxhash64("id").alias("a"), F.xxhash64(F.lit(2), "id").alias("b"))
+
+    for most in (1 << 18, 64):
+        assert taken(hashes(0, 20_000), hashes(0, 20_000), most) == 20_000
+    assert taken(hashes(20_000, 40_000), hashes(0, 20_000), 1 << 18) < 1000
 
 
 # --- pages: attributes and broken markup --------------------------------------
