@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from revlens.functions import text as T
 from revlens.operators import extract as XT
+from revlens.operators import selectors as SEL
 from revlens.plans.fixture_sql import WS
 from revlens.plans.registry import register
 from revlens.sources.tables import table
@@ -196,3 +197,61 @@ def b10t(spark, sf_dir):
     b = block_rows(spark, sf_dir).withColumn("block_idx", F.col("block_idx").cast("int"))
     bad = F.length(XT.strip_tags(F.col("block"))) < 40
     return XT.apply_error_policy(b, "page_id", "block_idx", bad, "stop").select("page_id", "block_idx")
+
+
+# ---------------------------------------------------------------- by selector specification
+
+S = SEL.Step
+
+
+def text_sql(raw):
+    """Text of a piece of markup without elements: the pages' character references and white space as the parser reads them."""
+    for reference, mark in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+        raw = f"replace({raw}, '{reference}', '{mark}')"
+    return f"trim(regexp_replace({raw}, '{WS}+', ' ', 'g'))"
+
+
+ENTRIES_SQL = """
+SELECT page_id, CAST(generate_subscripts(li, 1) - 1 AS INTEGER) AS block_idx, unnest(li) AS li FROM (
+  SELECT page_id, regexp_extract_all(regexp_extract(html, '(?s)<nav[^>]*>(.*?)</nav>', 1), '(?s)<li[^>]*>(.*?)</li>', 1) AS li FROM pages)"""
+
+
+@register("b02_selected_records", f"""
+SELECT page_id, block_idx, {text_sql("regexp_extract(li, '<a [^>]*>([^<]*)</a>', 1)")} AS label,
+       regexp_extract(li, 'href="([^"]*)"', 1) AS href FROM ({ENTRIES_SQL}) WHERE contains(li, '<a ')""")
+def b02s(spark, sf_dir):
+    """Records of nested elements by a specification: each list entry of a page's menus, the text and address of its link."""
+    spec = SEL.Records((S("nav"), S("li")), (SEL.Field("label", (S("a"),)), SEL.Field("href", (S("a", attributes=(("href", None),)),), "@href")))
+    return SEL.extract(pages(spark, sf_dir, "html"), spec)
+
+
+@register("b04_selected_pairs", f"""
+SELECT page_id, CAST(0 AS INTEGER) AS block_idx, {text_sql("regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1)")} AS title,
+       coalesce(len(list_distinct(regexp_extract_all(regexp_extract(html, '(?s)<nav[^>]*>(.*?)</nav>', 1), '<a href="[^"]*">([^<]*)</a>', 1))), 0)::INTEGER AS n_labels
+FROM pages WHERE contains(html, '<nav') AND contains(html, '<h1')""")
+def b04s(spark, sf_dir):
+    """A page's title with a map of all labels in its menu to their addresses, by a specification; entries are counted."""
+    p = pages(spark, sf_dir, "html")
+    links = SEL.Pairs("links", S("a"), SEL.Field("label"), SEL.Field("href", take="@href"))
+    maps = SEL.extract(p, SEL.Records((S("nav"),), (links,))).where("block_idx = 0").select("page_id", F.size("links").alias("n_labels"))
+    titles = SEL.extract(p, SEL.Records((S("html"),), (SEL.Field("title", (S("h1"),)),)))
+    return titles.join(maps, "page_id").select("page_id", "block_idx", "title", "n_labels")
+
+
+BOLD_SQL = f"""
+SELECT page_id, block_idx, contains(block, '<b>') AS ok, {text_sql("regexp_extract(block, '<b>([^<]*)', 1)")} AS bold FROM ({BLOCKS_SQL})"""
+BOLD = (SEL.Field("bold", (S("b"),)),)
+
+
+@register("b10_selected_skip", f"SELECT page_id, block_idx, bold FROM ({BOLD_SQL}) WHERE ok")
+def b10ss(spark, sf_dir):
+    """Policy ``skip`` on a missing field: paragraphs of articles with a bold part, the others left out."""
+    return SEL.extract(pages(spark, sf_dir, "html"), SEL.Records((S("article"), S("p")), BOLD, "skip"))
+
+
+@register("b10_selected_stop", f"""
+WITH b AS ({BOLD_SQL}), f AS (SELECT page_id, min(block_idx) AS bad FROM b WHERE NOT ok GROUP BY page_id)
+SELECT b.page_id, b.block_idx, b.bold FROM b LEFT JOIN f ON f.page_id = b.page_id WHERE f.bad IS NULL OR b.block_idx < f.bad""")
+def b10st(spark, sf_dir):
+    """Policy ``stop`` on a missing field: a page's paragraphs up to its first one without a bold part."""
+    return SEL.extract(pages(spark, sf_dir, "html"), SEL.Records((S("article"), S("p")), BOLD, "stop"))
