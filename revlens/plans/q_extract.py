@@ -11,10 +11,18 @@ from revlens.plans.fixture_sql import WS
 from revlens.plans.registry import register
 from revlens.sources.tables import table
 
-ARTICLE_SQL = "regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1)"
-BLOCKS_SQL = f"""
-SELECT page_id, CAST(generate_subscripts(b, 1) - 1 AS INTEGER) AS block_idx, unnest(b) AS block FROM (
-  SELECT page_id, string_split({ARTICLE_SQL}, '<p>')[2:] AS b FROM pages)"""
+# every <p ...> block inside at least one open <article ...>: the page is cut at the container's tags, and the depth
+# of a part is the running sum of opening and closing ones that never falls below zero
+BLOCKS_SQL = r"""
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i, k) - 1 AS INTEGER) AS block_idx, block FROM (
+  SELECT page_id, i, generate_subscripts(b, 1) AS k, unnest(b) AS block FROM (
+    SELECT page_id, i, string_split_regex(piece, '(?i)<p(?:\s[^>]*)?>')[2:] AS b FROM (
+      SELECT *, total - least(0, min(total) OVER (PARTITION BY page_id ORDER BY i)) AS depth FROM (
+        SELECT *, sum(CASE WHEN regexp_matches(piece, '(?i)^<article[\s>]') THEN 1 WHEN regexp_matches(piece, '(?i)^</article[\s>]') THEN -1 ELSE 0 END)
+                  OVER (PARTITION BY page_id ORDER BY i) AS total FROM (
+          SELECT page_id, generate_subscripts(ps, 1) AS i, unnest(ps) AS piece FROM (
+            SELECT page_id, string_split(regexp_replace(html, '(?i)(</?article[\s>])', chr(1) || '\1', 'g'), chr(1)) AS ps FROM pages))))
+    WHERE depth > 0))"""
 
 
 def pages(spark, sf_dir, *cols):

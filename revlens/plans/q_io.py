@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from revlens.operators import metrics as M
 from revlens.plans.common import cleaned, r6
 from revlens.plans.fixture_sql import with_fixtures
+from revlens.plans.q_extract import BLOCKS_SQL
 from revlens.plans.registry import register
 from revlens.sources import fixtures as fx
 from revlens.sources import io
@@ -156,10 +157,8 @@ def a15(spark, sf_dir):
 
 
 @register("b01_page_tree_flow", f"""
-WITH b AS (SELECT string_split(url, '/')[3] AS entity, page_id,
-                  generate_subscripts(string_split(regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1), '<p>')[2:], 1) AS idx,
-                  unnest(string_split(regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1), '<p>')[2:]) AS block
-           FROM pages),
+WITH b AS (SELECT string_split(url, '/')[3] AS entity, pages.page_id, block_idx + 1 AS idx, block
+           FROM pages JOIN ({BLOCKS_SQL}) x ON x.page_id = pages.page_id),
 t AS (SELECT entity, page_id * 1000 + idx AS row_key, trim(regexp_replace(block, '<[^>]+>', '', 'g')) AS text FROM b),
 d AS (SELECT entity, text, min(row_key) AS row_key FROM t WHERE text <> '' GROUP BY entity, text)
 SELECT entity, count(*) AS n_reviews, count(DISTINCT text) AS n_texts FROM d GROUP BY entity""")
@@ -216,10 +215,9 @@ def k02(spark, sf_dir):
     return normalize_results(fx.fx_crawl(spark, sf_dir))
 
 
-@register("k03_incremental_pages", with_fixtures("""
-SELECT string_split(url, '/')[3] AS entity, count(*) AS pages,
-       sum(len(string_split(regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1), '<p>')) - 1) AS blocks
-FROM pages GROUP BY 1"""))
+@register("k03_incremental_pages", with_fixtures(f"""
+SELECT string_split(url, '/')[3] AS entity, count(*) AS pages, coalesce(sum(n), 0) AS blocks
+FROM pages LEFT JOIN (SELECT page_id, count(*) AS n FROM ({BLOCKS_SQL}) GROUP BY page_id) x ON x.page_id = pages.page_id GROUP BY 1"""))
 def k03(spark, sf_dir):
     """Structured Streaming ingest of saved pages (available-now trigger, checkpointed, resumable)."""
     from revlens.streaming.resume import ingest_pages_stream

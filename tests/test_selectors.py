@@ -60,3 +60,18 @@ def test_specifications_are_checked():
                   lambda: Records((Step("p"),), (REVIEW, REVIEW)), lambda: Records((Step("p"),), (REVIEW,), "ignore")):
         with pytest.raises(ValueError):
             wrong()
+
+
+def test_blocks_and_their_sql_on_nested_and_attributed_pages(spark):
+    import duckdb
+    from pyspark.sql import functions as F
+    from revlens.operators import extract as XT
+    from revlens.plans.q_extract import BLOCKS_SQL
+    texts = ["<article><p>a</p><p class='x'>b</article><p>out<ARTICLE id=1><P>c<article><p\n>d</p></article><p>e</article>", "</article><article><p>x", "<p>none", "",
+             "<article><pre>no</pre><p>y</article></article><p>z<article><p>w"]
+    df = spark.createDataFrame(list(enumerate(texts)), "page_id long, html string")
+    got = df.select("page_id", F.posexplode(XT.blocks(F.col("html"))).alias("i", "b")).collect()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?)", list(enumerate(texts)))
+    assert sorted(map(tuple, got)) == sorted(con.execute(BLOCKS_SQL).fetchall()) and len(got) == 8
