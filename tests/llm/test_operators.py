@@ -515,3 +515,22 @@ def test_owners_own_credential_is_live_and_a_copied_passage_is_not(spark):
     assert all((out[100 + i]["n_live"], out[100 + i]["n_example"]) == (0, 1) for i in range(12))
     kept = {r["doc_id"]: r["text"] for r in secrets.redacted(frame(spark, rows)).collect()}
     assert all("z9Kd3Fh6Jw1Ns8Gq" not in kept[i] and "q7Rt5Yp2Lm8Xc4Vb" in kept[100 + i] for i in range(12))
+
+
+def test_licence_variants_and_wrapped_notices(spark):
+    """Each GNU and Creative Commons variant has its own name; the bare reservation and notices wrapped inside longer texts are found."""
+    named = {lic + str(i): (lic, t) for i, (lic, t) in enumerate(licenses.TEMPLATES)}
+    rows = [(i, f"Some words stand before it.\n\n{t}\n\nAnd some after it.", "en", "a") for i, (_, t) in enumerate(named.values())]
+    gpl = dict((lic, t) for lic, t in licenses.TEMPLATES if t.startswith("This program is free"))
+    for k, (lic, t) in enumerate(gpl.items()):
+        w = t.split()
+        wrapped = "\n".join("// " + " ".join(w[i:i + 11]) for i in range(0, len(w), 11))
+        rows.append((1000 + k, f"int main() starts here\n// written by somebody else\n{wrapped}\nand the code goes on\nfor many lines", "en", "a"))
+    rows += [(2000, "Copyright 2021 Somebody. All rights reserved.", "en", "a"), (2001, "all the rights were reserved by them", "en", "a"),
+             (2002, "all rights " * 500, "en", "a"), (2003, ("word " * 30 + "\n") * 40 + "All rights reserved.", "en", "a")]
+    compare(spark, rows, licenses.license_report(frame(spark, rows)), licenses.license_sql())
+    found = {r["doc_id"]: r["licenses"].split(",") for r in licenses.license_report(frame(spark, rows)).collect()}
+    for i, (lic, _) in enumerate(named.values()):
+        assert lic in found[i], lic
+    assert {k: found[1000 + i] for i, k in enumerate(gpl)} == {k: [k] for k in gpl}
+    assert found[2000] == ["Proprietary"] == found[2003] and 2001 not in found
