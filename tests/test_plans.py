@@ -11,7 +11,7 @@ from tests.conftest import SF_SMALL
 SKIP_HEAVY = {"j02_logistic_ovr", "j03_boosted_trees", "j04_random_search", "j05_per_dataset_grid",
               "j06_out_of_fold", "j08_batch_scoring", "j13_local_surrogate", "j14_linear_contributions",
               "j15_explanation_table", "d13_bpe_vocabulary", "d14_bpe_encode", "d16_id_token_roundtrip",
-              "d21_subword_embeddings", "d22_word2vec", "d24_batch_encode", "k03_incremental_pages"}
+              "d21_subword_embeddings", "d22_word2vec", "j07_exclusion_from_models", "j10_model_explanation_flow", "d24_batch_encode", "k03_incremental_pages"}
 
 
 def plan(df):
