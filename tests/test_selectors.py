@@ -6,18 +6,18 @@ from revlens.operators import selectors as SEL
 from revlens.operators.selectors import Field, Pairs, Records, Step
 
 HOTEL = """<html><body>
-<div class="WAllg _T" data-n="1"><div data-test-target="review-rating"><span class="ui_bubble_rating bubble_40"></span></div>
-  <div class="hemdC S2"><span><span class="ui_bubble_rating bubble_50"></span></span>Rooms</div>
-  <div class="hemdC S2"><span><span class="ui_bubble_rating bubble_30"></span></span>Service</div>
-  <div class="fIrGe _T">Fine &amp; quiet.<br>Come <b>again</b></div></div>
-<div class="WAllg _T"><div data-test-target="review-rating"><span class="ui_bubble_rating bubble_x"></span></div><div class="fIrGe _T">No number</div></div>
-<div class="WAllg"><div class="fIrGe _T">other class</div></div>
-<div class="_T WAllg">not the whole value</div>
-<div class="WAllg _T"><div data-test-target="review-rating"><span class="a bubble_10"></span></div><div class="fIrGe _T">Bad</div><p>one<p>two</div>
+<div class="card wide" data-n="1"><div data-part="review-rating"><span class="marks mark_40"></span></div>
+  <div class="aspect two"><span><span class="marks mark_50"></span></span>Rooms</div>
+  <div class="aspect two"><span><span class="marks mark_30"></span></span>Service</div>
+  <div class="note wide">Fine &amp; quiet.<br>Come <b>again</b></div></div>
+<div class="card wide"><div data-part="review-rating"><span class="marks mark_x"></span></div><div class="note wide">No number</div></div>
+<div class="card"><div class="note wide">other class</div></div>
+<div class="wide card">not the whole value</div>
+<div class="card wide"><div data-part="review-rating"><span class="a mark_10"></span></div><div class="note wide">Bad</div><p>one<p>two</div>
 </body></html>"""
-RATING = Field("overall", (Step("div", attributes=(("data-test-target", "review-rating"),)), Step("span")), "class suffix", "int", 10)
-ASPECTS = Pairs("aspects", Step("div", "hemdC"), Field("label"), Field("v", (Step("span"), Step("span")), "class suffix", "double", 10))
-REVIEW = Field("review", (Step("div", "fIrGe _T"),))
+RATING = Field("overall", (Step("div", attributes=(("data-part", "review-rating"),)), Step("span")), "class suffix", "int", 10)
+ASPECTS = Pairs("aspects", Step("div", "aspect"), Field("label"), Field("v", (Step("span"), Step("span")), "class suffix", "double", 10))
+REVIEW = Field("review", (Step("div", "note wide"),))
 NUMBER = Field("n", (), "@data-n", "int", optional=True)
 
 
@@ -26,7 +26,7 @@ def read(spec, page):
 
 
 def spec(on_error):
-    return Records((Step("body"), Step("div", "WAllg _T")), (RATING, ASPECTS, REVIEW, NUMBER), on_error)
+    return Records((Step("body"), Step("div", "card wide")), (RATING, ASPECTS, REVIEW, NUMBER), on_error)
 
 
 def test_policies():
@@ -38,7 +38,7 @@ def test_policies():
 
 
 def test_as_a_job(spark):
-    df = spark.createDataFrame([(1, HOTEL), (2, None), (3, ""), (4, "<div class='WAllg _T'"), (1, HOTEL)], "page_id long, html string")
+    df = spark.createDataFrame([(1, HOTEL), (2, None), (3, ""), (4, "<div class='card wide'"), (1, HOTEL)], "page_id long, html string")
     rows = SEL.extract(df, spec("skip")).collect()
     assert len(rows) == 4 and {r["page_id"] for r in rows} == {1} and {tuple(sorted(r["aspects"].items())) for r in rows} == {(), (("Rooms", 5.0), ("Service", 3.0))}
     assert SEL.extract(df.where("false"), spec("skip")).collect() == []
