@@ -2,12 +2,13 @@
 encoding with masks (D13, D14, D16, D24).
 
 Training works on the table of word types (distinct words with counts and
-symbols) and on the table of pair counts, which is kept from round to round
-and only changed by what the touched types gain and lose.  A round takes
-the most frequent pairs whose types fit a stated bound, gathers just those
-types, and replays merges on them in exact order for as long as no pair that
-it has not seen whole can come first; a pair with more types than the bound
-is merged by itself where the types lie.  Pair ties are broken by the pair
+symbols).  A round takes the most frequent pairs and gathers where they stand,
+then replays merges there in exact order for as long as no pair that it has
+not seen whole can come first, and joins all of the round's pairs where the
+types lie.  Rare pairs are gathered with their whole types.  Pairs that stand
+in more types than a stated bound are gathered as runs: the stretches of
+symbols that they connect, counted over all types, which are few however many
+types hold them.  Pair ties are broken by the pair
 text (the reference library orders ties by internal ids), so vocabularies
 can differ in tie order.
 """
@@ -52,22 +53,20 @@ def merged_symbols(syms: list[str], pair: Pair) -> list[str]:
 
 
 class Replay:
-    """Merges on a set of word types, most frequent pair first, with counts kept up to date."""
+    """Merges on a set of word types or runs, most frequent pair first, with counts kept up to date."""
 
-    def __init__(self, types: list[tuple[str, int, list[str]]], pairs: dict[Pair, int]):
-        """``pairs``: counts of the pairs all of whose types are here."""
+    def __init__(self, types: list[tuple[int, int, list[str]]], pairs: dict[Pair, int]):
+        """``types``: key, count, symbols; ``pairs``: counts of the pairs all of whose occurrences are here."""
         self.syms = {w: list(s) for w, _, s in types}
         self.n = {w: n for w, n, _ in types}
         self.count = dict(pairs)
-        self.where: dict[Pair, set[str]] = {}
+        self.where: dict[Pair, set[int]] = {}
         for w, s in self.syms.items():
             for p in zip(s, s[1:]):
                 if p in self.count:
                     self.where.setdefault(p, set()).add(w)
         self.heap = [(-c, *p) for p, c in pairs.items()]
         heapq.heapify(self.heap)
-        self.change: dict[Pair, list[int]] = {}
-        self.touched: set[str] = set()
 
     def next(self, least: int) -> tuple[int, str, str] | None:
         """The first pair in order, as (-count, a, b), if it occurs ``least`` times."""
@@ -90,13 +89,9 @@ class Replay:
             if len(new) == len(old):
                 continue
             self.syms[w] = new
-            self.touched.add(w)
             for symbols, sign in ((old, -1), (new, 1)):
                 for p in zip(symbols, symbols[1:]):
                     moved[p] = moved.get(p, 0) + sign * self.n[w]
-                    here = self.change.setdefault(p, [0, 0])
-                    here[0] += sign * self.n[w]
-                    here[1] += sign
             joined = pair[0] + pair[1]
             for p in zip(new, new[1:]):
                 if joined in p:
@@ -108,16 +103,12 @@ class Replay:
                     heapq.heappush(self.heap, (-self.count[p], *p))
 
 
-def _pairs(types: DataFrame, syms: str = "syms", sign: int = 1) -> DataFrame:
+def _pairs(types: DataFrame) -> DataFrame:
     """(a, b, cnt, at): per adjacent pair, occurrences weighted by the types' counts, and plain."""
-    s = F.col(syms)
+    s = F.col("syms")
     both = F.zip_with(F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0))), F.slice(s, 2, F.greatest(F.size(s), F.lit(1))),
                       lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    return types.select((F.col("n") * sign).alias("n"), F.inline(both)).select("a", "b", F.col("n").alias("cnt"), F.lit(sign).cast("long").alias("at"))
-
-
-def _summed(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("a", "b").agg(F.sum("cnt").alias("cnt"), F.sum("at").alias("at")).where("at > 0")
+    return types.select("n", F.inline(both)).groupBy("a", "b").agg(F.sum("n").alias("cnt"), F.count(F.lit(1)).alias("at"))
 
 
 def _holding(pairs: set[Pair]):
@@ -128,14 +119,36 @@ def _holding(pairs: set[Pair]):
     return run
 
 
-def _joined(pair: Pair):
-    """mapInPandas body: (word, n, syms, was), the pair joined; ``was`` is null where nothing changed."""
+def runs(syms: list[str], pairs: set[Pair]) -> list[tuple[str, ...]]:
+    """The longest stretches of two or more symbols all of whose neighbours are among ``pairs``."""
+    out, start = [], 0
+    for i in range(1, len(syms) + 1):
+        if i == len(syms) or (syms[i - 1], syms[i]) not in pairs:
+            if i - start > 1:
+                out.append(tuple(syms[start:i]))
+            start = i
+    return out
+
+
+def _runs(pairs: set[Pair]):
+    """mapInPandas body: (syms, n) of the runs, summed within a batch."""
     def run(batches):
         for pdf in batches:
-            old = [list(s) for s in pdf["syms"]]
-            new = [merged_symbols(s, pair) for s in old]
-            yield pd.DataFrame({"word": pdf["word"], "n": pdf["n"], "syms": new,
-                                "was": [o if len(o) != len(s) else None for o, s in zip(old, new)]})
+            found: dict[tuple[str, ...], int] = {}
+            for s, n in zip(pdf["syms"], pdf["n"]):
+                for r in runs(s.tolist(), pairs):
+                    found[r] = found.get(r, 0) + n
+            yield pd.DataFrame({"syms": [list(r) for r in found], "n": pd.Series(found.values(), dtype="int64")})
+    return run
+
+
+def _joined(merges: list[Pair]):
+    """mapInPandas body: the types with the pairs joined, one pair after the other."""
+    ranks = {p: i for i, p in enumerate(merges)}
+
+    def run(batches):
+        for pdf in batches:
+            yield pdf.assign(syms=[ranked_merges(s.tolist(), ranks, onward=True) for s in pdf["syms"]])
     return run
 
 
@@ -145,68 +158,75 @@ def train_bpe(words: DataFrame, vocab_size: int = 30000, min_frequency: int = 5,
     the sorted alphabet, then merged tokens, ``vocab_size`` entries in all if
     enough pairs occur ``min_frequency`` times (at most ``max_merges`` merges if that is given).
 
-    A round gathers at most ``max_pairs`` pairs and ``max_types`` word types
+    A round gathers at most ``max_pairs`` pairs and ``max_types`` word types or runs
     (documented bounds of the driver's memory; the result does not depend on them)."""
     spark = words.sparkSession
-    types = words.select("word", "n", "syms").checkpoint(eager=True)
-    pairs = _summed(_pairs(types)).checkpoint(eager=True)
+    types = words.select("n", "syms").checkpoint(eager=True)
     letters = types.select(F.explode("syms").alias("s")).distinct().orderBy("s").limit(vocab_size)
     vocab = {t: i for i, t in enumerate([*SPECIALS, *(r["s"] for r in letters.collect())])}
     merges: list[Pair] = []
+    width = 256  # pairs whose runs are asked for; follows the number of runs found
 
     def wanted():
         return len(vocab) < vocab_size and (max_merges is None or len(merges) < max_merges)
 
     while wanted():
-        first = pairs.where(F.col("cnt") >= min_frequency).orderBy(F.desc("cnt"), "a", "b").limit(max_pairs + 1).collect()
+        first = _pairs(types).where(F.col("cnt") >= min_frequency).orderBy(F.desc("cnt"), "a", "b").limit(max_pairs + 1).collect()
         if not first:
             break
+        most = min(len(first), max_pairs)
         seen, taken = 0, 0
-        while taken < min(len(first), max_pairs) and seen + first[taken]["at"] <= max_types:
+        while taken < most and seen + first[taken]["at"] <= max_types:
             seen += first[taken]["at"]
             taken += 1
-        if not taken:  # more types than the bound hold the first pair: one merge where they lie
-            pair = (first[0]["a"], first[0]["b"])
-            merges.append(pair)
-            vocab.setdefault(pair[0] + pair[1], len(vocab))
-            after = types.mapInPandas(_joined(pair), types.schema.simpleString()[7:-1] + ",was:array<string>").checkpoint(eager=True)
-            changed = after.where(F.col("was").isNotNull())
-            pairs = _summed(pairs.unionByName(_pairs(changed, "was", -1)).unionByName(_pairs(changed))).checkpoint(eager=True)
-            types = after.drop("was")
-            continue
-        chosen = {(r["a"], r["b"]): r["cnt"] for r in first[:taken]}
+        reach = min(width, most)
+        tied = reach < len(first) and first[0]["cnt"] == first[reach]["cnt"]
+        whole = taken > 0 and (taken >= reach or tied)
+        if whole:
+            chosen = {(r["a"], r["b"]): r["cnt"] for r in first[:taken]}
+            held = types.mapInPandas(_holding(set(chosen)), types.schema).collect()
+        else:
+            taken = reach
+            while True:
+                chosen = {(r["a"], r["b"]): r["cnt"] for r in first[:taken]}
+                found = types.mapInPandas(_runs(set(chosen)), "syms array<string>, n long").groupBy("syms").agg(F.sum("n").alias("n"))
+                # one pair makes one run, or one a length if its symbols are equal
+                held = found.limit(max_types + 1).collect() if taken > 1 else found.collect()
+                if len(held) <= max_types or taken == 1:
+                    break
+                taken = max(1, taken // 4)
+            width = max(1, 4 * taken if len(held) < max_types // 8 else 2 * taken if len(held) < max_types // 3 else taken)
         beyond = (-first[taken]["cnt"], first[taken]["a"], first[taken]["b"]) if taken < len(first) else None
-        held = types.mapInPandas(_holding(set(chosen)), types.schema).collect()
-        replay = Replay([(r["word"], r["n"], r["syms"]) for r in held], chosen)
+        replay = Replay([(i, r["n"], r["syms"]) for i, r in enumerate(held)], chosen)
+        done: list[Pair] = []
         while wanted():
             top = replay.next(min_frequency)
-            if top is None or (beyond is not None and top > beyond):
+            if top is None:
+                break
+            # a new pair whose symbols met outside the runs was not counted: it occurs at most as often as the first pair beyond
+            if beyond is not None and (top > beyond if whole or not done else top[0] >= beyond[0]):
                 break
             pair = top[1:]
             merges.append(pair)
+            done.append(pair)
             replay.merge(pair)
             if pair[0] + pair[1] in vocab:  # its pairs may occur in types that are not here
                 break
             vocab[pair[0] + pair[1]] = len(vocab)
-        changed = spark.createDataFrame([(w, replay.syms[w]) for w in replay.touched], "word string, now array<string>")
-        moved = spark.createDataFrame([(*p, c, at) for p, (c, at) in replay.change.items() if c or at], "a string, b string, cnt long, at long")
-        types = types.join(F.broadcast(changed), "word", "left").select("word", "n", F.coalesce("now", "syms").alias("syms")).checkpoint(eager=True)
-        pairs = _summed(pairs.unionByName(moved)).checkpoint(eager=True)
+        types = types.mapInPandas(_joined(done), types.schema).checkpoint(eager=True)
     return merges, spark.createDataFrame(list(vocab.items()), "token string, id int")
 
 
-def bpe_encode_word(word: str, ranks: dict[Pair, int]) -> list[str]:
-    """Merges by rank on one word: lowest rank first, from the left; only neighbours of a merge are looked at again."""
-    syms: list[str | None] = list(word)
-    if not syms:
-        return []
-    syms[-1] += SUFFIX
+def ranked_merges(syms: list[str | None], ranks: dict[Pair, int], onward: bool = False) -> list[str]:
+    """Merges by rank on one word: lowest rank first, from the left; only neighbours of a merge are looked at again.
+
+    ``onward``: a pair that a merge makes is left alone if its own rank had passed, as when the pairs are joined one after the other."""
     after = [*range(1, len(syms)), -1]
     before = [-1, *range(len(syms) - 1)]
     heap = [(r, i, p) for i, p in enumerate(zip(syms, syms[1:])) if (r := ranks.get(p)) is not None]
     heapq.heapify(heap)
     while heap:
-        _, i, pair = heapq.heappop(heap)
+        now, i, pair = heapq.heappop(heap)
         j = after[i]
         if syms[i] != pair[0] or j < 0 or syms[j] != pair[1]:
             continue
@@ -215,11 +235,20 @@ def bpe_encode_word(word: str, ranks: dict[Pair, int]) -> list[str]:
         if after[i] >= 0:
             before[after[i]] = i
         for at in (before[i], i):
-            if at >= 0 and after[at] >= 0 and (r := ranks.get(p := (syms[at], syms[after[at]]))) is not None:
+            if at >= 0 and after[at] >= 0 and (r := ranks.get(p := (syms[at], syms[after[at]]))) is not None and not (onward and r <= now):
                 heapq.heappush(heap, (r, at, p))
     return [s for s in syms if s is not None]
 
 
+def bpe_encode_word(word: str, ranks: dict[Pair, int]) -> list[str]:
+    """``ranked_merges`` on the characters of a word, the last one with the end-of-word suffix."""
+    syms: list[str | None] = list(word)
+    if not syms:
+        return []
+    syms[-1] += SUFFIX
+    return ranked_merges(syms, ranks)
+
+
 def encode_words(words: DataFrame, merges: list[tuple[str, str]], col: str = "word") -> DataFrame:
     """Each distinct word encoded once (``mapInPandas``); merges travel
     with the task closure (bounded by the vocabulary size)."""

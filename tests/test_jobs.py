@@ -202,6 +202,30 @@ def test_bpe_two_thousand_merges(spark):
         assert SW.bpe_encode_word(w, ranks) == syms
 
 
+def test_bpe_hot_pairs_share_rounds(spark, monkeypatch):
+    """Pairs that stand in more types than the bound are merged many to a round, in the exact order."""
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwx"
+    counts = {}
+    while len(counts) < 600:
+        counts["".join(rng.choices(letters, [2.0 ** -(i / 2) for i in range(len(letters))], k=rng.randrange(2, 7)))] = rng.randrange(1, 300)
+    types = spark.createDataFrame([(w, n, [*w[:-1], w[-1] + SW.SUFFIX]) for w, n in counts.items()], "word string, n long, syms array<string>")
+    rounds = []
+    pairs = SW._pairs
+    monkeypatch.setattr(SW, "_pairs", lambda t: rounds.append(1) or pairs(t))
+    merges, _ = SW.train_bpe(types, min_frequency=200, max_merges=200, max_types=100)
+    want = _python_bpe(counts, 200, 200)
+    assert len(want) == 200 and merges == want
+    assert 0 < len(rounds) <= 40, len(rounds)
+
+
+def test_bpe_runs_and_onward_merges():
+    pairs = {("a", "b"), ("b", "c"), ("x", "x")}
+    assert SW.runs(list("abcxxxa"), pairs) == [("a", "b", "c"), ("x", "x", "x")] and SW.runs([], pairs) == [] == SW.runs(["a"], pairs)
+    ranks = {("abc", "d"): 0, ("a", "b"): 1, ("ab", "c"): 2}
+    assert SW.ranked_merges(list("abcd"), ranks) == ["abcd"] and SW.ranked_merges(list("abcd"), ranks, onward=True) == ["abc", "d"]
+
+
 def test_batch_encode_marks_and_cuts(spark):
     df = spark.createDataFrame([(1, [5, 6]), (2, []), (3, [7, 8, 9, 10, 11])], "review_id long, ids array<int>")
     got = {r["review_id"]: (r["input_ids"], r["attention_mask"]) for r in SW.batch_encode(df, 5, 1, 90, 91).collect()}
