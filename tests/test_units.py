@@ -164,6 +164,56 @@ def test_short_texts_have_a_language(spark):
     assert {r.k for r in LG.identify(g, ["k"], prof, floor).collect()} == {1, 2, 3, 4}
 
 
+def test_language_of_rows_without_label(spark):
+    """A row without a language is scored as any other; its null is no candidate."""
+    from revlens.operators import lang as LG
+    df = spark.createDataFrame([(1, "en", "the cat the cat"), (2, "de", "der hund der hund"), (3, None, "der hund")], "k int, lang string, t string")
+    g = LG.char_grams(df, ["k", "lang"], "t", 3)
+    prof, floor = LG.train_profiles(g)
+    found = LG.identify(g, ["k", "lang"], prof, floor)
+    assert {(r.k, r.lang, r.pred) for r in found.collect()} == {(1, "en", "en"), (2, "de", "de"), (3, None, "de")}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(gram" not in plan and "hashpartitioning(k#" in plan
+
+
+def test_language_beyond_the_broadcast(spark, monkeypatch):
+    from revlens.operators import lang as LG
+    df = spark.createDataFrame([(i, ("en", "de")[i % 2], ("the cat sat", "der hund bellt")[i % 2] * (1 + i % 3)) for i in range(20)], "k int, lang string, t string")
+    g = LG.char_grams(df, ["k"], "t", 3).join(df.select("k", "lang"), "k")
+    prof, floor = LG.train_profiles(g)
+    near = sorted(map(tuple, LG.identify(g, ["k"], prof, floor).collect()))
+    monkeypatch.setattr(LG, "MOST_GRAMS", 0)
+    assert near == sorted(map(tuple, LG.identify(g, ["k"], prof, floor).collect())) == [(i, ("en", "de")[i % 2]) for i in range(20)]
+
+
+def test_ranked_rows_are_not_moved_to_their_offsets(spark):
+    df = spark.range(3000).selectExpr("id", "IF(id < 2000, 'hot', NULL) AS key", "id % 17 AS v")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        ranked = rank_within(df, ["key"], ["v", "id"], pos="p", size="n")
+        plan = ranked._jdf.queryExecution().executedPlan().toString()
+        got = {r.id: (r.p, r.n) for r in ranked.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert "SortMergeJoin" not in plan and "ExistingRDD" not in plan
+    for part, n in ((range(2000), 2000), (range(2000, 3000), 1000)):
+        assert {i: got[i] for i in part} == {i: (p, n) for p, i in enumerate(sorted(part, key=lambda i: (i % 17, i)))}
+
+
+def test_top_per_group_ranks_by_one_window(spark):
+    from revlens.operators.ranking import top_per_group
+    df = spark.range(3000).selectExpr("id", "IF(id < 2900, 'hot', NULL) AS key", "id % 17 AS v")
+    top = top_per_group(df, ["key"], [F.col("v").desc(), F.col("id")], 5, pos="p")
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2 and "ExistingRDD" not in plan
+    want = {(k, p, i) for k, part in (("hot", range(2900)), (None, range(2900, 3000)))
+            for p, i in enumerate(sorted(part, key=lambda i: (-(i % 17), i))[:5])}
+    assert {(r.key, r.p, r.id) for r in top.collect()} == want
+    salted = top_per_group(df, ["key"], [F.col("v").desc(), F.col("id")], 5, pos="p", salts=4)
+    assert {(r.key, r.p, r.id) for r in salted.collect()} == want
+
+
 def test_literal_lines_keep_empty_records(spark, tmp_path):
     from revlens.sources import io
     (tmp_path / "a.txt").write_text("{'a': 'x', 'b': None}\n\n{'a': None, 'b': None}\n{'a': 'y', 'b': True}\n")
