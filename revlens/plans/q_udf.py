@@ -9,7 +9,7 @@ from revlens.functions import udfs as U
 from revlens.operators import tokens as K
 from revlens.plans.common import cleaned, r6
 from revlens.plans.fixture_sql import with_fixtures
-from revlens.plans.q_text import D12_STOP, _sql_str_list
+from revlens.plans.q_text import D12_STOP, _sql_str_list, placed_tokens
 from revlens.plans.registry import register
 from revlens.sources import fixtures as fx
 
@@ -48,7 +48,7 @@ WHERE c = 2"""))
 def l04(spark, sf_dir):
     """Partially applied operator (bigrams, summed scores) used through ``df.transform``."""
     bigrams = U.bind(K.scored_ngrams, n=2, agg="sum")
-    g = fx.fx_tokens(spark, sf_dir).transform(bigrams)
+    g = placed_tokens(spark, sf_dir).transform(bigrams)
     return g.select("review_id", "pos", "phrase", r6(F.col("score")).alias("score"))
 
 
