@@ -9,12 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
+from itertools import chain
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.functions import arrow_udtf
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 PY_TOKEN = regex.compile(r"[\p{L}\p{N}_'-]+|[^\p{L}\p{N}_\s'-]+")
 
@@ -42,15 +45,24 @@ def remove_words_udf(stop: list[str]):
     return run
 
 
-@udtf(returnType=StructType([StructField("pos", IntegerType()), StructField("token", StringType())]), useArrow=True)
-class TokensUDTF:
-    """L3: one-to-many table function: a text -> one row per token."""
+#: Texts whose tokens are held at a time.
+TEXT_SLICE = 256
+
 
-    def eval(self, text: str):
-        if text is None:
-            return
-        for i, m in enumerate(PY_TOKEN.finditer(text)):
-            yield i, m.group(0)
+@arrow_udtf(returnType=StructType([StructField("review_id", LongType()), StructField("pos", IntegerType()), StructField("token", StringType())]))
+class TokensUDTF:
+    """L3: one-to-many table function over a table (review_id, text): a text -> one row per token.
+
+    It is called an Arrow batch at a time, not a row at a time."""
+
+    def eval(self, texts: pa.RecordBatch) -> Iterator[pa.Table]:
+        for start in range(0, texts.num_rows, TEXT_SLICE):
+            some = texts.slice(start, TEXT_SLICE)
+            found = [[] if t is None else PY_TOKEN.findall(t) for t in some.column(1).to_pylist()]
+            n = np.array([len(f) for f in found], dtype=np.int64)
+            pos = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            yield pa.table({"review_id": some.column(0).take(pa.array(np.repeat(np.arange(len(n)), n))), "pos": pa.array(pos, pa.int32()),
+                            "token": pa.array(list(chain.from_iterable(found)), pa.string())})
 
 
 def bind(fn, **params):
