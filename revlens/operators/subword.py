@@ -16,8 +16,12 @@ can differ in tie order.
 from __future__ import annotations
 
 import heapq
+import uuid
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -217,10 +221,26 @@ def train_bpe(words: DataFrame, vocab_size: int = 30000, min_frequency: int = 5,
     return merges, spark.createDataFrame(list(vocab.items()), "token string, id int")
 
 
+#: Symbols up to which the lowest rank is looked for in a plain list.
+SHORT = 64
+
+
 def ranked_merges(syms: list[str | None], ranks: dict[Pair, int], onward: bool = False) -> list[str]:
     """Merges by rank on one word: lowest rank first, from the left; only neighbours of a merge are looked at again.
 
     ``onward``: a pair that a merge makes is left alone if its own rank had passed, as when the pairs are joined one after the other."""
+    if len(syms) <= SHORT:
+        none = len(ranks)
+        found = [ranks.get(p, none) for p in zip(syms, syms[1:])]
+        while found and (now := min(found)) < none:
+            i = found.index(now)
+            syms[i:i + 2] = [syms[i] + syms[i + 1]]
+            del found[i]
+            for at in (i - 1, i):
+                if 0 <= at < len(found):
+                    r = ranks.get((syms[at], syms[at + 1]), none)
+                    found[at] = none if onward and r <= now else r
+        return syms
     after = [*range(1, len(syms)), -1]
     before = [-1, *range(len(syms) - 1)]
     heap = [(r, i, p) for i, p in enumerate(zip(syms, syms[1:])) if (r := ranks.get(p)) is not None]
@@ -249,27 +269,90 @@ def bpe_encode_word(word: str, ranks: dict[Pair, int]) -> list[str]:
     return ranked_merges(syms, ranks)
 
 
-def encode_words(words: DataFrame, merges: list[tuple[str, str]], col: str = "word") -> DataFrame:
-    """Each distinct word encoded once (``mapInPandas``); merges travel
-    with the task closure (bounded by the vocabulary size)."""
-    ranks = {p: i for i, p in enumerate(merges)}
+#: Keys whose words are encoded at once, and words that a worker remembers.
+KEYS, WORDS = 2048, 500_000
+
+
+class Encoder:
+    """Words -> pieces and ids; merges and vocabulary travel with the task (bounded by the vocabulary size)."""
+
+    def __init__(self, merges: list[Pair], ids: dict[str, int]):
+        self.ranks, self.ids = {p: i for i, p in enumerate(merges)}, ids
+        self.names = {i: t for t, i in ids.items()}
+        self.known: dict[str, tuple[int, ...] | list[str]] = {}
+
+    def word(self, word: str) -> tuple[int, ...] | list[str]:
+        """A word's ids or, where it has a piece outside the vocabulary, its pieces."""
+        found = self.known.get(word)
+        if found is None:
+            pieces = bpe_encode_word(word, self.ranks)
+            ids = tuple([self.ids.get(p, -1) for p in pieces])
+            if len(self.known) >= WORDS:
+                self.known.clear()
+            found = self.known[word] = pieces if -1 in ids else ids
+        return found
+
+    def numbers(self, found: tuple[int, ...] | list[str]):
+        """Unknown pieces are ``[UNK]`` (0)."""
+        return found if isinstance(found, tuple) else [self.ids.get(p, 0) for p in found]
+
+    def pieces(self, found: tuple[int, ...] | list[str]) -> list[str]:
+        return [self.names[i] for i in found] if isinstance(found, tuple) else found
 
-    def run(it):
-        for pdf in it:
-            yield pd.DataFrame({col: pdf[col], "pieces": [bpe_encode_word(w, ranks) for w in pdf[col]]})
-    return words.select(col).distinct().mapInPandas(run, f"{col} string, pieces array<string>")
+    def flat(self, words: pa.Array) -> tuple[pa.ListArray, pa.ListArray]:
+        """(ids, pieces) by word; each distinct one is looked up once."""
+        coded = words.dictionary_encode()
+        found = [self.word(w) for w in coded.dictionary.to_pylist()]
+        ends = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
+        ids = pa.ListArray.from_arrays(ends, pa.array([i for f in found for i in self.numbers(f)], pa.int32()))
+        pieces = pa.ListArray.from_arrays(ends, pa.array([p for f in found for p in self.pieces(f)], pa.string()))
+        return ids.take(coded.indices), pieces.take(coded.indices)
+
+    def merged(self, texts: list[list[str]]) -> list[tuple[int, int, int, str]]:
+        """(word place, piece place, id, piece) of several texts of one key, in that order."""
+        return sorted((at, k, i, p) for words in texts for at, w in enumerate(words) for f in [self.word(w)] for k, (i, p) in enumerate(zip(self.numbers(f), self.pieces(f))))
+
+    def rows(self, part: pa.RecordBatch) -> pa.RecordBatch:
+        """(key, lists of words) -> (key, ids, pieces)."""
+        keys, texts = part.column(0), part.column(1)
+        several = np.asarray(pc.greater(pc.list_value_length(texts), 1))
+        if several.any():
+            found = [self.merged(t) for t in texts.to_pylist()]
+            return pa.RecordBatch.from_arrays([keys, pa.array([[x[2] for x in f] for f in found], pa.list_(pa.int32())),
+                                               pa.array([[x[3] for x in f] for f in found], pa.list_(pa.string()))], names=["key", "ids", "tokens"])
+        lists = texts.flatten()
+        ids, pieces = self.flat(lists.flatten())
+        # a key has one text: its words, and so its pieces, stand together
+        ends = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(ids)))])[np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(lists)))])]
+        return pa.RecordBatch.from_arrays([keys, *(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), a.flatten()) for a in (ids, pieces))], names=["key", "ids", "tokens"])
+
+
+_ENCODERS: dict[str, Encoder] = {}
 
 
 def encode_texts(texts: DataFrame, key: str, col: str, merges, vocab: DataFrame) -> DataFrame:
-    """D14 + D16: texts -> words -> pieces (join by word) -> ids (join by token),
-    in text order; unknown pieces map to ``[UNK]`` (0)."""
-    w = texts.select(key, F.posexplode(T.tokenize(F.lower(F.col(col)))).alias("wpos", "word"))
-    enc = encode_words(w, merges)
-    p = w.join(enc, "word").select(key, "wpos", F.posexplode("pieces").alias("ppos", "token"))
-    p = p.join(vocab, "token", "left").withColumn("id", F.coalesce("id", F.lit(0)))
-    g = p.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("wpos", "ppos", "id", "token"))).alias("_s"))
-    return g.select(key, F.transform("_s", lambda x: x["id"]).alias("ids"),
-                    F.transform("_s", lambda x: x["token"]).alias("tokens"))
+    """D14 + D16: texts -> words -> pieces -> ids, in text order; unknown pieces map to ``[UNK]`` (0).
+
+    Texts are dealt whole by their key and encoded where they lie: no word is shuffled.  A key has one row, whatever the
+    number of its texts, and none without a word."""
+    kind = texts.schema[key].dataType.simpleString()
+    ids = {r["token"]: r["id"] for r in vocab.collect()}
+    known = texts.select(key, col).where(F.col(col).isNotNull()).repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    words = F.transform("_texts", lambda t: T.tokenize(F.lower(t)))
+    of = known.groupBy(key).agg(F.collect_list(col).alias("_texts")).select(key, F.filter(words, lambda w: F.size(w) > 0).alias("_words")).where(F.size("_words") > 0)
+
+    name = uuid.uuid4().hex
+
+    def run(batches):
+        if name not in _ENCODERS:  # the tasks that a worker runs one after the other share what it knows
+            _ENCODERS.clear()
+            _ENCODERS[name] = Encoder(merges, ids)
+        encoder = _ENCODERS[name]
+        for b in batches:
+            for at in range(0, b.num_rows, KEYS):
+                out = encoder.rows(b.slice(at, KEYS))
+                yield pa.RecordBatch.from_arrays(out.columns, names=[key, "ids", "tokens"])
+    return of.mapInArrow(run, f"{key} {kind}, ids array<int>, tokens array<string>")
 
 
 def batch_encode(encoded: DataFrame, width: int = 300, pad_id: int = 1, start_id: int | None = None, end_id: int | None = None) -> DataFrame:

@@ -354,3 +354,31 @@ def test_table_function_takes_texts_by_the_batch(spark):
     got = U.TokensUDTF(spark.createDataFrame(list(zip(ids, texts)), "review_id bigint, review string").asTable())
     assert got.schema.simpleString() == "struct<review_id:bigint,pos:int,token:string>"
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_texts_are_encoded_where_they_lie(spark):
+    """No word is shuffled: one exchange deals the texts.  A key of several texts has their pieces by place, a text without words no row."""
+    merges = [("t", "h"), ("th", "e</w>"), ("c", "a")]
+    vocab = spark.createDataFrame([(t, i) for i, t in enumerate(["[UNK]", "[PAD]", "c", "a", "t</w>", "th", "the</w>", "ca"])], "token string, id int")
+    df = spark.createDataFrame([(1, "The cat"), (2, "cat"), (2, "the the"), (3, "  "), (4, None), (None, "cax")], "k long, text string")
+    enc = SW.encode_texts(df, "k", "text", merges, vocab)
+    plan = enc._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    assert {r.k: (r.ids, r.tokens) for r in enc.collect()} == {
+        1: ([6, 7, 4], ["the</w>", "ca", "t</w>"]), 2: ([6, 7, 4, 6], ["the</w>", "ca", "t</w>", "the</w>"]), None: ([7, 0], ["ca", "x</w>"])}
+
+
+def test_words_of_long_texts_cross_batches(spark):
+    """Words and texts that go on in the next Arrow batch are whole, whatever the batch."""
+    from revlens.operators import tokens as K
+    rows = [(k, p, "b</w>" if p % 7 == 6 else "a", float(p)) for k in (1, 2) for p in range(700 * k)] + [(None, 0, "c", None)]
+    df = spark.createDataFrame(rows, "review_id long, pos int, token string, score double")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        got = {(r.review_id, r.pos): (r.token, r.score) for r in K.word_scores(df).collect()}
+        lists = {r.review_id: (r.token, r.score) for r in K.word_scores(df, lists=True).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert got == {**{(k, g): ("aaaaaab", sum(range(7 * g, 7 * g + 7))) for k in (1, 2) for g in range(100 * k)}, (None, 0): ("c", None)}
+    assert lists == {**{k: (["aaaaaab"] * 100 * k, [float(sum(range(7 * g, 7 * g + 7))) for g in range(100 * k)]) for k in (1, 2)}, None: (["c"], [None])}
